@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, packing
+from . import decontaminate, embedding_dedup, jaccard, kneser_ney, language_id, packing, substring_dedup, url_filter, warc
+from .common import learns
+
+#: The rules of the URL filter: verdict, host, path.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def tokenizer_file() -> str:
@@ -20,10 +24,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.filter(learns("doc_id", 5, 1)))
+    return kneser_ney.score(docs, model, "doc_id", (~learns("doc_id", 5, 1)).alias("held_out"))
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(learns("doc_id", 3, 1)))
+    return language_id.predict(docs.select("doc_id", (~learns("doc_id", 3, 1)).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_words")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), shingle=3, num=90)
 
@@ -41,9 +77,80 @@ WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+ASCII = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+def _sql_uuid(seed: str) -> str:
+    h = f"md5({seed})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+def _sql_resolved(text: str) -> str:
+    for reference, char in warc.REFERENCES:
+        text = f"replace({text}, '{reference}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+def _warc_sql() -> str:
+    sub = lambda x, pattern, by: f"regexp_replace({x}, '{pattern}', {by}, 'g')"
+    text = _sql_resolved(sub(sub(sub("html", warc.HIDDEN, "''"), warc.LINE, "chr(10)"), warc.TAG, "''"))
+    text = "trim(" + sub(sub(text, r"[ \t\r\f]+", "' '"), r" ?\n[ \n]*", "chr(10)") + ", ' ' || chr(10))"
+    crlf = "chr(13) || chr(10)"
+    return f"""
+with p as (select page_id, url, coalesce(html, '') html, {_sql_uuid("'response|' || page_id || coalesce('|' || url, '')")} rid,
+  strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as dt,
+  'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) as headers from pages),
+q as (select *, {_sql_uuid("'conversion|' || rid")} cid, {_sql_uuid("'metadata|' || rid")} mid, 'sha256:' || sha256(html) digest, {text} txt,
+  trim(regexp_replace({_sql_resolved(f"regexp_extract(html, '{warc.TITLE}', 1)")}, '\s+', ' ', 'g'), ' ') title,
+  regexp_extract(html, '{warc.LANG}', 1) lang, regexp_extract_all(html, '{warc.LINK}', 1) links from p),
+r as (select *, 'title: ' || title || {crlf} || 'language: ' || lang || {crlf} || 'source-payload-digest: ' || digest || {crlf} || 'outlink-count: ' || len(links)
+  || array_to_string(list_transform(links, lambda x: {crlf} || 'outlink: ' || x), '') || {crlf} meta from q),
+s as (select page_id, 'conversion' as type, cid record_id, rid refers_to, cast(null as varchar) concurrent_to, url target_uri, dt as date, 'text/plain; charset=utf-8' content_type, headers source_headers, digest source_payload_digest, txt block from r
+  union all select page_id, 'metadata', mid, rid, cid, url, dt, 'application/warc-fields', headers, digest, meta from r)
+select * exclude (block), 'sha256:' || sha256(block) block_digest, cast(strlen(block) as bigint) content_length, block from s"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = WORDS.format(LOWER.format("coalesce(text, '')"))
+    own_words = WORDS.format("coalesce(text, '')")
+    ascii_words = ASCII.format(LOWER.format("coalesce(text, '')"))
+    rule = lambda verdict, host, path: f"('{verdict}', '{host}', '{path}')"
     return {
+        "op2_warc_derivatives": _warc_sql(),
+        "op3_embedding_dedup": """
+with recursive v as materialized (select vec_id, list_transform(embedding, lambda x: cast(x as double)) e from embeddings),
+ok as materialized (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) norm from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as materialized (select a.vec_id a, b.vec_id b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) >= 0.9 * a.norm * b.norm),
+reach(a, c) as (select vec_id, vec_id from v union select l.b, r.c from reach r join links l on l.a = r.a where r.c < l.b),
+low as (select a, min(c) c from reach group by 1), n as (select a, count(*) n from links group by 1)
+select vec_id, coalesce(n, 0) n_links, c component_id, vec_id = c kept from v join low on low.a = vec_id left join n on n.a = vec_id""",
+        "op5_substring_dedup": f"""
+with w as materialized (select doc_id, {own_words} ws from documents),
+g as materialized (select doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) i from w where len(ws) >= 50)),
+least as (select h, min(doc_id) least from g group by 1),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) at from g join least using (h) where doc_id > least),
+lost as (select doc_id, count(*) n, list(at) at from gone group by 1)
+select w.doc_id, cast(len(ws) as bigint) n_words, coalesce(n, 0) n_removed,
+  sha256(array_to_string(case when n is null then ws else list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: not list_contains(at, z[2])), lambda z: z[1]) end, ' ')) kept_sha256
+from w left join lost using (doc_id)""",
+        "op7_decontaminate": f"""
+with w as materialized (select doc_id, {ascii_words} ws from documents),
+b as (select item_id, {ascii_words} ws from benchmark),
+win as materialized (select distinct item_id, len(x) n, array_to_string(x, ' ') x from (select item_id, list_slice(ws, i, i + 9) x from (select item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) i from b where len(ws) > 0))),
+sizes as (select distinct n from win),
+g as materialized (select doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') x from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) i from w, sizes where len(ws) >= n)),
+hit as materialized (select doc_id, i, n, item_id from g join win using (n, x)),
+words as (select doc_id, count(*) n_hit from (select distinct doc_id, unnest(range(i, i + n)) from hit) group by 1),
+items as (select doc_id, count(distinct item_id) n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids from hit group by 1)
+select w.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from w left join words using (doc_id) left join items using (doc_id)""",
+        "op8_url_filter": f"""
+with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
+p as materialized (select page_id, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+r(verdict, h, p) as (values {', '.join(rule(*x) for x in RULES)}),
+f as (select page_id, h || r.p as rule, verdict, row_number() over (partition by page_id order by length(h || r.p) desc, length(r.p) desc) k
+  from p join r on (host = h or ends_with(host, '.' || h)) and starts_with(p.path, r.p))
+select p.page_id, host, p.path, f.rule, coalesce(f.verdict, 'allow') verdict from p left join f on f.page_id = p.page_id and k = 1""",
         "op9_ngram_jaccard": f"""
 with recursive w as materialized (select doc_id, {words} ws from documents),
 s as materialized (select distinct doc_id, case when len(ws) < 3 then array_to_string(ws, ' ') else array_to_string(list_slice(ws, i, i + 2), ' ') end sh
