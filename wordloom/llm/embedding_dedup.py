@@ -60,7 +60,7 @@ def keys(m: np.ndarray, projections: int, tables: int, seed: int) -> np.ndarray:
     q = np.floor((m @ a + b) / WIDTH).astype(np.int64).view(U64).reshape(len(m), tables, projections)
     h = np.broadcast_to(np.arange(1, tables + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(m.shape[1]), q.shape[:2])
     for i in range(projections):
-        h = mixed(h ^ (q[:, :, i] + U64(i + 1) * U64(0xC2B2AE3D27D4EB4F)))
+        h = mixed(h ^ (q[:, :, i] + U64((i + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))))
     return signed(h)
 
 

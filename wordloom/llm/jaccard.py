@@ -110,17 +110,17 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(k: int, num: int, den: int, ranks):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("n_chars", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), ("mask1", pa.int64()), ("mask2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("n_chars", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), ("mask1", pa.int64()), ("mask2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # nodes whose prefixes this task has given
         for batch in batches:
             for part in slices(batch):
                 out = []
-                for doc, text, (s, rank) in zip(part.column(0).to_pylist(), part.column(1), shingle_sets(part.column(1), k, ranks.value)):
+                for doc, key_, text, (s, rank) in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(1), shingle_sets(part.column(1), k, ranks.value)):
                     n = len(s)
                     if not n:
-                        out.append((doc, 0, 0, None, None, None, 0, 0))
+                        out.append((doc, key_, 0, 0, None, None, None, 0, 0))
                         continue
                     node, check = node_of(s)
                     prefix, m1, m2 = None, 0, 0
@@ -131,7 +131,7 @@ def _signatures(k: int, num: int, den: int, ranks):
                         first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
                         prefix = signed(s[first[np.argsort(key[first], kind="stable")]])
                         m1, m2 = _mask(s, p, 0x51ED270B), _mask(s, p, 0xA0761D64)
-                    out.append((doc, n, len(text.as_py()), node, check, prefix, m1, m2))
+                    out.append((doc, key_, n, len(text.as_py()), node, check, prefix, m1, m2))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     return run
@@ -251,11 +251,11 @@ def _links(k: int, num: int, den: int):
 
 
 def similar(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text); links at num/den of Jaccard similarity."""
+    """doc_id, n_shingles, component_id, root (the component's name, null for empty sets), text_key (xxhash64 of the text) for every row of docs; links at num/den of Jaccard similarity."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = spark.sparkContext.broadcast(frequent_words(docs))
-    signed_ = written(docs.mapInArrow(_signatures(shingle, num, den, ranks), "doc_id long, n_shingles long, n_chars long, node long, check long, prefix array<long>, mask1 long, mask2 long"))
+    signed_ = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(shingle, num, den, ranks), "doc_id long, text_key long, n_shingles long, n_chars long, node long, check long, prefix array<long>, mask1 long, mask2 long"))
     nodes = signed_.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_chars").alias("n_chars"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     parts = partitions(docs)
     tokens = signed_.filter("prefix is not null").select("node", "n_shingles", "mask1", "mask2", F.posexplode("prefix").alias("pos", "token"))
@@ -275,5 +275,6 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     links = connected_components(texts.mapInArrow(_links(shingle, num, den), "a long, b long"))
     root = nodes.select("node", "rep").join(links, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_node = root.join(least, "root").select("node", "component_id")
-    return signed_.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_node = root.join(least, "root").select("node", "component_id", "root")
+    out = signed_.select("doc_id", "text_key", "n_shingles", "node").join(of_node, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root", "text_key")

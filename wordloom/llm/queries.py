@@ -61,7 +61,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar(table(spark, sf_dir, "documents"), shingle=3, num=90)
+    return jaccard.similar(table(spark, sf_dir, "documents"), shingle=3, num=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +128,10 @@ select vec_id, coalesce(n, 0) n_links, c component_id, vec_id = c kept from v jo
 with w as materialized (select doc_id, {own_words} ws from documents),
 g as materialized (select doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) i from w where len(ws) >= 50)),
 least as (select h, min(doc_id) least from g group by 1),
-gone as (select distinct doc_id, unnest(range(i, i + 50)) at from g join least using (h) where doc_id > least),
-lost as (select doc_id, count(*) n, list(at) at from gone group by 1)
+gone as (select distinct doc_id, unnest(range(i, i + 50)) spot from g join least using (h) where doc_id > least),
+lost as (select doc_id, count(*) n, list(spot) spots from gone group by 1)
 select w.doc_id, cast(len(ws) as bigint) n_words, coalesce(n, 0) n_removed,
-  sha256(array_to_string(case when n is null then ws else list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: not list_contains(at, z[2])), lambda z: z[1]) end, ' ')) kept_sha256
+  sha256(array_to_string(case when n is null then ws else list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: not list_contains(spots, z[2])), lambda z: z[1]) end, ' ')) kept_sha256
 from w left join lost using (doc_id)""",
         "op7_decontaminate": f"""
 with w as materialized (select doc_id, {ascii_words} ws from documents),
