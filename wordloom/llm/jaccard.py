@@ -5,10 +5,12 @@ whose set is equal to another's is the same node, so copies cost one node. For e
 shingles are put in three global orders. Linked sets share one of the first n - ceil(t n) + 1
 shingles under each of them. The first order (rarest word first, by counts over all documents)
 deals prefix shingles out to tasks; inside a shingle's group a pair survives only if it passes the
-length bound, the positional bound and the prefix filters of the other two orders (64-bit masks
+length bound, the positional bound and the prefix filters of the other two orders (32-bit masks
 of their prefixes, which dismiss no linked pair). The surviving pairs' spanning forest - never the
-pairs - leaves the task. Components of these candidate links are families; every pair inside a
-family is then verified on whole sets, in blocks of bounded size.
+pairs - leaves the task. Components of these candidate links are families. Inside a family every
+pair is first bounded by histograms of the sets (the sum of smaller counts is at least the
+intersection), which splits loose families; what holds together is verified on whole sets. Both
+steps work in blocks of bounded size.
 
 Edge cases: null or blank text has an empty set, links with nothing and is its own component;
 fewer words than a shingle form one shingle; repeated rows are returned as often as they come;
@@ -30,7 +32,7 @@ from .common import U64, connected_components, cut, mixed, partitions, signed, s
 #: Words whose counts order the shingles: the most frequent ones, so the table sent out is bounded.
 RANKED_WORDS = 100_000
 #: Rows of one shingle's group compared at once, and the most rows and characters of a block of a family.
-GROUP_BLOCK, FAMILY_ROWS, FAMILY_CHARS = 512, 1024, 6_000_000
+GROUP_BLOCK, FAMILY_ROWS, FAMILY_CHARS, SKETCH_BYTES = 512, 1024, 6_000_000, 1_000_000
 
 
 def frequent_words(docs: DataFrame, top: int = RANKED_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +99,17 @@ def _needed(n: int, num: int, den: int) -> int:
 
 
 def _mask(s: np.ndarray, p: int, seed: int) -> int:
-    if p >= 200:
-        return -1
+    if p >= 120:
+        return (1 << 32) - 1
     key = mixed(s ^ U64(seed))
     first = s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
-    return int(np.bitwise_or.reduce(U64(1) << (first >> U64(58))).view(np.int64))
+    return int(np.bitwise_or.reduce(U64(1) << (first >> U64(59))))
+
+
+def _histogram(s: np.ndarray) -> bytes:
+    """Counts of the set's hashes in about one bin for eight (a power of two, so that halves fold together); 255: at least that many."""
+    bins = max(32, 1 << (max(len(s) // 8, 1) - 1).bit_length())
+    return np.minimum(np.bincount((s & U64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
 def node_of(s: np.ndarray) -> tuple[int, int]:
@@ -110,7 +118,7 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(k: int, num: int, den: int, ranks):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("n_chars", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), ("mask1", pa.int64()), ("mask2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("n_chars", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), ("masks", pa.int64()), ("histogram", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # nodes whose prefixes this task has given
@@ -120,18 +128,19 @@ def _signatures(k: int, num: int, den: int, ranks):
                 for doc, key_, text, (s, rank) in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(1), shingle_sets(part.column(1), k, ranks.value)):
                     n = len(s)
                     if not n:
-                        out.append((doc, key_, 0, 0, None, None, None, 0, 0))
+                        out.append((doc, key_, 0, 0, None, None, None, 0, None))
                         continue
                     node, check = node_of(s)
-                    prefix, m1, m2 = None, 0, 0
+                    prefix, masks, histogram = None, 0, None
                     if node not in seen:
                         seen.add(node)
                         p = n - _needed(n, num, den) + 1
                         key = (rank.astype(U64) << U64(30)) | (mixed(s) >> U64(34))
                         first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
                         prefix = signed(s[first[np.argsort(key[first], kind="stable")]])
-                        m1, m2 = _mask(s, p, 0x51ED270B), _mask(s, p, 0xA0761D64)
-                    out.append((doc, key_, n, len(text.as_py()), node, check, prefix, m1, m2))
+                        masks = (_mask(s, p, 0x51ED270B) << 31 << 1 | _mask(s, p, 0xA0761D64)) - (1 << 63)
+                        histogram = _histogram(s)
+                    out.append((doc, key_, n, len(text.as_py()), node, check, prefix, masks, histogram))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     return run
@@ -139,17 +148,17 @@ def _signatures(k: int, num: int, den: int, ranks):
 
 def _surviving(x: tuple, y: tuple, num: int, den: int) -> np.ndarray:
     """Which pairs of x's and y's rows pass the length, positional and other orders' filters."""
-    (xn, xp, x1, x2), (yn, yp, y1, y2) = ([c[:, None] for c in x], [c[None, :] for c in y])
+    (xn, xp, xm), (yn, yp, ym) = ([c[:, None] for c in x], [c[None, :] for c in y])
     ok = np.minimum(xn, yn) * den >= np.maximum(xn, yn) * num
     ok &= (num + den) * np.minimum(xn - xp, yn - yp) >= num * (xn + yn)
-    return ok & ((x1 & y1) != 0) & ((x2 & y2) != 0)
+    both = xm & ym
+    return ok & ((both & U64(0xFFFFFFFF)) != 0) & ((both >> U64(32)) != 0)
 
 
 def _candidates(num: int, den: int):
     """Per shingle (rows sorted by shingle, then set size): star edges of the surviving pairs' spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("node", "n_shingles", "pos", "mask1", "mask2")
         token, kept = None, []  # the open shingle's earlier blocks whose sizes may still match
 
         def compared(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -169,7 +178,9 @@ def _candidates(num: int, den: int):
 
         for batch in batches:
             t = batch.column("token").to_numpy()
-            rows = [batch.column(n).to_numpy() for n in names]
+            place = batch.column("place").to_numpy()
+            masks = batch.column("masks").to_numpy().view(U64) ^ U64(1 << 63)
+            rows = [batch.column("node").to_numpy(), place >> 32, place & 0xFFFFFFFF, masks]
             edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
             sizes = np.diff(np.append(edges, len(t)))
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -216,6 +227,70 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _bounded(num: int, den: int):
+    """Per block pair of a family: star edges of the forest of pairs whose histograms allow a link."""
+
+    def check(rows: list[tuple]) -> list[tuple[int, int]]:
+        rows.sort(key=lambda r: r[1])
+        nodes, size = [r[0] for r in rows], np.array([r[1] for r in rows])
+        by: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            by.setdefault(len(r[2]), []).append(i)
+        a, b = [], []
+        for bins, own in by.items():
+            x = np.frombuffer(b"".join(rows[i][2] for i in own), np.uint8).reshape(-1, bins)
+            own = np.array(own)
+            other, y = own, x
+            if 2 * bins in by:
+                more = np.array(by[2 * bins])
+                z = np.frombuffer(b"".join(rows[i][2] for i in more), np.uint8).reshape(-1, 2, bins).astype(np.int64)
+                z = np.where((z == 255).any(1), 255, np.minimum(z.sum(1), 255)).astype(np.uint8)
+                other, y = np.concatenate([own, more]), np.concatenate([x, z])
+            full_x, full_y = (x == 255).any(1), (y == 255).any(1)
+            step = max(1, 24_000_000 // (len(y) * bins))
+            for at in range(0, len(own), step):
+                i = own[at : at + step]
+                stop = int(np.searchsorted(size[other], size[i[-1]] * den // num, "right")) if other is own else len(y)
+                low = np.minimum(x[at : at + step, None, :], y[None, :stop, :]).sum(-1, dtype=np.int64)
+                ok = (num + den) * low >= num * (size[i][:, None] + size[other[:stop]][None, :])
+                ok |= full_x[at : at + step, None] | full_y[None, :stop]
+                ok &= (np.minimum(size[i][:, None], size[other[:stop]][None, :]) * den >= np.maximum(size[i][:, None], size[other[:stop]][None, :]) * num) & (i[:, None] != other[None, :stop])
+                p, q = np.nonzero(ok)
+                a.append(i[p])
+                b.append(other[q])
+        root = unite(len(rows), np.concatenate(a), np.concatenate(b))
+        return [(nodes[i], nodes[r]) for i, r in enumerate(root.tolist()) if i != r]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _per_block(batches, ("node", "n_shingles", "histogram"), check)
+
+    return run
+
+
+def _per_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], check) -> Iterator[pa.RecordBatch]:
+    """check(rows) for the rows of each block of at least two; its edges."""
+    key, held = None, []
+    for batch in batches:
+        out = []
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("block", *names))):
+            if k != key:
+                out += check(held) if len(held) > 1 else []
+                key, held = k, []
+            held.append(tuple(row))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+    if len(held) > 1 and (out := check(held)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+
+def _in_blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
+    """members (family, node, ...) once for each pair of blocks that its own block is in: column block."""
+    blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_ROWS), F.ceil(F.sum(weight) / most)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "family").withColumn("own", F.pmod(F.hash("node"), "blocks"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("block", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other", "blocks")
+
+
 def _links(k: int, num: int, den: int):
     """Per block pair of a family: star edges of its verified links' spanning forest."""
 
@@ -234,18 +309,7 @@ def _links(k: int, num: int, den: int):
         return [(nodes[a], nodes[b]) for a, b in enumerate(root.tolist()) if a != b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            out = []
-            for k_, node, text in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "text"))):
-                if k_ != key:
-                    out += verify(held) if len(held) > 1 else []
-                    key, held = k_, []
-                held.append((node, text))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-        if len(held) > 1 and (out := verify(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+        yield from _per_block(batches, ("node", "text"), verify)
 
     return run
 
@@ -255,22 +319,23 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = spark.sparkContext.broadcast(frequent_words(docs))
-    signed_ = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(shingle, num, den, ranks), "doc_id long, text_key long, n_shingles long, n_chars long, node long, check long, prefix array<long>, mask1 long, mask2 long"))
+    fields = "doc_id long, text_key long, n_shingles long, n_chars long, node long, check long, prefix array<long>, masks long, histogram binary"
+    signed_ = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(shingle, num, den, ranks), fields))
     nodes = signed_.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_chars").alias("n_chars"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    parts = partitions(docs)
-    tokens = signed_.filter("prefix is not null").select("node", "n_shingles", "mask1", "mask2", F.posexplode("prefix").alias("pos", "token"))
-    tokens = tokens.withColumn("pos", F.col("pos").cast("long")).repartition(parts, "token").sortWithinPartitions("token", "n_shingles", "node")
-    family = cut(connected_components(tokens.mapInArrow(_candidates(num, den), "a long, b long")))
     if clash := nodes.filter("lo <> hi").limit(1).count():
         raise ValueError(f"{clash} shingle sets share a 64-bit node hash; run again with other hash seeds")
-    members = cut(family.join(nodes, "node").select("node", F.col("component").alias("family"), "rep", "n_chars"))
-    blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_ROWS), F.ceil(F.sum("n_chars") / FAMILY_CHARS)).cast("int").alias("blocks"))
-    members = members.join(blocks, "family").withColumn("own", F.pmod(F.hash("node"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = members.select("rep", "node", "family", "own", other.alias("other")).select(
-        "rep", "node", F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("block")
-    )
-    texts = placed.join(docs, placed.rep.eqNullSafe(docs.doc_id)).select("block", "node", "text")
+    parts = partitions(docs)
+    given = signed_.filter("prefix is not null")
+    tokens = given.select("node", "n_shingles", "masks", F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("token", "node", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("place"), "masks")
+    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "place", "node")
+    family = cut(connected_components(tokens.mapInArrow(_candidates(num, den), "a long, b long")))
+    sketches = family.join(given.select("node", "n_shingles", "histogram"), "node").dropDuplicates(["node"])
+    sketches = _in_blocks(sketches.select("node", F.col("component").alias("family"), "n_shingles", "histogram", F.length("histogram").alias("size")), "size", SKETCH_BYTES)
+    sketches = sketches.select("block", "node", "n_shingles", "histogram").repartition(parts, "block").sortWithinPartitions("block", "node")
+    family = cut(connected_components(sketches.mapInArrow(_bounded(num, den), "a long, b long")))
+    members = cut(_in_blocks(family.join(nodes, "node").select("node", F.col("component").alias("family"), "rep", "n_chars"), "n_chars", FAMILY_CHARS).select("rep", "node", "block"))
+    texts = members.join(docs, members.rep.eqNullSafe(docs.doc_id)).select("block", "node", "text")
     texts = texts.repartition(parts, "block").sortWithinPartitions("block", "node")
     links = connected_components(texts.mapInArrow(_links(shingle, num, den), "a long, b long"))
     root = nodes.select("node", "rep").join(links, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
