@@ -96,7 +96,7 @@ def _warc_sql() -> str:
     text = _sql_resolved(sub(sub(sub("html", warc.HIDDEN, "''"), warc.LINE, "chr(10)"), warc.TAG, "''"))
     text = "trim(" + sub(sub(text, r"[ \t\r\f]+", "' '"), r" ?\n[ \n]*", "chr(10)") + ", ' ' || chr(10))"
     crlf = "chr(13) || chr(10)"
-    return f"""
+    return rf"""
 with p as (select page_id, url, coalesce(html, '') html, {_sql_uuid("'response|' || page_id || coalesce('|' || url, '')")} rid,
   strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as dt,
   'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) as headers from pages),

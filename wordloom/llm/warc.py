@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Tags that end a line of text, and the character references that are resolved (&amp; last).
 LINE_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
@@ -118,7 +120,7 @@ def derive(source: DataFrame) -> DataFrame:
     )
 
 
-def serialised(records: DataFrame) -> Column:
+def serialised() -> Column:
     """The bytes of a derived record in a WARC file."""
     field = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string")))
     head = F.concat_ws(
@@ -156,6 +158,7 @@ def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The response records of WARC files: record_id, target_uri, date, http_headers, payload (UTF-8, invalid bytes replaced)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
