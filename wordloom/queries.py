@@ -401,7 +401,7 @@ style as materialized (select book, ord, text, paras, quotes, cjk, cjk >= 300 an
 STYLE_NAMES = ["句均字", "句p90", "长句率", "短句率", "句长CV", "分句均字", "段均字", "段p90字", "段均句数", "单句段占比", "对话段占比", "对话字占比", *V.DENSITIES]
 
 
-@query(f"with {STYLE} select book, ord, cjk, checked, " + ", ".join(f'round(case when checked then "{k}" end, 6) "{k}"' for k in STYLE_NAMES) + " from style")
+@query(f"with {STYLE} select book, ord, cjk, checked, " + ", ".join(f'round(cast(case when checked then "{k}" end as double), 6) "{k}"' for k in STYLE_NAMES) + " from style")
 def x11_style_measures(t):
     return S.measured(t.chapters(), "book", "ord").withColumns({k: r6(k) for k in STYLE_NAMES})
 
