@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +55,24 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidy(run):
+    """run, after whose end a reused worker gives the memory that it no longer needs back to the machine."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return tidied
+
+
 def learns(doc_id: Column | str, modulus: int, held_out: int) -> Column:
     """True for rows to learn from: crc32 of the id as text, modulo `modulus`, is not `held_out` (null id: as the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -90,10 +111,19 @@ def word_hashes(texts: pa.Array, lower: bool = False, seed: int = 0) -> tuple[np
     return begin, h[codes] if len(codes) else np.empty(0, U64)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of bounded size, so that one part's words fit in memory."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = 1000, text: str | None = None, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and, where a text column is named, about `most` bytes of it, so that one part fits in memory."""
+    if text is None:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right"))
+        stop = min(max(stop, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

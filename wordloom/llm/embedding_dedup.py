@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected_components, mixed, partitions, signed, unite, written
+from .common import connected_components, mixed, partitions, signed, tidy, U64, unite, written
 
 THRESHOLD = 0.9
 RECALL = 0.995
@@ -65,6 +65,7 @@ def keys(m: np.ndarray, projections: int, tables: int, seed: int) -> np.ndarray:
 
 
 def _hashing(projections: int, tables: int, seed: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -105,6 +106,7 @@ def _checking(threshold: float):
         c = np.array(cls, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(c[on]), pa.array(c[root[on]]), pa.array(links[on].astype(np.int64))], names=["a", "b", "links"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:

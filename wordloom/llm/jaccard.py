@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected_components, cut, mixed, partitions, signed, slices, unite, window_hashes, word_hashes, written
+from .common import connected_components, cut, mixed, partitions, signed, slices, tidy, U64, unite, window_hashes, word_hashes, written
 
 #: Words whose counts order the shingles: the most frequent ones, so the table sent out is bounded.
 RANKED_WORDS = 100_000
@@ -41,6 +41,7 @@ def frequent_words(docs: DataFrame, top: int = RANKED_WORDS) -> tuple[np.ndarray
     Each task counts all its words; those it met only once are left out, as they order last anyway.
     """
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -120,6 +121,7 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
 def _signatures(k: int, num: int, den: int, ranks):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("n_chars", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), ("masks", pa.int64()), ("histogram", pa.binary())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # nodes whose prefixes this task has given
         for batch in batches:
@@ -158,6 +160,7 @@ def _surviving(x: tuple, y: tuple, num: int, den: int) -> np.ndarray:
 def _candidates(num: int, den: int):
     """Per shingle (rows sorted by shingle, then set size): star edges of the surviving pairs' spanning forest."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, kept = None, []  # the open shingle's earlier blocks whose sizes may still match
 
@@ -261,6 +264,7 @@ def _bounded(num: int, den: int):
         root = unite(len(rows), np.concatenate(a), np.concatenate(b))
         return [(nodes[i], nodes[r]) for i, r in enumerate(root.tolist()) if i != r]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _per_block(batches, ("node", "n_shingles", "histogram"), check)
 
@@ -308,6 +312,7 @@ def _links(k: int, num: int, den: int):
         root = unite(len(nodes), i, j)
         return [(nodes[a], nodes[b]) for a, b in enumerate(root.tolist()) if a != b]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _per_block(batches, ("node", "text"), verify)
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, partitions, shared_dir, slices, word_hashes, written
+from .common import mixed, partitions, shared_dir, slices, tidy, U64, word_hashes, written
 
 BEGIN, END = U64(0x6265676E), U64(0x656E6421)
 #: n-grams a task holds before it gives them away.
@@ -118,6 +118,7 @@ _ROWS = "shard int, blob binary, note string"
 
 
 def _count(order: int, shards: int, hot: np.ndarray):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -205,6 +206,7 @@ def _merge(width: int, shards: int, hot: np.ndarray, uri: str, suffixes: bool):
         if suffixes:
             yield from _by_shard(grams[:, 1:], np.ones(len(grams), np.int64), shards, np.empty(0, U64))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, blobs = None, []
         for batch in batches:
@@ -356,6 +358,7 @@ def score(docs: DataFrame, model: Model, *keep: Column | str) -> DataFrame:
     source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     kept = source.columns[:-1]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1500):

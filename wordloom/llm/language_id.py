@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, slices
+from .common import mixed, slices, tidy, U64
 
 DIMENSIONS = 8192
 #: Texts a language that the model is fitted on, and how many of them are landmarks.
@@ -121,14 +121,15 @@ def predict(docs: DataFrame, model: Model, text: str | Column = "text") -> DataF
     shipped = spark.sparkContext.broadcast(model)  # bounded by landmarks, dimensions and languages
     clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
     docs = docs.drop(*clash)
-    at = "__text"
-    schema = docs.schema.simpleString()[7:-1]
+    own = isinstance(text, str) and text in docs.columns and docs.schema[text].dataType.simpleString() == "string"
+    at = text if own else "__text"  # texts travel once
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 500):
+            for part in slices(batch, 500, at, 1_000_000):
                 languages, score = shipped.value.predict(part.column(at).to_pylist())
-                keep = [i for i, n in enumerate(part.schema.names) if n != at]
+                keep = [i for i, n in enumerate(part.schema.names) if own or n != at]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in keep] + [pa.array(languages, pa.string()), pa.array(score, pa.float64())],
                     names=[part.schema.names[i] for i in keep] + ["lang_pred", "score"],
@@ -136,5 +137,5 @@ def predict(docs: DataFrame, model: Model, text: str | Column = "text") -> DataF
 
     source = F.col(text) if isinstance(text, str) else text
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    del schema
-    return docs.withColumn(at, source.cast("string")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    sent = docs if own else docs.withColumn(at, source.cast("string"))
+    return sent.mapInArrow(run, f"{fields}, lang_pred string, score double")

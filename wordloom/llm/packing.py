@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import slices, split_words, tidy
 
 WINDOW = 4096
 SEPARATOR = 2
@@ -175,6 +175,7 @@ def _pieces(path: str, window: int, separator: int, payload: bool):
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.binary())] * payload)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = ChunkTokenizer.at(path)
         for batch in batches:
@@ -233,6 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(window)
         for batch in batches:
@@ -268,6 +270,7 @@ def matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: i
         places[len(ids) :] -= len(ids)
         return sequence, len(ids), full.tobytes(), places.astype(kind).tobytes(), edges, [p[0] for p in parts], [p[1] for p in parts], zlib.crc32(ids.astype("<u4").tobytes())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, held, shard, out = _Packer(window), {}, None, []
 

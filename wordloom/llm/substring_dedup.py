@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, hashed, mixed, partitions, signed, slices, split_words, window_hashes, written
+from .common import cut, hashed, mixed, partitions, signed, slices, split_words, tidy, U64, window_hashes, written
 
 SIZE = 50
 #: Documents of one fingerprint from which its windows are dealt out with a salt, and into how many parts.
@@ -56,6 +56,7 @@ def _scan(size: int):
         [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string()), ("whole", pa.int64()), ("whole_check", pa.int64()), ("anchors", pa.list_(pa.int64()))]
     )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -79,6 +80,7 @@ _SCAN = "doc_id long, text_key long, n_words long, sha256 string, whole long, wh
 def _candidate_windows(size: int):
     """Windows whose fingerprint is among the document's shared ones: a (hash), bp (32 bits of a second hash, place), doc_id, hot."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 300):
@@ -104,6 +106,7 @@ def _candidate_windows(size: int):
     return run
 
 
+@tidy
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by a, then doc_id: those whose window has a smaller document (dup), and the hot windows' least documents."""
     held: pa.Table | None = None  # the open hash's rows so far, but only the least document of each window
@@ -138,6 +141,7 @@ def _sorted(windows: DataFrame, *keys) -> DataFrame:
 def _rewritten(size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 300):
