@@ -131,3 +131,9 @@ USABLE = ["auto-accepted", "human-confirmed"]
 READ_ONLY_TURNS, STUCK_PATTERNS = 4, 2
 TEMPERATURES = (0.3, 1.0)
 NOISE_LINE = r"^[=\-_*#~\s]{4,}$"
+
+# Paths that messages must not show.
+URL_PATH = r"\b(https?://[^/\s:\"'<>]+)[^\s\"'<>]*"
+WINDOWS_PATH = r"(?<![A-Za-z])[A-Za-z]:[\\/]+(?:[^\\/\s\"'<>|,*?:]+[\\/]+)*[^\\/\s\"'<>|,*?:]*"
+POSIX_PATH = r"/(?:Users|home|root|private|var|opt|tmp)/[^\s\"'<>|,;]*"
+HIDDEN_PATH = "<路径>"

@@ -19,6 +19,7 @@ from .operators import chapters as C
 from .operators import gates as G
 from .operators import knowledge as K
 from .operators import ledger as L
+from .operators import projects as P
 from .operators import retrieval as R
 from .operators import runs as U
 from .operators import style as S
@@ -655,7 +656,7 @@ def w12_stuck_loop(t):
     return U.stuck(turns, "conv_id", "turn", "p", "ro").select("conv_id", "turn")
 
 
-@query("select l_orderkey, arg_min(l_linenumber, struct_pack(a := l_quantity, b := l_returnflag = 'R', c := l_linenumber)) attempt from lineitem group by 1")
+@query("select l_orderkey, cast(arg_min(l_linenumber, struct_pack(a := l_quantity, b := l_returnflag = 'R', c := l_linenumber)) as bigint) attempt from lineitem group by 1")
 def t07_best_attempt(t):
     a = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("attempt"), F.col("l_quantity").alias("findings"), (F.col("l_returnflag") == "R").alias("flagged"))
     return U.best(a, ["l_orderkey"])
@@ -692,7 +693,7 @@ def x27_budget(t):
     return t.part.select("p_partkey", T.budget("p_size", "p_retailprice", 2).alias("budget"))
 
 
-@query("select n_nationkey, array_to_string(list_transform(range(0, n_nationkey % 3 + 2), lambda i: printf('%.2f', round_even(cast(0.3 as double) + cast(0.7 as double) * i / (n_nationkey % 3 + 1), 2))), ',') grid from nation")
+@query("select cast(n_nationkey as bigint) n_nationkey, array_to_string(list_transform(range(0, n_nationkey % 3 + 2), lambda i: printf('%.2f', round_even(cast(0.3 as double) + cast(0.7 as double) * i / (n_nationkey % 3 + 1), 2))), ',') grid from nation")
 def x33_temperatures(t):
     return t.nation.select("n_nationkey", F.array_join(F.transform(T.temperatures(F.col("n_nationkey") % 3 + 2), lambda x: F.format_string("%.2f", x)), ",").alias("grid"))
 
@@ -730,6 +731,80 @@ def j14_reference_stats(t):
     return d.groupBy("lang").agg(F.count("*").alias("n"), r6(F.avg(F.coalesce("quality", F.lit(0)))).alias("quality"), F.count_if(F.col("toxic") == 1).alias("toxic"))
 
 
+# Projects.
+@query(
+    """with p as (select cast(n_nationkey as bigint) project, case n_regionkey when 0 then 'draft' when 1 then null when 2 then 'auto-accepted' else 'human-confirmed' end state, n_name from nation)
+select project, 'positioning' doc_id, 'positioning' doc_type, n_name title, n_name || chr(10) || state as text from p where state in ('auto-accepted', 'human-confirmed')
+union all select project, 'chapter-' || s_suppkey, 'chapter', s_name, s_name from p join supplier on s_nationkey = project where state in ('auto-accepted', 'human-confirmed')"""
+)
+def f02_f03_u06_project_documents(t):
+    region = F.col("n_regionkey")
+    state = F.when(region == 0, "draft").when(region == 2, "auto-accepted").when(region > 2, "human-confirmed")
+    p = t.nation.select(F.col("n_nationkey").alias("project"), state.alias("state"), F.col("n_name").alias("title"))
+    chapters = t.supplier.select(F.col("s_nationkey").alias("project"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")).join(p.select("project", "state"), "project")
+    positioning = p.select("project", F.lit(None).cast("long").alias("key"), "state", "title", F.col("state").alias("field"))
+    return P.documents({"positioning": positioning, "chapter": chapters.select("project", "key", "state", F.col("name").alias("title"), F.lit(" ").alias("blank"))})
+
+
+@query("select l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') labels from lineitem group by 1")
+def f04_summary_labels(t):
+    return P.labels(t.lineitem, "l_orderkey", "l_returnflag").withColumn("labels", F.array_join("labels", ","))
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_orderstatus <> 'F' and o_custkey % 3 > 0")
+def f05_dropped_parts(t):
+    content = F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority")).otherwise(" ")
+    state = F.when(F.col("o_orderstatus") == "F", "human-confirmed").otherwise("draft")
+    return P.dropped(t.orders.select("o_orderkey", "o_orderstatus", content.alias("content"), state.alias("state"))).select("o_orderkey", "o_orderstatus")
+
+
+@query("select c_custkey project, greatest(c_nationkey * 100, coalesce(max(o_orderkey), 0)) as \"cursor\" from customer left join orders on o_custkey = c_custkey group by c_custkey, c_nationkey")
+def s08_healed_cursor(t):
+    projects = t.customer.select(F.col("c_custkey").alias("project"), (F.col("c_nationkey") * 100).cast("long").alias("cursor"))
+    return P.healed(projects, t.orders.select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("ord")))
+
+
+@query(f"with {PCH} select book project, ord, case when ord % 2 = 0 then left(text, 5) else '第' || ord || '章' end title, text from ch where ord <= 30 and {strip('text')} <> '' and (ord % 2 = 1 or {strip('left(text, 5)')} <> '')")
+def s19_export_chapters(t):
+    ch = t.plain_chapters().select(F.col("book").alias("project"), "ord", F.when(F.col("ord") % 2 == 0, F.left("text", F.lit(5))).alias("title"), "text")
+    return P.exported(ch, ch.select("project", F.lit(30).alias("cursor")).distinct())
+
+
+@query("select l_orderkey, string_agg('- 第' || l_linenumber || '拍［' || l_returnflag || '］' || l_partkey || case when l_linestatus = 'O' then '；情绪：O' else '' end, chr(10) order by l_linenumber, l_partkey) beats from (select l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_partkey from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_returnflag, l_linestatus) = 1) group by 1")
+def x34_rendered_beats(t):
+    order = W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_returnflag", "l_linestatus")
+    one = t.lineitem.withColumn("k", F.row_number().over(order)).filter("k = 1")
+    b = one.select("l_orderkey", F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("scene"), F.col("l_partkey").cast("string").alias("event"), F.when(F.col("l_linestatus") == "O", "O").otherwise("").alias("emotion"))
+    return P.rendered_beats(b, ["l_orderkey"])
+
+
+@query("select o_custkey, arg_min(o_orderstatus, o_orderkey) status, min(o_orderkey) first from orders group by 1")
+def j03_first_wins(t):
+    return P.first_of(t.orders.select("o_custkey", F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("first")), "o_custkey", "first")
+
+
+@query("select page_id, regexp_extract(url, '(https?://[^/]+)', 1) message from pages")
+def x25_scrubbed(t):
+    return t.pages.select("page_id", P.scrubbed(F.col("url")).alias("message"))
+
+
+@query(
+    f"""with {LEDGER.replace('ch as materialized', 'ch as materialized', 1)}, ot as (select book, ord, left(text, 20) core_event, right(text, 10) ending_hook from ch where ord % 2 = 0), sm as (select book, ord, left(text, 30) gist from ch where ord % 3 = 0),
+prev as (select ch.book, ch.ord, coalesce(gist, nullif(concat_ws(chr(10), case when {strip('core_event')} <> '' then core_event end, case when {strip('ending_hook')} <> '' then ending_hook end), ''), '') previous,
+  case when gist is not null then 'written' when core_event is not null then 'outline' else 'none' end source from ch left join sm on sm.book = ch.book and sm.ord + 1 = ch.ord left join ot on ot.book = ch.book and ot.ord + 1 = ch.ord),
+hk2 as (select ch.book, ord, string_agg(opened, ',' order by opened) hooks from ch join led on led.book = ch.book and opened < ord and (resolved is null or resolved >= ord) group by 1, 2)
+select book, ord, source, previous, coalesce(hooks, '') hooks, coalesce((select string_agg(d.doc_id, ',' order by d.doc_id) from ch d where d.book = prev.book and d.ord < prev.ord and d.ord >= prev.ord - 3), '') retrieved from prev left join hk2 using (book, ord)"""
+)
+def p07_context_pack(t):
+    ch = t.chapters()
+    outlines = ch.filter("ord % 2 = 0").select("book", "ord", F.left("text", F.lit(20)).alias("core_event"), F.right("text", F.lit(10)).alias("ending_hook"))
+    summaries = ch.filter("ord % 3 = 0").select("book", "ord", F.left("text", F.lit(30)).alias("gist"))
+    near = G.windowed(ch, 3).join(ch.select("book", F.col("ord").alias("prev"), "doc_id"), ["book", "prev"])
+    hits = near.select("book", "ord", F.col("doc_id").alias("rank"), "doc_id")
+    pack = P.context(ch, L.previous_summaries(ch, outlines, summaries), L.open_at(_ledger(t), ch.select("book", "ord")), hits)
+    return pack.withColumns({"hooks": F.array_join(F.transform("hooks", lambda x: x.cast("string")), ","), "retrieved": F.array_join(F.transform("retrieved", lambda x: x.cast("string")), ",")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
