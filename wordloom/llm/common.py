@@ -194,6 +194,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each step groups by node with map-side minima and
     joins them back, so no neighbour list is ever gathered. Self-loops keep their node.
     """
+    edges = cut(edges.select("a", "b").distinct())  # read several times below: made once
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
