@@ -113,3 +113,8 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and chapters
+
+
+def test_quotes_of_the_whole_text(spark):
+    assert one(spark, T.quotes("text"), "字" * 300 + "“二”，“一”。“ 二 ”‘’\"三\"“没有收尾\n下一行") == ["二", "一", "三", "没有收尾"]
+    assert one(spark, T.quotes("text"), "没有") == []

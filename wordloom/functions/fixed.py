@@ -137,3 +137,4 @@ URL_PATH = r"\b(https?://[^/\s:\"'<>]+)[^\s\"'<>]*"
 WINDOWS_PATH = r"(?<![A-Za-z])[A-Za-z]:[\\/]+(?:[^\\/\s\"'<>|,*?:]+[\\/]+)*[^\\/\s\"'<>|,*?:]*"
 POSIX_PATH = r"/(?:Users|home|root|private|var|opt|tmp)/[^\s\"'<>|,;]*"
 HIDDEN_PATH = "<路径>"
+QUOTE = r"""[“"'‘]([^”"'’\n]*)[”"'’]?"""

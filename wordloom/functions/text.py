@@ -183,3 +183,9 @@ def located(text: Column | str, quote: Column | str) -> Column:
     first = F.position(q, t)
     second = F.position(q, t, first + F.length(q))
     return F.when((q != "") & (first > 0) & (second == 0), first - 1)
+
+
+def quotes(text: Column | str) -> Column:
+    """What stands in quotes anywhere in the text, stripped, each once, in order of first occurrence (a quote may lack its end)."""
+    found = F.transform(F.regexp_extract_all(_c(text), F.lit(V.QUOTE), 1), stripped)
+    return F.array_distinct(F.filter(found, lambda x: x != ""))

@@ -720,6 +720,13 @@ def u07_ordered_distinct(t):
     return t.documents.select("doc_id", F.array_join(F.array_distinct(F.split(F.left("text", F.lit(200)), " ")), " ").alias("words"))
 
 
+@query(
+    f"with f as (select doc_id, unnest(q) q, generate_subscripts(q, 1) i from (select doc_id, list_transform(regexp_extract_all({CN}, '{q(V.QUOTE)}', 1), lambda x: {strip('x')}) q from documents)), one as (select doc_id, q, min(i) i from f where q <> '' group by 1, 2), a as (select doc_id, count(*) n, string_agg(q, chr(10) order by i) quotes from one group by 1) select doc_id, coalesce(n, 0) n, coalesce(quotes, '') quotes from documents left join a using (doc_id)"
+)
+def u07_quotes(t):
+    return t.chinese().select("doc_id", T.quotes("text").alias("q")).select("doc_id", F.size("q").alias("n"), F.array_join("q", "\n").alias("quotes"))
+
+
 @query(f"with {_rule_sql().replace('lim)', 'lim)')} select metric, lim as \"limit\" from rules")
 def x28_rule_limits(t):
     return S.limits(S.rule_table(t.spark)).select("metric", "limit")
