@@ -118,3 +118,13 @@ def test_entry():
 def test_quotes_of_the_whole_text(spark):
     assert one(spark, T.quotes("text"), "字" * 300 + "“二”，“一”。“ 二 ”‘’\"三\"“没有收尾\n下一行") == ["二", "一", "三", "没有收尾"]
     assert one(spark, T.quotes("text"), "没有") == []
+
+
+def test_export_reaches_the_last_written_chapter(spark, tmp_path):
+    from wordloom import queries
+
+    rows = [(i, " " if i in (7, 41) else f"正文{i}", "b") for i in range(1, 42)] + [(100, "短", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.queries()["s19_export_written"](spark, str(tmp_path)).collect()
+    assert sorted((r.project, r.ord) for r in got) == [("b", i) for i in range(1, 41) if i != 7] + [("c", 1)]
+    assert {r.ord: r.title for r in got if r.project == "b"}[31] == "第31章"

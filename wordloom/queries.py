@@ -777,6 +777,13 @@ def s19_export_chapters(t):
     return P.exported(ch, ch.select("project", F.lit(30).alias("cursor")).distinct())
 
 
+@query(f"with {PCH}, m as (select book, max(ord) cursor from ch where {strip('text')} <> '' group by 1) select book project, ord, case when ord % 2 = 0 and {strip('left(text, 5)')} <> '' then left(text, 5) else '第' || ord || '章' end title, text from ch join m using (book) where ord <= cursor and {strip('text')} <> ''")
+def s19_export_written(t):
+    ch = t.plain_chapters().select(F.col("book").alias("project"), "ord", F.when(F.col("ord") % 2 == 0, F.left("text", F.lit(5))).alias("title"), "text")
+    projects = t.documents.select(F.col("source").alias("project"), F.lit(0).alias("cursor")).distinct()
+    return P.exported(ch, P.healed(projects, ch.filter(T.stripped("text") != "")))
+
+
 @query("select l_orderkey, string_agg('- 第' || l_linenumber || '拍［' || l_returnflag || '］' || l_partkey || case when l_linestatus = 'O' then '；情绪：O' else '' end, chr(10) order by l_linenumber, l_partkey) beats from (select l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_partkey from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_returnflag, l_linestatus) = 1) group by 1")
 def x34_rendered_beats(t):
     order = W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_returnflag", "l_linestatus")
