@@ -128,3 +128,50 @@ def test_export_reaches_the_last_written_chapter(spark, tmp_path):
     got = queries.queries()["s19_export_written"](spark, str(tmp_path)).collect()
     assert sorted((r.project, r.ord) for r in got) == [("b", i) for i in range(1, 41) if i != 7] + [("c", 1)]
     assert {r.ord: r.title for r in got if r.project == "b"}[31] == "第31章"
+
+
+def test_context_is_retrieved_by_bm25(spark):
+    """Against BM25 written out; the only chapter that is like chapter 9 stands eight chapters back."""
+    import math
+    import re
+
+    from wordloom.operators import projects
+
+    def tokens(x):
+        return [g for r in re.findall("[一-鿿]+|[a-z0-9]+", x) for g in ([r] if len(r) == 1 or r < "一" else [r[i : i + 2] for i in range(len(r) - 1)])]
+
+    lines = {1: "红色钥匙失落井底", 9: "红色钥匙再次出现", **{i: f"平静日子{chr(0x4E10 + i)}{chr(0x4E40 + i)}" for i in range(2, 9)}}
+    outlines = [(b, i, x, x + add, "开篇", "") for b, add in (("b", "事"), ("c", "红色")) for i, x in lines.items()]
+    gists = [(b, i, "章", lines[i] + "之后") for b in "bc" for i in (1, 3, 9)]
+    heroes = [("b", None, "林川"), ("c", None, "红色")]
+    frames = [spark.createDataFrame(rows, f"book string, ord int, title string{more}") for rows, more in ((outlines, ", core_event string, opening_hook string, ending_hook string"), (heroes, ""), (gists, ", gist string"))]
+    index = projects.indexed(dict(zip(("outline-chapter", "protagonist", "summary-chapter"), frames)))
+    got = {}
+    for r in projects.retrieved(frames[0], index, frames[1], 4).orderBy("rank").collect():
+        got.setdefault((r.book, r.ord), []).append(r.doc_id)
+    for book, hero in (("b", "林川"), ("c", "红色")):
+        docs = [(f"outline-chapter-{i}", i, f"{a}\n{a}\n{e}\n{h}") for b, i, a, e, h, _ in sorted(outlines) if b == book] + [("protagonist", None, f"{hero}\n{hero}")]
+        docs += [(f"summary-chapter-{i}", i, f"{a}\n{a}\n{g}") for b, i, a, g in sorted(gists) if b == book]
+        bags = [tokens(d[2]) for d in docs]
+        mean = sum(map(len, bags)) / len(bags)
+        for _, i, a, e, h, _ in [o for o in outlines if o[0] == book]:
+            scored = []
+            for at, ((name, own, _), bag) in enumerate(zip(docs, bags)):
+                score = 0.0
+                for w in tokens(f"{a}\n{e}\n{h}\n{hero}"):
+                    df, tf = sum(w in x for x in bags), bag.count(w)
+                    score += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(bag) / mean))
+                if own != i and score > 0:
+                    scored.append((-round(score, 9), at, name))
+            assert got.get((book, i), []) == [x[2] for x in sorted(scored)[:4]]
+    assert got["b", 9][0] in ("outline-chapter-1", "summary-chapter-1")
+
+
+def test_knowledge_is_searched(spark, tmp_path):
+    from wordloom import queries
+
+    pages = [(2, "u", "# 节奏\n\n慢热的开篇"), (7, "u", "路灯之下\n\n另一段"), (3, "u", "路灯之下"), (0, "u", "路灯之下")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "路灯"), (2, "节奏")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = queries.queries()["p08_knowledge_search"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.rank, r.source, r.heading) for r in got} == {(1, 1, "笔记/7.md", ""), (2, 1, "笔记/2.md", "节奏")}

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as T
-from . import runs
+from . import retrieval, runs
 
 
-def joined(*parts: Column, by: str = "\n") -> Column:
+def joined(*parts: Column | str, by: str = "\n") -> Column:
     """The parts that are not blank, joined."""
     return F.array_join(F.filter(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), lambda x: T.stripped(x) != ""), by)
 
@@ -75,6 +75,33 @@ def scrubbed(message: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(hosts, V.WINDOWS_PATH, V.HIDDEN_PATH), V.POSIX_PATH, V.HIDDEN_PATH)
 
 
+def indexed(parts: dict[str, DataFrame]) -> DataFrame:
+    """book, doc_id (struct of the part's place, ord, name), text of an index: {name: (book, ord, title, fields...)}; ord is null for a book's only part.
+
+    As the index does, the title is read with the text, which begins with it.
+    """
+
+    def of(place: int, name: str, rows: DataFrame) -> DataFrame:
+        fields = [F.col(c) for c in rows.columns if c not in ("book", "ord", "title")]
+        label = F.when(F.col("ord").isNull(), F.lit(name)).otherwise(F.concat(F.lit(f"{name}-"), F.col("ord").cast("string")))
+        return rows.select("book", F.struct(F.lit(place).alias("place"), "ord", label.alias("name")).alias("doc_id"), F.concat_ws("\n", "title", joined(F.col("title"), *fields)).alias("text"))
+
+    return reduce(DataFrame.unionByName, [of(i, k, v) for i, (k, v) in enumerate(parts.items())])
+
+
+def retrieved(outlines: DataFrame, index: DataFrame, heroes: DataFrame, k: int = V.TOP_K) -> DataFrame:
+    """book, ord, rank, doc_id, score: the k best of a book's index for each outlined chapter, without that chapter's own parts.
+
+    The query is the outline's title, event and hooks (title, core_event, opening_hook, ending_hook)
+    and the hero's name (book, title); ties go by the order of the index.
+    """
+    text = joined("title", "core_event", "opening_hook", "ending_hook", "hero")
+    queries = outlines.join(heroes.select("book", F.col("title").alias("hero")), "book", "left").select("book", F.col("ord").alias("query_id"), text.alias("text"))
+    other = F.col("doc_id.ord").isNull() | (F.col("doc_id.ord") != F.col("query_id.id"))
+    best = retrieval.top(retrieval.scores_within(index, queries).filter(other), k)
+    return best.select(F.col("query_id.g").alias("book"), F.col("query_id.id").alias("ord"), "rank", F.col("doc_id.name").alias("doc_id"), "score")
+
+
 def context(chapters: DataFrame, previous: DataFrame, open_hooks: DataFrame, hits: DataFrame) -> DataFrame:
     """book, ord, source, previous, hooks (opened orders, sorted), retrieved (ids in rank order) of each chapter.
 
@@ -83,4 +110,4 @@ def context(chapters: DataFrame, previous: DataFrame, open_hooks: DataFrame, hit
     hooks = open_hooks.groupBy("book", "ord").agg(F.array_sort(F.collect_list("opened")).alias("hooks"))
     found = hits.groupBy("book", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved"))
     out = chapters.select("book", "ord").join(previous, ["book", "ord"], "left").join(hooks, ["book", "ord"], "left").join(found, ["book", "ord"], "left")
-    return out.select("book", "ord", "source", "previous", F.coalesce("hooks", F.array().cast("array<int>")).alias("hooks"), F.coalesce("retrieved", F.array().cast("array<long>")).alias("retrieved"))
+    return out.select("book", "ord", "source", "previous", F.coalesce("hooks", F.array().cast("array<int>")).alias("hooks"), F.coalesce("retrieved", F.array().cast(found.schema["retrieved"].dataType)).alias("retrieved"))

@@ -819,6 +819,27 @@ def p07_context_pack(t):
     return pack.withColumns({"hooks": F.array_join(F.transform("hooks", lambda x: x.cast("string")), ","), "retrieved": F.array_join(F.transform("retrieved", lambda x: x.cast("string")), ",")})
 
 
+@query(None)
+def p07_context_retrieved(t):
+    ch = t.chapters()
+    outlines = ch.filter("ord % 2 = 0").select("book", "ord", F.left("text", F.lit(5)).alias("title"), F.left("text", F.lit(20)).alias("core_event"), F.left("text", F.lit(8)).alias("opening_hook"), F.right("text", F.lit(10)).alias("ending_hook"))
+    summaries = ch.filter("ord % 3 = 0").select("book", "ord", F.left("text", F.lit(5)).alias("title"), F.left("text", F.lit(30)).alias("gist"))
+    heroes = ch.filter("ord = 1").select("book", F.lit(None).cast("int").alias("ord"), F.left("text", F.lit(3)).alias("title"))
+    index = P.indexed({"outline-chapter": outlines, "protagonist": heroes, "summary-chapter": summaries})
+    pack = P.context(ch, L.previous_summaries(ch, outlines, summaries), L.open_at(_ledger(t), ch.select("book", "ord")), P.retrieved(outlines, index, heroes))
+    return pack.withColumns({"hooks": F.array_join(F.transform("hooks", lambda x: x.cast("string")), ","), "retrieved": F.array_join("retrieved", ",")})
+
+
+@query(None)
+def p08_knowledge_search(t):
+    files = _files(t)
+    kept = files.filter(K.decision(F.col("path"), F.col("size"), F.col("text"))["included"])
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    parts = K.chunks(kept, "path").select(F.struct("path", "index").alias("doc_id"), "heading", F.col("text").alias("chunk"), F.concat_ws("\n", F.when(F.col("heading") != "", F.col("heading")).otherwise(stem), "text").alias("text"))
+    hits = R.top(R.scores(parts, t.benchmark, "item_id"), V.SNIPPETS).join(parts.drop("text"), "doc_id")
+    return hits.select("query_id", "rank", K.chunk_id(F.col("doc_id.path"), F.col("doc_id.index")).alias("id"), F.col("doc_id.path").alias("source"), "heading", F.left("chunk", F.lit(V.SNIPPET_CHARS)).alias("text"), r6("score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
