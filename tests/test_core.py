@@ -175,3 +175,17 @@ def test_knowledge_is_searched(spark, tmp_path):
     spark.createDataFrame([(1, "路灯"), (2, "节奏")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = queries.queries()["p08_knowledge_search"](spark, str(tmp_path)).collect()
     assert {(r.query_id, r.rank, r.source, r.heading) for r in got} == {(1, 1, "笔记/7.md", ""), (2, 1, "笔记/2.md", "节奏")}
+
+
+def test_findings_have_evidence_and_score(spark):
+    text = "\n".join(f"他在屋里坐着等{c}，外面的雨一直下得很大很大很大。后来他站起身走到窗边看着外面的雨——没有说话。" for c in "甲乙丙丁戊己庚辛壬癸" * 6)
+    chapters = spark.createDataFrame([(1, text), (2, "短。")], "id int, text string")
+    found = style.findings(chapters, "id")
+    got = {r.metric: r.evidence for r in style.shown(found, chapters, "id").collect()}
+    assert got["破折号密度"] == text.split("\n")[0][:60] and set(got) == {r.metric for r in found.collect()}
+    one_of = lambda m, x: one(spark, style.evidence(T.F.lit(m), T.F.col("text")), x)
+    assert one_of("对白破折号占比", "“好。”“我——”") == "「我——」" and one_of("对白条数每千字", "“好。”“我——”") == "（全章引号台词 2 条）"
+    assert one_of("分句均字", "他站起身走了出去，走吧。") == "走吧" and one_of("段p90字", "他走了。\n好。").startswith("（整章没有")
+    assert one_of("段p90字", "他走了。她来了。") == "（最长多句段只有 6 字）他走了。她来了。" and one_of("句均字", "他走了。") == ""
+    scores = {r.id: (r.rules, r.findings, r.score) for r in style.scored(chapters, found, "id").collect()}
+    assert scores[2] == (0, 0, 0.0) and scores[1] == (6, len(got), round(len(got) / 6, 4))

@@ -123,6 +123,42 @@ def findings(chapters: DataFrame, *keep: str) -> DataFrame:
     return found.select(*keep, "metric", F.bround("value", 4).alias("value"), "limit", "bound", "dir", percentile(F.col("metric"), F.col("value")).alias("percentile"), F.row_number().over(order).alias("rank"))
 
 
+def evidence(metric: Column, text: Column) -> Column:
+    """The piece of a chapter that shows a finding of the metric (empty if none does)."""
+    paras, quotes = T.paragraphs(text), F.transform(_found(text, V.QUOTED, 1), T.stripped)
+    several = lambda n: F.filter(paras, lambda p: F.size(_lengths(_found(p, V.STYLE_SENTENCE), 2)) >= n)
+    first = lambda found, most: F.coalesce(F.left(F.get(found, F.lit(0)), F.lit(most)), F.lit(""))
+    having = lambda pattern: first(F.filter(paras, lambda p: p.rlike(pattern)), 60)
+    said = lambda pattern: F.coalesce(F.left(F.concat(F.lit("「"), F.get(F.filter(quotes, lambda q: q.rlike(pattern)), F.lit(0)), F.lit("」")), F.lit(60)), F.lit(""))
+    longest = F.array_max(F.transform(several(2), lambda p, i: F.struct(_chars(p).alias("n"), (-i).alias("i"), p.alias("p"))))
+    clauses = F.filter(F.split(text, V.CLAUSE_END), lambda c: _chars(c).between(2, 4))
+    return (
+        F.when(metric == "对白破折号占比", said(V.DENSITIES["破折号密度"]))
+        .when(metric == "对白第二人称密度", said(V.DIALOGUE_DENSITIES["对白第二人称密度"]))
+        .when(metric == "对白条数每千字", F.format_string("（全章引号台词 %d 条）", F.size(quotes)))
+        .when(metric.isin("破折号密度", "身体外化密度"), F.when(metric == "破折号密度", having(V.DENSITIES["破折号密度"])).otherwise(having(V.DENSITIES["身体外化密度"])))
+        .when(metric == "段均句数", first(several(3), 60))
+        .when(metric == "段p90字", F.when(longest.isNull(), "（整章没有一个两句话以上的段落，长段被全部删掉）").otherwise(F.format_string("（最长多句段只有 %d 字）%s", longest["n"], F.left(longest["p"], F.lit(50)))))
+        .when(metric == "单句段占比", F.lit("（整章多数段落是多句连排，没有用空行分句）"))
+        .when(metric == "分句均字", F.left(T.stripped(F.coalesce(F.get(clauses, F.lit(0)), F.lit(""))), F.lit(40)))
+        .otherwise("")
+    )
+
+
+def shown(found: DataFrame, chapters: DataFrame, *keep: str) -> DataFrame:
+    """The findings with the evidence of each."""
+    return found.join(chapters.select(*keep, "text"), list(keep)).withColumn("evidence", evidence(F.col("metric"), F.col("text"))).drop("text")
+
+
+def scored(chapters: DataFrame, found: DataFrame, *keep: str) -> DataFrame:
+    """keep, rules, findings, score of every chapter: the share of the rules it was held against that it breaks (0 if none was)."""
+    both = dialogue(measured(chapters, *keep, "text").drop("cjk"), *keep, "checked")
+    rules = F.col("checked").cast("int") * (len(V.STYLE_RULES) + F.col("dialogue_checked").cast("int") * len(V.DIALOGUE_RULES))
+    n = F.coalesce("n", F.lit(0))
+    rows = both.select(*keep, rules.alias("rules")).join(found.groupBy(*keep).agg(F.count("*").alias("n")), list(keep), "left")
+    return rows.select(*keep, "rules", n.alias("findings"), F.when(F.col("rules") > 0, F.bround(n / F.col("rules"), 4)).otherwise(0.0).alias("score"))
+
+
 def fingerprint(chapters: DataFrame, *keep: str) -> DataFrame:
     """keep, the eight fingerprint values, violations and passed (one violation at most)."""
     text = F.col("text")
