@@ -121,6 +121,15 @@ def test_substring_dedup(docs, rows, none, batches, monkeypatch):
     assert substring_dedup.deduplicate(none).count() == 0
 
 
+def test_substring_dedup_compacts(docs, rows, monkeypatch):
+    merged = []
+    compact = substring_dedup.FingerprintIndex._compact
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "_compact", lambda self, runs, key: (merged.append((key, len(runs), len(out := compact(self, runs, key)))), out)[1])
+    got = substring_dedup.deduplicate(docs, batches=7).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == removed(rows)
+    assert {key for key, before, after in merged if after < before} == {"fp", "whole"} and len(merged) >= 12
+
+
 def test_packing_round_trip(docs, rows, none):
     from tokenizers import Tokenizer
 
