@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -13,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,19 +40,67 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as compressed Parquet in the shared folder and read back (for tables too wide for a checkpoint)."""
-    path = f"{shared_dir(df.sparkSession)}/wordloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+def removed(uri: str) -> None:
+    """Deletes a folder that this subpackage wrote; one that is already gone, or lies where only Spark can reach it, is left."""
+    try:
+        fs, path = filesystem(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return
+    if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
+        fs.delete_dir(path)
+
+
+#: Spark's setting by which the shuffle files of a finished write are removed at once, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Writes inside remove their shuffle files when they end, as nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """df written as compressed Parquet and read back."""
+    with tidy_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one call in the shared folder, so that lineage is cut by files that outlive executors.
+
+    `clear` deletes them, but for those written with `keep`, which the call's result still reads.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/wordloom-{uuid.uuid4().hex}"
+        if not keep:
+            self.paths.append(path)
+        return saved(df, path)
+
+    def clear(self) -> None:
+        while self.paths:
+            removed(self.paths.pop())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written in the shared folder and read back, for good."""
+    return Scratch(df.sparkSession).written(df, keep=True)
+
+
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -189,25 +239,32 @@ def unite(n: int, a: Iterable[int], b: Iterable[int]) -> np.ndarray:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges (a, b): component is the smallest node reachable.
+    """(node, component) for every node of edges (a, b): component is the smallest node reachable. The result is a written table.
 
     Alternating large-star and small-star steps; each step groups by node with map-side minima and
-    joins them back, so no neighbour list is ever gathered. Self-loops keep their node.
+    joins them back, so no neighbour list is ever gathered. Self-loops keep their node. Each round's
+    edges are written and the round's before deleted.
     """
-    edges = cut(edges.select("a", "b").distinct())  # read several times below: made once
+    spark = edges.sparkSession
+    first, held = Scratch(spark), Scratch(spark)
+    edges = first.written(edges.select("a", "b").distinct())  # read several times below: made once
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = held.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).filter("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-        if now == seen:
+        now = Scratch(spark)
+        e = now.written(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).filter("u <> v").distinct())
+        held.clear()
+        held, state = now, tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
+        if state == seen:
             break
-        seen = now
-    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component")
-    )
+        seen = state
+    of = nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left")
+    out = written(of.select("node", F.coalesce("component", "node").alias("component")))
+    first.clear()
+    held.clear()
+    return out

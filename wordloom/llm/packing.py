@@ -4,8 +4,11 @@ Documents are tokenised, closed by a separator id, and cut into full windows plu
 Remainders of one shard (a hash of document and start; shards are of a bounded number of
 documents, so their number follows the input) arrive longest first; a segment tree indexed by
 remaining capacity gives the tightest open window that still holds the piece, else a new window
-is opened. Full windows need no search. Null text is an empty document (just the separator);
-repeated rows are packed as often as they occur; a null id stays null.
+is opened. Full windows need no search. Each shard is one task of its own.
+
+Edge cases: null text is an empty document (just the separator); an empty table gives no row;
+repeated rows are packed as often as they occur; a null id stays null; texts of any length are
+tokenised whole, a few megabytes of texts at a time.
 """
 
 from __future__ import annotations
@@ -179,7 +182,7 @@ def _pieces(path: str, window: int, separator: int, payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = ChunkTokenizer.at(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text="text"):
                 out: list[tuple] = []
                 begin, tokens = tokenizer.encode(part.column(1))
                 for i, doc in enumerate(part.column(0).to_pylist()):
@@ -194,21 +197,17 @@ def _pieces(path: str, window: int, separator: int, payload: bool):
     return run, ", ".join(["doc_id long, start long, length long, ids_crc32 long, doc_tokens long"] + ["ids binary"] * payload)
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int = SEPARATOR, payload: bool = False) -> DataFrame:
-    """Pieces of all documents, at most `window` ids each: doc_id, start, length, ids_crc32, doc_tokens, shard[, ids]."""
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int = SEPARATOR, payload: bool = False) -> tuple[DataFrame, int]:
+    """(pieces of all documents, at most `window` ids each: doc_id, start, length, ids_crc32, doc_tokens, shard[, ids]; number of shards)."""
     shards = max(1, -(-docs.count() // SHARD_DOCUMENTS))
     run, schema = _pieces(tokenizer, window, separator, payload)
     cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-    return cut_up.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-
-
-def _sorted_shards(found: DataFrame) -> DataFrame:
-    n = max(1, min(partitions_of(found), 10_000))
-    return found.repartition(n, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "start", "ids_crc32")
+    return cut_up.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))), shards
 
 
-def partitions_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _sorted_shards(found: DataFrame, shards: int) -> DataFrame:
+    """One partition a shard, so that no task gets more than a shard however many partitions a session shuffles into."""
+    return found.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.desc("length"), "doc_id", "start", "ids_crc32")
 
 
 class _Packer:
@@ -242,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int =
             seq, off = zip(*placed) if placed else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in schema.names[:5]] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())], schema=schema)
 
-    return _sorted_shards(pieces(docs, tokenizer, window, separator)).mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
+    return _sorted_shards(*pieces(docs, tokenizer, window, separator)).mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
 
 
 def matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int = SEPARATOR) -> DataFrame:
@@ -297,7 +296,7 @@ def matrices(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: i
             yield from sent(256)
         yield from sent(1)
 
-    found = _sorted_shards(pieces(docs, tokenizer, window, separator, payload=True))
+    found = _sorted_shards(*pieces(docs, tokenizer, window, separator, payload=True))
     return found.mapInArrow(
         run,
         "sequence_id long, n_tokens long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, ids_crc32 long",
