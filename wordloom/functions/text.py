@@ -71,10 +71,13 @@ def numeral(token: Column | str) -> Column:
     return F.when(_c(token).rlike("^[0-9]+$"), F.try_to_number(_c(token), F.lit("9999999999")).cast("int")).when(_c(token).rlike("^[零一二两三四五六七八九十百千万]+$"), done)
 
 
-def sentences(text: Column | str) -> Column:
-    """Sentences that do not break inside paired quotes; array of (at, text), at being the offset of its first character."""
+def sentences(text: Column | str, base: Column | None = None) -> Column:
+    """Sentences that do not break inside paired quotes; array of (at, text), at being the offset of its first character.
+
+    Offsets count from `base`, which starts the fold and so is evaluated once, not once a sentence.
+    """
     parts = F.regexp_extract_all(_c(text), F.lit(f"({V.SENTENCE})"), 1)
-    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
+    start = F.struct((F.lit(0) if base is None else base).alias("upto"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
 
     def step(a: Column, p: Column) -> Column:
         lead = F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))

@@ -10,6 +10,20 @@ from ..functions import fixed as V
 from ..functions import text as T
 
 
+def numbered(rows: DataFrame, key: str, at: str, name: str, block: int = 65_536) -> DataFrame:
+    """rows with each one's number (from 1) among its key's, in order of the integer `at`, which names a row.
+
+    Only ids are ranked: inside blocks of ids first, then the blocks' sizes are summed up, so a key
+    with a third of all rows is not one task, and no text is sorted.
+    """
+    ids = rows.select(F.col(key).alias("k"), F.col(at).alias("at"), F.floor(F.col(at) / block).alias("b"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("k").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = ids.groupBy("k", "b").agg(F.count("*").alias("n")).select(F.col("k").alias("k2"), F.col("b").alias("b2"), before.alias("before"))
+    inside = ids.withColumn("rn", F.row_number().over(W.partitionBy("k", "b").orderBy("at")))
+    ranked = inside.join(sizes, F.col("k").eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2"))).select(F.col("at").alias(at), (F.col("before") + F.col("rn")).cast("int").alias(name))
+    return rows.join(ranked.hint("merge"), at)
+
+
 def heading(line: Column) -> tuple[Column, Column]:
     """(order, title) of a heading line; order is null where the line is none."""
     m = lambda i: F.regexp_extract(line, V.HEADING, i)
@@ -70,11 +84,11 @@ def measures(chapters: DataFrame, *keep: str) -> DataFrame:
     """The chapters' measures: lengths and shares of sentences, hooks, anchors; one row a chapter, no shuffle."""
     inside, base = body(F.col("text"))
     s = chapters.select(*keep, "text", inside.alias("body"), base.alias("base"))
-    s = s.withColumn("sentences", T.sentences("body"))
+    s = s.withColumn("sentences", T.sentences("body", F.col("base")))
     flags = F.transform(
         "sentences",
         lambda x: F.struct(
-            (x["at"] + F.col("base")).alias("start"),
+            x["at"].alias("start"),
             F.length(T.unspaced(x["text"])).alias("n"),
             x["text"].rlike(V.DIALOGUE).alias("dialogue"),
             x["text"].rlike("[！!]").alias("exclaim"),
@@ -115,20 +129,30 @@ def measures(chapters: DataFrame, *keep: str) -> DataFrame:
 
 
 def structure(measured: DataFrame) -> DataFrame:
-    """A book's totals and sentence-weighted means (book, ord and the measures in; one row a book out)."""
-    total = F.sum("sentence_count")
-    weighed = lambda c: F.when(total > 0, F.sum(F.col(c) * F.col("sentence_count")) / total).otherwise(0.0)
-    base = measured.groupBy("book").agg(
+    """A book's totals and sentence-weighted means (book, ord and the measures in; one row a book out).
+
+    Chapters are summed by book and median first, with map-side sums; both the totals and the lower
+    weighted median come from those few rows, so the measures are made once and no text moves.
+    """
+    weighed = {"avg_sentence_chars": "avg_sentence_chars", "dialogue_sentence_ratio": "avg_dialogue_ratio", "short_sentence_ratio": "short_sentence_ratio", "long_sentence_ratio": "long_sentence_ratio"}
+    some = measured.groupBy("book", F.col("median_sentence_chars").alias("middle")).agg(
         F.count("*").alias("chapters"),
-        F.sum("char_count").alias("total_chars"),
-        F.avg("char_count").alias("avg_chapter_chars"),
-        weighed("avg_sentence_chars").alias("avg_sentence_chars"),
-        weighed("dialogue_sentence_ratio").alias("avg_dialogue_ratio"),
-        weighed("short_sentence_ratio").alias("short_sentence_ratio"),
-        weighed("long_sentence_ratio").alias("long_sentence_ratio"),
-        F.when(F.sum("char_count") > 0, F.sum("anchor_count") / F.sum("char_count") * 1000).otherwise(0.0).alias("per_thousand_conflicts"),
+        F.sum("char_count").alias("chars"),
+        F.sum("anchor_count").alias("anchors"),
+        F.sum("sentence_count").alias("w"),
+        *[F.sum(F.col(c) * F.col("sentence_count")).alias(f"sum_{c}") for c in weighed],
+    )
+    upto = F.sum("w").over(W.partitionBy("book").orderBy("middle").rowsBetween(W.unboundedPreceding, 0))
+    some = some.withColumn("upto", upto).withColumn("total", F.sum("w").over(W.partitionBy("book")))
+    total, chars = F.sum("w"), F.sum("chars")
+    return some.groupBy("book").agg(
+        F.sum("chapters").alias("chapters"),
+        chars.alias("total_chars"),
+        (chars / F.sum("chapters")).alias("avg_chapter_chars"),
+        *[F.when(total > 0, F.sum(f"sum_{c}") / total).otherwise(0.0).alias(name) for c, name in weighed.items()],
+        F.when(chars > 0, F.sum("anchors") / chars * 1000).otherwise(0.0).alias("per_thousand_conflicts"),
+        F.coalesce(F.min(F.when((F.col("w") > 0) & (F.col("upto") >= F.col("total") / 2), F.col("middle"))), F.lit(0.0)).alias("median_sentence_chars"),
     )
-    return base.join(lower_weighted_median(measured, "book", "median_sentence_chars", "sentence_count"), "book", "left").withColumn("median_sentence_chars", F.coalesce("median_sentence_chars", F.lit(0.0)))
 
 
 def lower_weighted_median(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,33 +81,58 @@ def windowed(chapters: DataFrame, size: int = V.RECENT) -> DataFrame:
     return ids.join(earlier, ["book", "block"]).filter(F.col("prev").between(F.col("ord") - size, F.col("ord") - 1)).select("book", "ord", "prev")
 
 
+def _gram_hashes(text: str, n: int) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct n-grams."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(len(c) - n + 1, 0), np.uint64)
+    for i in range(n):
+        h = (h ^ c[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def _nearest(size: int, n: int):
+    """For one block of chapters and the one before it: each own chapter against its last `size` numbers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("ord", "own", "t", "book"))), key=lambda r: r[0])
+        grams = [_gram_hashes(r[2] or "", n) for r in rows]
+        out = []
+        for i, (ord_, own, _, book) in enumerate(rows):
+            if not own:
+                continue
+            mine, met, best, worst = grams[i], np.zeros(len(grams[i]), bool), 0.0, None
+            for j, (prev, *_) in enumerate(rows):
+                if ord_ - size <= prev < ord_ and len(mine) and len(grams[j]):
+                    at = np.minimum(np.searchsorted(mine, grams[j]), len(mine) - 1)
+                    hit = at[mine[at] == grams[j]]
+                    met[hit] = True
+                    both = len(hit) / (len(mine) + len(grams[j]) - len(hit))
+                    if both > best:
+                        best, worst = both, prev
+            out.append((book, ord_, len(mine), best, worst, float(met.mean()) if len(mine) else 0.0))
+        kinds = [table.schema.field("book").type, table.schema.field("ord").type, pa.int64(), pa.float64(), table.schema.field("ord").type, pa.float64()]
+        names = ["book", "ord", "grams", "overlap", "worst", "containment"]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
+
+    return run
+
+
 def cross_chapter(chapters: DataFrame, size: int = V.RECENT) -> DataFrame:
     """book, ord, overlap, worst, containment, freshness against the last `size` chapters.
 
     overlap: the greatest Jaccard similarity of 5-gram sets with one of them (worst: the earliest
-    such); containment: the share of grams in their union; freshness: one less that share. Gram sets
-    are made once a chapter, as 64-bit hashes, and joined pair by pair - never gram by gram, as
-    common grams would skew.
+    such); containment: the share of grams in their union; freshness: one less that share. Each
+    text travels twice, to its own block of `size` numbers and to the next one, where one kernel
+    makes gram sets and compares them; a group is two blocks, however long the book.
     """
-    compact = chapters.select("book", "ord", T.unspaced("text").alias("t"))
-    sets = compact.select("book", "ord", F.array_distinct(F.transform(T.grams("t", V.GRAM), lambda g: F.xxhash64(g))).alias("g"))
-    pairs = windowed(sets, size).join(sets, ["book", "ord"]).join(sets.select("book", F.col("ord").alias("prev"), F.col("g").alias("h")), ["book", "prev"])
-    common = pairs.filter((F.size("g") > 0) & (F.size("h") > 0)).withColumn("both", F.array_intersect("g", "h"))
-    jaccard = F.size("both") / (F.size("g") + F.size("h") - F.size("both"))
-    found = common.groupBy("book", "ord").agg(
-        F.max(jaccard).alias("overlap"),
-        F.max_by("prev", F.struct(jaccard, -F.col("prev"))).alias("worst"),
-        (F.size(F.array_distinct(F.flatten(F.collect_list("both")))) / F.first(F.size("g"))).alias("containment"),
-    )
-    out = sets.select("book", "ord", F.size("g").alias("grams")).join(found, ["book", "ord"], "left")
-    return out.select(
-        "book",
-        "ord",
-        F.coalesce("overlap", F.lit(0.0)).alias("overlap"),
-        F.when(F.col("overlap") > 0, F.col("worst")).alias("worst"),
-        F.coalesce("containment", F.lit(0.0)).alias("containment"),
-        F.when(F.col("grams") == 0, 0.0).otherwise(F.bround(1 - F.coalesce("containment", F.lit(0.0)), 4)).alias("freshness"),
-    )
+    block = F.floor(F.col("ord") / size)
+    compact = chapters.select("book", "ord", T.unspaced("text").alias("t"), F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
+    compact = compact.withColumn("block", F.when(F.col("own"), block).otherwise(block + 1))
+    ord_ = chapters.schema["ord"].dataType.simpleString()
+    schema = f"book {chapters.schema['book'].dataType.simpleString()}, ord {ord_}, grams long, overlap double, worst {ord_}, containment double"
+    found = compact.groupBy("book", "block").applyInArrow(_nearest(size, V.GRAM), schema)
+    return found.select("book", "ord", "overlap", "worst", "containment", F.when(F.col("grams") == 0, 0.0).otherwise(F.bround(1 - F.col("containment"), 4)).alias("freshness"))
 
 
 def verdict(rules: Column, text: Column) -> Column:

@@ -58,12 +58,11 @@ class Tables:
 
     def chapters(self) -> DataFrame:
         """book, ord, pos, doc_id, text."""
-        order = W.partitionBy("source").orderBy("doc_id")
-        return self.chinese().select(F.col("source").alias("book"), F.row_number().over(order).alias("ord"), "doc_id", "text").withColumn("pos", F.col("ord") - 1)
+        return C.numbered(self.chinese(), "source", "doc_id", "ord").select(F.col("source").alias("book"), "ord", "doc_id", "text", (F.col("ord") - 1).alias("pos"))
 
     def plain_chapters(self) -> DataFrame:
-        order = W.partitionBy("source").orderBy("doc_id")
-        return self.documents.select(F.col("source").alias("book"), F.row_number().over(order).alias("ord"), "doc_id", "text")
+        d = self.documents.select("source", "doc_id", "text")
+        return C.numbered(d, "source", "doc_id", "ord").select(F.col("source").alias("book"), "ord", "doc_id", "text")
 
     def books(self) -> DataFrame:
         """book, text: each document as a book whose every third line gets a heading."""
@@ -374,9 +373,12 @@ def p04_a22_gate_verdicts(t):
 @query("with w as (select doc_id, list_distinct(string_split(text, ' ')) w, lead(list_distinct(string_split(text, ' '))) over (order by doc_id) o from documents) select doc_id, round(len(list_intersect(w, coalesce(o, []))) / len(w), 6) ratio from w")
 def u05_overlap_ratio(t):
     w = t.documents.select("doc_id", F.split("text", " ").alias("w"))
-    following = w.select((F.col("doc_id")).alias("next_id"), F.col("w").alias("o"))
-    ids = w.select("doc_id").withColumn("next_id", F.lead("doc_id").over(W.orderBy("doc_id")))
-    both = w.join(ids, "doc_id").join(following, "next_id", "left")
+    # The next id, inside blocks of ids; a block's last one is followed by the first of the next block that has any.
+    ids = w.select("doc_id", F.floor(F.col("doc_id") / 65_536).alias("b"))
+    firsts = ids.groupBy("b").agg(F.min("doc_id").alias("first")).withColumn("after", F.lead("first").over(W.orderBy("b")))
+    inside = F.lead("doc_id").over(W.partitionBy("b").orderBy("doc_id"))
+    ids = ids.withColumn("inside", inside).join(firsts, "b").select("doc_id", F.coalesce("inside", "after").alias("next_id"))
+    both = w.join(ids, "doc_id").join(w.select(F.col("doc_id").alias("next_id"), F.col("w").alias("o")), "next_id", "left")
     return both.select("doc_id", r6(T.overlap(F.col("w"), F.coalesce("o", F.array().cast("array<string>")))).alias("ratio"))
 
 
