@@ -2,19 +2,23 @@
 
 Two documents link when den * |A and B| >= num * |A or B| over their distinct shingles. A document
 whose set is equal to another's is the same node, so copies cost one node. For every node the
-shingles are put in three global orders. Linked sets share one of the first n - ceil(t n) + 1
-shingles under each of them. The first order (rarest word first, by counts over all documents)
-deals prefix shingles out to tasks; inside a shingle's group a pair survives only if it passes the
-length bound, the positional bound and the prefix filters of the other two orders (32-bit masks
-of their prefixes, which dismiss no linked pair). The surviving pairs' spanning forest - never the
-pairs - leaves the task. Components of these candidate links are families. Inside a family every
-pair is first bounded by histograms of the sets (the sum of smaller counts is at least the
-intersection), which splits loose families; what holds together is verified on whole sets. Both
-steps work in blocks of bounded size.
+shingles are put in three global orders (rarest word first, by counts over all documents, and two
+orders by hash). Linked sets share one of the first n - ceil(t n) + 1 shingles under each of them.
+The first order deals prefix shingles out to tasks; inside a shingle's group, block by block of
+bounded size, a pair survives if it passes the length and the positional bound. What connected
+pairs hold together is a family: a bounded set of nodes, named by a hash of the set, so that the
+many shingles of the same near copies make it once. Only sets leave the task, never pairs, and
+families are not merged, as chains of chance meetings would tie all documents together. Inside a
+family a pair is a candidate only if histograms of the sets allow the link (the sum of smaller
+counts is at least the intersection) and if it shares a prefix shingle under each of the three
+orders, whose filters are intersected one after the other. Components of candidates are verified on
+whole sets, in pairs of blocks of bounded size.
 
 Edge cases: null or blank text has an empty set, links with nothing and is its own component;
 fewer words than a shingle form one shingle; repeated rows are returned as often as they come;
-null ids are ignored when a component's smallest id is sought.
+null ids are ignored when a component's smallest id is sought; an empty table gives no row; texts of
+any length are read whole, a few megabytes of texts at a time; columns beyond doc_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -27,19 +31,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, mixed, partitions, signed, slices, tidy, U64, unite, window_hashes, word_hashes, written
+from .common import Scratch, U64, connected_components, mixed, partitions, signed, slices, tidy, unite, window_hashes, word_hashes
 
 #: Words whose counts order the shingles: the most frequent ones, so the table sent out is bounded.
 RANKED_WORDS = 100_000
-#: Rows of one shingle's group compared at once, and the most rows and characters of a block of a family.
-GROUP_BLOCK, FAMILY_ROWS, FAMILY_CHARS, SKETCH_BYTES = 512, 1024, 6_000_000, 1_000_000
+#: Rows of one shingle's group compared at once with as many others, and the most rows and characters of a block of texts.
+GROUP_BLOCK, FAMILY_ROWS, FAMILY_CHARS = 512, 512, 6_000_000
+#: Seeds of the second and third order.
+ORDERS = (0xA0761D64, 0x51ED270B)
 
 
 def frequent_words(docs: DataFrame, top: int = RANKED_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of the most frequent lower-cased words of all documents.
+    """(sorted hashes, counts) of the most frequent lower-cased words of all documents, at most `top`.
 
     Each task counts all its words; those it met only once are left out, as they order last anyway.
+    The least count that `top` words reach is read off a histogram of counts, so that the driver
+    gets those words and nothing of any other.
     """
+    scratch = Scratch(docs.sparkSession)
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +60,7 @@ def frequent_words(docs: DataFrame, top: int = RANKED_WORDS) -> tuple[np.ndarray
             return u, np.bincount(at, c, len(u)).astype(np.int64)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text="text"):
                 _, h = word_hashes(part.column(0), lower=True)
                 held.append(np.unique(h, return_counts=True))
                 if sum(len(x[0]) for x in held) > 2_000_000:
@@ -63,7 +72,15 @@ def frequent_words(docs: DataFrame, top: int = RANKED_WORDS) -> tuple[np.ndarray
             u, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(signed(u[c > 1])), pa.array(c[c > 1])], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top).collect()
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    counts = scratch.written(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", level))
+    least, total = 1 << 30, 0
+    for r in counts.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # a thousand rows at most
+        if (total := total + r.words) > top:
+            break
+        least = r.level
+    rows = counts.filter(F.col("level") >= least).select("word", "n").collect()
+    scratch.clear()
     words, n = np.array([r[0] for r in rows], np.int64).view(U64), np.array([r[1] for r in rows], np.int64)
     order = np.argsort(words)
     return words[order], n[order]
@@ -99,12 +116,9 @@ def _needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def _mask(s: np.ndarray, p: int, seed: int) -> int:
-    if p >= 120:
-        return (1 << 32) - 1
-    key = mixed(s ^ U64(seed))
-    first = s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
-    return int(np.bitwise_or.reduce(U64(1) << (first >> U64(59))))
+def _first(key: np.ndarray, p: int) -> np.ndarray:
+    """Places of the p least keys, in no order."""
+    return np.argpartition(key, p - 1)[:p] if p < len(key) else np.arange(len(key))
 
 
 def _histogram(s: np.ndarray) -> bytes:
@@ -118,47 +132,69 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh3_64_intdigest(raw, 1) - (1 << 63)
 
 
+def short(prefixes: list[np.ndarray]) -> bytes:
+    """Prefixes of one length as 16 bits a shingle, or 32 for long ones: what two sets share agrees; what agrees by chance is rare."""
+    kind = "<u2" if len(prefixes[0]) <= 256 else "<u4"
+    return b"".join((x & U64(0xFFFFFFFF)).astype(kind).tobytes() for x in prefixes)
+
+
+_SIGNED = "doc_id long, text_key long, n_shingles long, n_chars long, node long, check long, prefix array<long>, orders binary, histogram binary"
+
+
 def _signatures(k: int, num: int, den: int, ranks):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("n_chars", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), ("masks", pa.int64()), ("histogram", pa.binary())])
+    """Per row its set's size and hashes; once a task and node also the prefix under the first order (in order), the prefixes
+    under all orders (a few bits of each shingle, one order after the other), and a histogram."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("n_chars", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("prefix", pa.list_(pa.int64())), ("orders", pa.binary()), ("histogram", pa.binary())])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # nodes whose prefixes this task has given
+        seen: set[tuple[int, int]] = set()  # nodes whose prefixes this task has given
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text="text"):
                 out = []
-                for doc, key_, text, (s, rank) in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(1), shingle_sets(part.column(1), k, ranks.value)):
+                for doc, key_, text, (s, rank) in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(), part.column("text"), shingle_sets(part.column("text"), k, ranks.value)):
                     n = len(s)
                     if not n:
-                        out.append((doc, key_, 0, 0, None, None, None, 0, None))
+                        out.append((doc, key_, 0, 0, None, None, None, None, None))
                         continue
-                    node, check = node_of(s)
-                    prefix, masks, histogram = None, 0, None
+                    node = node_of(s)
+                    prefix = orders = histogram = None
                     if node not in seen:
                         seen.add(node)
                         p = n - _needed(n, num, den) + 1
                         key = (rank.astype(U64) << U64(30)) | (mixed(s) >> U64(34))
-                        first = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
+                        first = _first(key, p)
                         prefix = signed(s[first[np.argsort(key[first], kind="stable")]])
-                        masks = (_mask(s, p, 0x51ED270B) << 31 << 1 | _mask(s, p, 0xA0761D64)) - (1 << 63)
+                        orders = short([s[first], *(s[_first(mixed(s ^ U64(seed)), p)] for seed in ORDERS)])
                         histogram = _histogram(s)
-                    out.append((doc, key_, n, len(text.as_py()), node, check, prefix, masks, histogram))
+                    out.append((doc, key_, n, len(text.as_py()), *node, prefix, orders, histogram))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
 def _surviving(x: tuple, y: tuple, num: int, den: int) -> np.ndarray:
-    """Which pairs of x's and y's rows pass the length, positional and other orders' filters."""
-    (xn, xp, xm), (yn, yp, ym) = ([c[:, None] for c in x], [c[None, :] for c in y])
+    """Which pairs of x's and y's rows pass the length and the positional filter."""
+    (xn, xp), (yn, yp) = ([c[:, None] for c in x], [c[None, :] for c in y])
     ok = np.minimum(xn, yn) * den >= np.maximum(xn, yn) * num
-    ok &= (num + den) * np.minimum(xn - xp, yn - yp) >= num * (xn + yn)
-    both = xm & ym
-    return ok & ((both & U64(0xFFFFFFFF)) != 0) & ((both >> U64(32)) != 0)
+    return ok & ((num + den) * np.minimum(xn - xp, yn - yp) >= num * (xn + yn))
+
+
+def _sets(nodes: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, node) for the members of each component of at least two distinct nodes; a name is a hash of the set."""
+    order = np.lexsort((nodes, root))
+    r, v = root[order], nodes[order]
+    once = np.concatenate([[True], (r[1:] != r[:-1]) | (v[1:] != v[:-1])])
+    r, v = r[once], v[once]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    size = np.diff(np.append(first, len(r)))
+    name = mixed(np.add.reduceat(mixed(v.view(U64) ^ U64(0x6A09E667F3BCC909)), first) + size.astype(U64))
+    use = np.repeat(size > 1, size)
+    return signed(np.repeat(name, size)[use]), v[use]
 
 
 def _candidates(num: int, den: int):
-    """Per shingle (rows sorted by shingle, then set size): star edges of the surviving pairs' spanning forest."""
+    """Per shingle (rows sorted by shingle, then set size): the sets of nodes that surviving pairs connect, a block with each other one."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,39 +209,38 @@ def _candidates(num: int, den: int):
                 for old in [*kept, new]:
                     i, j = np.nonzero(_surviving(old[1:], new[1:], num, den))
                     if len(i):
-                        both = np.concatenate([old[0], new[0]])
-                        root = unite(len(both), i, j + len(old[0]) if old is not new else j)
-                        on = np.nonzero(root != np.arange(len(both)))[0]
-                        yield both[on], both[root[on]]
+                        both = new[0] if old is new else np.concatenate([old[0], new[0]])
+                        yield _sets(both, unite(len(both), i, j if old is new else j + len(old[0])))
                 kept.append(new)
 
         for batch in batches:
             t = batch.column("token").to_numpy()
             place = batch.column("place").to_numpy()
-            masks = batch.column("masks").to_numpy().view(U64) ^ U64(1 << 63)
-            rows = [batch.column("node").to_numpy(), place >> 32, place & 0xFFFFFFFF, masks]
+            rows = [batch.column("node").to_numpy(), place >> 32, place & 0xFFFFFFFF]
             edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
             sizes = np.diff(np.append(edges, len(t)))
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            for g, (at, size) in enumerate(zip(edges.tolist(), sizes.tolist())):
-                last = g == len(edges) - 1
+            two = np.flatnonzero(sizes == 2)
+            two = two[(two != len(edges) - 1) & ((two > 0) | (token is None))]
+            if len(two):  # most groups, all at once
+                x, y = ([c[edges[two] + i] for c in rows] for i in (0, 1))
+                ok = (x[0] != y[0]) & (np.minimum(x[1], y[1]) * den >= np.maximum(x[1], y[1]) * num) & ((num + den) * np.minimum(x[1] - x[2], y[1] - y[2]) >= num * (x[1] + y[1]))
+                if ok.any():
+                    found.append(_sets(np.concatenate([x[0][ok], y[0][ok]]), np.tile(np.arange(ok.sum()), 2)))
+            for g in np.flatnonzero((sizes > 2) | (np.arange(len(sizes)) == len(edges) - 1) | (np.arange(len(sizes)) == 0)).tolist():
+                at, size, last = edges[g], sizes[g], g == len(edges) - 1
                 if token is not None and t[at] != token:
                     token, kept = None, []
-                if size == 1 and token is None and not last:
-                    continue
-                if size == 2 and token is None and not last:
-                    x, y = [c[at : at + 1] for c in rows], [c[at + 1 : at + 2] for c in rows]
-                    if x[0][0] != y[0][0] and _surviving(x[1:], y[1:], num, den)[0, 0]:
-                        found.append((x[0], y[0]))
-                    continue
+                if size <= 2 and token is None and not last:
+                    continue  # seen above, or alone
                 found += compared([c[at : at + size] for c in rows])
                 token = t[at] if last else None
                 if not last:
                     kept = []
             if found:
-                a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+                name, node = (np.concatenate(x) for x in zip(*found))
+                rows_ = np.unique(np.stack([name, node], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows_[:, 0])), pa.array(np.ascontiguousarray(rows_[:, 1]))], names=["block", "node"])
 
     return run
 
@@ -230,60 +265,125 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _bounded(num: int, den: int):
-    """Per block pair of a family: star edges of the forest of pairs whose histograms allow a link."""
+def _shares(lists: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of lists hold a common token (symmetric; the diagonal is set where a token is common with any other)."""
+    m = len(lists)
+    _, code, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), [len(x) for x in lists])
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    out = np.zeros((m, m), bool)
+    few = (count[code] > 1) & (count[code] <= 16)
+    c, r = code[few], row[few]
+    for d in range(1, 16):  # tokens of a few lists: pair by pair
+        same = c[d:] == c[:-d]
+        if not same.any():
+            break
+        out[r[:-d][same], r[d:][same]] = True
+    many = count[code] > 16
+    if many.any():  # the others: products of incidence matrices
+        use = np.cumsum(count > 16) - 1
+        c, r = use[code[many]], row[many]
+        step = 4096
+        for at in range(0, int(c[-1]) + 1, step):
+            lo, hi = np.searchsorted(c, [at, at + step])
+            x = np.zeros((m, step), np.float32)
+            x[r[lo:hi], c[lo:hi] - at] = 1
+            out |= x @ x.T > 0.5
+    return out | out.T
+
+
+def _allowed(size: np.ndarray, histograms: list[bytes], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs (i, j), whose sizes differ by less than half, the histograms allow to link."""
+    bins = np.array([len(h) for h in histograms])
+    least = np.minimum(bins[i], bins[j])
+    ok = np.zeros(len(i), bool)
+    for b in np.unique(least):
+        rows = np.flatnonzero((bins == b) | (bins == 2 * b))
+        folded = np.zeros((len(rows), b), np.uint8)
+        for at, r in enumerate(rows):
+            h = np.frombuffer(histograms[r], np.uint8).reshape(-1, b)
+            folded[at] = h[0] if len(h) == 1 else np.where((h == 255).any(0), 255, np.minimum(h.sum(0, dtype=np.int64), 255))
+        full = (folded == 255).any(1)
+        place = np.zeros(len(bins), np.int64)
+        place[rows] = np.arange(len(rows))
+        on = np.flatnonzero(least == b)
+        step = max(1, 16_000_000 // int(b))
+        for at in range(0, len(on), step):
+            p, q = place[i[on[at : at + step]]], place[j[on[at : at + step]]]
+            low = np.minimum(folded[p], folded[q]).sum(1, dtype=np.int64)
+            ok[on[at : at + step]] = (num + den) * low >= num * (size[rows[p]] + size[rows[q]])
+            ok[on[at : at + step]] |= full[p] | full[q]
+    return ok
+
+
+def _similar_sizes(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    return np.triu(np.minimum(size[:, None], size[None, :]) * den >= np.maximum(size[:, None], size[None, :]) * num, 1)
+
+
+def _same_width(orders: list[bytes], sizes: list[int], order: int, num: int, den: int) -> list[np.ndarray]:
+    """One order's prefixes, of as many bits as the shortest prefix was given."""
+    out = []
+    for raw, n in zip(orders, sizes):
+        p = n - _needed(n, num, den) + 1
+        out.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * p * (1 + len(ORDERS)) else "<u4", p, order * len(raw) // (1 + len(ORDERS))))
+    narrow = any(x.dtype.itemsize == 2 for x in out)
+    return [(x & 0xFFFF if narrow else x).astype(U64) for x in out]
+
+
+def candidate_pairs(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(i, j, pairs left after the length filter, the histograms, and each of the three orders' prefix filters).
+
+    rows: (node, n_shingles, prefixes under the three orders as of `short`, histogram).
+    """
+    size = np.array([r[1] for r in rows])
+    i, j = np.nonzero(_similar_sizes(size, num, den))
+    left = [len(i)]
+    may = _allowed(size, [r[3] for r in rows], i, j, num, den)
+    ok = np.zeros((len(rows), len(rows)), bool)
+    ok[i[may], j[may]] = True
+    left.append(int(may.sum()))
+    for order in range(1 + len(ORDERS)):
+        on = np.flatnonzero(ok.any(0) | ok.any(1))
+        if len(on):
+            ok[np.ix_(on, on)] &= _shares(_same_width([rows[x][2] for x in on], [rows[x][1] for x in on], order, num, den))
+        left.append(int(ok.sum()))
+    return *np.nonzero(ok), left
+
+
+def _forest(rows: list[tuple], i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    root = unite(len(rows), i, j)
+    return [(rows[a][0], rows[b][0]) for a, b in enumerate(root.tolist()) if a != b]
+
+
+def _ordered(num: int, den: int):
+    """Per family: star edges of the forest of its candidate pairs."""
 
     def check(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows.sort(key=lambda r: r[1])
-        nodes, size = [r[0] for r in rows], np.array([r[1] for r in rows])
-        by: dict[int, list[int]] = {}
-        for i, r in enumerate(rows):
-            by.setdefault(len(r[2]), []).append(i)
-        a, b = [], []
-        for bins, own in by.items():
-            x = np.frombuffer(b"".join(rows[i][2] for i in own), np.uint8).reshape(-1, bins)
-            own = np.array(own)
-            other, y = own, x
-            if 2 * bins in by:
-                more = np.array(by[2 * bins])
-                z = np.frombuffer(b"".join(rows[i][2] for i in more), np.uint8).reshape(-1, 2, bins).astype(np.int64)
-                z = np.where((z == 255).any(1), 255, np.minimum(z.sum(1), 255)).astype(np.uint8)
-                other, y = np.concatenate([own, more]), np.concatenate([x, z])
-            full_x, full_y = (x == 255).any(1), (y == 255).any(1)
-            step = max(1, 24_000_000 // (len(y) * bins))
-            for at in range(0, len(own), step):
-                i = own[at : at + step]
-                stop = int(np.searchsorted(size[other], size[i[-1]] * den // num, "right")) if other is own else len(y)
-                low = np.minimum(x[at : at + step, None, :], y[None, :stop, :]).sum(-1, dtype=np.int64)
-                ok = (num + den) * low >= num * (size[i][:, None] + size[other[:stop]][None, :])
-                ok |= full_x[at : at + step, None] | full_y[None, :stop]
-                ok &= (np.minimum(size[i][:, None], size[other[:stop]][None, :]) * den >= np.maximum(size[i][:, None], size[other[:stop]][None, :]) * num) & (i[:, None] != other[None, :stop])
-                p, q = np.nonzero(ok)
-                a.append(i[p])
-                b.append(other[q])
-        root = unite(len(rows), np.concatenate(a), np.concatenate(b))
-        return [(nodes[i], nodes[r]) for i, r in enumerate(root.tolist()) if i != r]
+        i, j, _ = candidate_pairs(rows, num, den)
+        return _forest(rows, i, j)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _per_block(batches, ("node", "n_shingles", "histogram"), check)
+        yield from _per_block(batches, ("node", "n_shingles", "orders", "histogram"), check)
 
     return run
 
 
 def _per_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], check) -> Iterator[pa.RecordBatch]:
-    """check(rows) for the rows of each block of at least two; its edges."""
-    key, held = None, []
+    """check(rows) for the rows (one a node, which comes first) of each block of at least two; its edges."""
+    key, held = None, {}
     for batch in batches:
         out = []
-        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("block", *names))):
-            if k != key:
-                out += check(held) if len(held) > 1 else []
-                key, held = k, []
-            held.append(tuple(row))
+        for k, *row in zip(*(batch.column(c) for c in ("block", *names))):
+            if (k := k.as_py()) != key:
+                out += check(list(held.values())) if len(held) > 1 else []
+                key, held = k, {}
+            if (node := row[0].as_py()) not in held:
+                held[node] = (node, *(x.as_py() for x in row[1:]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-    if len(held) > 1 and (out := check(held)):
+    if len(held) > 1 and (out := check(list(held.values()))):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
@@ -299,18 +399,11 @@ def _links(k: int, num: int, den: int):
     """Per block pair of a family: star edges of its verified links' spanning forest."""
 
     def verify(rows: list[tuple]) -> list[tuple[int, int]]:
-        found: dict[int, np.ndarray] = {}
-        for (s, _), (node, _) in zip(shingle_sets(pa.array([r[1] for r in rows], pa.large_string()), k), rows):
-            if len(s) and node_of(s)[0] == node:  # a repeated id may bring another text along
-                found[node] = s
-        if len(found) < 2:
-            return []
-        nodes, sets = list(found), list(found.values())
+        sets = [s for s, _ in shingle_sets(pa.array([r[1] for r in rows], pa.large_string()), k)]
         size = np.array([len(s) for s in sets])
         both = _overlaps(sets)
         i, j = np.nonzero(np.triu(den * both >= num * (size[:, None] + size[None, :] - both), 1))
-        root = unite(len(nodes), i, j)
-        return [(nodes[a], nodes[b]) for a, b in enumerate(root.tolist()) if a != b]
+        return _forest(rows, i, j)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,32 +412,45 @@ def _links(k: int, num: int, den: int):
     return run
 
 
+def _nodes(signed_: DataFrame) -> DataFrame:
+    """node, one (its first document: without id last, id, text_key), n_chars, and the least and greatest second hash of its sets."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key"))
+    return signed_.filter("n_shingles > 0").groupBy("node").agg(one.alias("one"), F.max("n_chars").alias("n_chars"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+
+
 def similar(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, root (the component's name, null for empty sets), text_key (xxhash64 of the text) for every row of docs; links at num/den of Jaccard similarity."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
     ranks = spark.sparkContext.broadcast(frequent_words(docs))
-    fields = "doc_id long, text_key long, n_shingles long, n_chars long, node long, check long, prefix array<long>, masks long, histogram binary"
-    signed_ = written(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signatures(shingle, num, den, ranks), fields))
-    nodes = signed_.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_chars").alias("n_chars"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    if clash := nodes.filter("lo <> hi").limit(1).count():
-        raise ValueError(f"{clash} shingle sets share a 64-bit node hash; run again with other hash seeds")
+    signed_ = scratch.written(docs.mapInArrow(_signatures(shingle, num, den, ranks), _SIGNED), keep=True)
+    nodes = _nodes(signed_)
+    while (clash := nodes.filter("lo <> hi").select("node")).limit(1).count():
+        # Different sets under one 64-bit name: both hashes name them anew.
+        named = signed_.join(clash.withColumn("anew", F.lit(True)), "node", "left").withColumn("node", F.when(F.col("anew"), F.xxhash64("node", "check")).otherwise(F.col("node")))
+        signed_ = scratch.written(named.select(*signed_.columns), keep=True)
+        nodes = _nodes(signed_)
     parts = partitions(docs)
     given = signed_.filter("prefix is not null")
-    tokens = given.select("node", "n_shingles", "masks", F.posexplode("prefix").alias("pos", "token"))
-    tokens = tokens.select("token", "node", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("place"), "masks")
+    tokens = given.select("node", "n_shingles", F.posexplode("prefix").alias("pos", "token"))
+    tokens = tokens.select("token", "node", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("place"))
     tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "place", "node")
-    family = cut(connected_components(tokens.mapInArrow(_candidates(num, den), "a long, b long")))
-    sketches = family.join(given.select("node", "n_shingles", "histogram"), "node").dropDuplicates(["node"])
-    sketches = _in_blocks(sketches.select("node", F.col("component").alias("family"), "n_shingles", "histogram", F.length("histogram").alias("size")), "size", SKETCH_BYTES)
-    sketches = sketches.select("block", "node", "n_shingles", "histogram").repartition(parts, "block").sortWithinPartitions("block", "node")
-    family = cut(connected_components(sketches.mapInArrow(_bounded(num, den), "a long, b long")))
-    members = cut(_in_blocks(family.join(nodes, "node").select("node", F.col("component").alias("family"), "rep", "n_chars"), "n_chars", FAMILY_CHARS).select("rep", "node", "block"))
-    texts = members.join(docs, members.rep.eqNullSafe(docs.doc_id)).select("block", "node", "text")
+    families = scratch.written(tokens.mapInArrow(_candidates(num, den), "block long, node long").distinct())
+    sketches = given.select("node", "n_shingles", "orders", "histogram").dropDuplicates(["node"])
+    sketched = families.join(sketches, "node").select("block", "node", "n_shingles", "orders", "histogram")
+    sketched = sketched.repartition(parts, "block").sortWithinPartitions("block", "node")
+    family = connected_components(sketched.mapInArrow(_ordered(num, den), "a long, b long"))
+    members = _in_blocks(family.join(nodes, "node").select("node", F.col("component").alias("family"), "one", "n_chars"), "n_chars", FAMILY_CHARS)
+    members = scratch.written(members.select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"), "node", "block"))
+    same = members["doc_id"].eqNullSafe(docs["doc_id"]) & (members["text_key"] == docs["text_key"])
+    texts = members.join(docs.filter("text is not null"), same).select("block", "node", "text")
     texts = texts.repartition(parts, "block").sortWithinPartitions("block", "node")
     links = connected_components(texts.mapInArrow(_links(shingle, num, den), "a long, b long"))
-    root = nodes.select("node", "rep").join(links, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
-    least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_node = root.join(least, "root").select("node", "component_id", "root")
+    root = nodes.select("node", "one.doc_id").join(links, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("root"))
+    least = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_node = scratch.written(root.join(least, "root").select("node", "component_id", "root"), keep=True)
+    scratch.clear()
     out = signed_.select("doc_id", "text_key", "n_shingles", "node").join(of_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root", "text_key")
