@@ -3,40 +3,45 @@
 A window is `size` consecutive words; a word is removed if a window covers it whose words also
 start in a document with a smaller id. Windows are judged on the input.
 
-The index is a list of immutable runs, each a table bucketed and sorted by fingerprint. A window's
+The index is a list of immutable runs, each a table bucketed and sorted by fingerprint, in a folder
+of its own with a manifest, so that it can be closed and opened again by a later job. A window's
 fingerprint is the least hash among its half-size sub-windows (a minimiser), so equal windows have
 equal fingerprints while only about one fingerprint in a dozen words is kept. A new batch (whose ids
 exceed all earlier ones) is written as a run of its own and merge-joined, bucket by bucket, with
-each older run. Fingerprints met in another document only name candidates: their windows are then
-verified on the texts themselves, by independent hashes of all `size` words, sorted so that the
-least document of each window comes first. Runs are compacted when their sizes come within a factor
-of each other, so a batch meets a logarithmic number of runs. Whole copies of earlier documents are
-recognised by a digest of all their words and put nothing into the index, so a group of copies
-costs one document. Windows of very frequent fingerprints are dealt out with a salt first.
+each older run. Fingerprints met in another document only name candidates: the candidates' windows
+are then verified by two independent hashes of all `size` words (96 bits), of which the least
+document is found by partial minima, so a passage that a third of all documents share puts one row
+a task into a shuffle; the windows that so many documents share (fewer than four a partition, by
+their share of all) are compared by broadcast, not dealt by key. Runs are compacted when their
+sizes come within a factor of each other, so a batch meets a logarithmic number of runs. Whole
+copies of earlier documents are recognised by a digest of all their words and put nothing into the
+index, so a group of copies costs one document.
 
 Edge cases: null or short texts have no window and keep their words; repeated rows (one id) do not
 count as smaller documents and are returned as often as they come; rows with a null id neither
-lose words nor take any from others.
+lose words nor take any from others; an empty table gives no row; texts of any length are read
+whole, a few megabytes of texts at a time; columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hashed, mixed, partitions, signed, slices, split_words, tidy, U64, window_hashes, written
+from .common import Scratch, U64, filesystem, hashed, mixed, partitions, removed, shared_dir, signed, slices, split_words, tidy, tidy_shuffles, window_hashes
 
 SIZE = 50
-#: Documents of one fingerprint from which its windows are dealt out with a salt, and into how many parts.
-HOT, SALTS = 20_000, 16
+#: Candidates of which the ids are sent to all tasks, so that other texts are not shuffled; more are joined.
+SENT = 1_000_000
 
 
 def _anchors(begin: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +64,7 @@ def _scan(size: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text="text"):
                 begin, codes, vocabulary = split_words(part.column("text"))
                 h = hashed(vocabulary)[codes] if len(codes) else np.empty(0, U64)
                 starts, fp = _anchors(begin, h, size)
@@ -78,64 +83,40 @@ _SCAN = "doc_id long, text_key long, n_words long, sha256 string, whole long, wh
 
 
 def _candidate_windows(size: int):
-    """Windows whose fingerprint is among the document's shared ones: a (hash), bp (32 bits of a second hash, place), doc_id, hot."""
+    """Windows whose fingerprint is among the document's shared ones: a, b (64 and 32 bits of independent hashes), doc_id, at (its place)."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 300):
+            for part in slices(batch, 300, "text"):
                 begin, codes, vocabulary = split_words(part.column("text"))
                 h = hashed(vocabulary)[codes] if len(codes) else np.empty(0, U64)
                 starts, fp = _anchors(begin, h, size)
                 if not len(starts):
                     continue
                 a = signed(window_hashes(h, size))
-                b = window_hashes(mixed(h ^ U64(0xD6E8FEB86659FD93)), size, 0xA24BAED4963EE407) >> U64(32)
+                b = (window_hashes(mixed(h ^ U64(0xD6E8FEB86659FD93)), size, 0xA24BAED4963EE407) >> U64(32)).astype(np.uint32).view(np.int32)
                 lo, hi = np.searchsorted(starts, begin[:-1]), np.searchsorted(starts, begin[1:])
-                shared, hot = part.column("shared").to_pylist(), part.column("hot").to_pylist()
-                for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                    own = signed(fp[lo[i] : hi[i]])
-                    use = np.isin(own, np.array(shared[i], np.int64))
+                for i, (doc, shared) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("shared"))):
+                    use = np.isin(signed(fp[lo[i] : hi[i]]), shared.values.to_numpy())
                     at = starts[lo[i] : hi[i]][use]
-                    if not len(at):
-                        continue
-                    warm = np.isin(own[use], np.array(hot[i], np.int64)) if hot[i] else np.zeros(len(at), bool)
-                    bp = signed((b[at] << U64(32)) | (at - begin[i]).astype(U64))
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(bp), pa.array(np.full(len(at), doc, np.int64)), pa.array(warm)], names=["a", "bp", "doc_id", "hot"])
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.full(len(at), doc, np.int64)), pa.array((at - begin[i]).astype(np.int32))], names=["a", "b", "doc_id", "at"])
 
     return run
 
 
-@tidy
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by a, then doc_id: those whose window has a smaller document (dup), and the hot windows' least documents."""
-    held: pa.Table | None = None  # the open hash's rows so far, but only the least document of each window
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if held is not None and held.num_rows:
-            table = pa.concat_tables([held.select(batch.schema.names).cast(batch.schema), table]).combine_chunks()
-        had = held.num_rows if held is not None else 0
-        a, bp, doc, hot = (table.column(n).to_numpy() for n in ("a", "bp", "doc_id", "hot"))
-        check = bp >> 32
-        # Rows of one hash are in order of document: the first of each (hash, check) holds the least.
-        order = np.lexsort((doc, check, a))
-        first = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (check[order][1:] != check[order][:-1])])
-        least = doc[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-        dup = np.zeros(len(a), bool)
-        dup[order] = doc[order] > least
-        is_first = np.zeros(len(a), bool)
-        is_first[order] = doc[order] == least
-        own = np.arange(len(a)) >= had
-        give = own & (dup | (hot & is_first))
-        if give.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[give]), pa.array(bp[give]), pa.array(doc[give]), pa.array(hot[give]), pa.array(dup[give])], names=["a", "bp", "doc_id", "hot", "dup"])
-        stay = np.zeros(len(a), bool)
-        stay[order] = first
-        held = table.filter(pa.array(stay & (a == a[-1]))) if len(a) else held
-
-
-def _sorted(windows: DataFrame, *keys) -> DataFrame:
-    return windows.repartition(partitions(windows), *keys).sortWithinPartitions("a", "doc_id", "bp")
+_WINDOWS = "a long, b int, doc_id long, at int"
+
+
+def repeated_windows(windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, at of the windows (a, b, doc_id, at: a written table) that a document with a smaller id holds, too."""
+    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    least = scratch.written(least.filter("least < most").drop("most"))
+    share = windows.count() / (4 * partitions(windows))
+    hot = F.broadcast(least.filter(F.col("n") > share).drop("n"))  # fewer than four a partition
+    rare = windows.join(hot, ["a", "b"], "left_anti").join(least.filter(F.col("n") <= share).drop("n"), ["a", "b"])
+    return windows.join(hot, ["a", "b"]).unionByName(rare).filter("doc_id > least").select("doc_id", "at")
 
 
 def _rewritten(size: int):
@@ -144,7 +125,7 @@ def _rewritten(size: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 300):
+            for part in slices(batch, 300, "text"):
                 begin, codes, vocabulary = split_words(part.column("text"))
                 rows = []
                 for i, (doc, key, at) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_key", "at")))):
@@ -168,35 +149,71 @@ class Run:
 
 
 class FingerprintIndex:
-    """Runs of fingerprints (fp, doc_id) and of whole-document digests, as bucketed sorted tables in the warehouse."""
+    """Runs of fingerprints (fp, doc_id) and of whole-document digests, as bucketed sorted tables in the folder `path`.
+
+    `ingest` leaves a manifest behind, from which `open` goes on in another job; what a failed ingest
+    wrote is not in it. `close` takes the tables out of the session's catalog, `drop` deletes them.
+    """
 
-    def __init__(self, spark: SparkSession, size: int = SIZE, fan_in: int = 4):
+    COLUMNS = {"fp": "fp bigint, doc_id bigint", "whole": "whole bigint, whole_check bigint, doc_id bigint"}
+
+    def __init__(self, spark: SparkSession, path: str | None = None, size: int = SIZE, fan_in: int = 2):
         self.spark, self.size, self.fan_in = spark, size, fan_in
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"fingerprints_{uuid.uuid4().hex[:12]}"
-        self.made = 0
-        self.runs: list[Run] = []
-        self.wholes: list[Run] = []
+        self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+        self.runs: dict[str, list[Run]] = {"fp": [], "whole": []}
+        self.stale: list[Run] = []
+        self.compactions = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "FingerprintIndex":
+        fs, at = filesystem(path)
+        with fs.open_input_stream(f"{at}/manifest.json") as f:
+            found = json.loads(f.read())
+        index = cls(spark, path, found["size"], found["fan_in"])
+        index.buckets, index.compactions = found["buckets"], found["compactions"]
+        for key, runs in found["runs"].items():
+            index.runs[key] = [Run(**r) for r in runs]
+            for r in runs:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {r['table']} ({cls.COLUMNS[key]}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {index.buckets} BUCKETS LOCATION '{path}/{r['table']}'")
+        return index
+
+    def _save(self) -> None:
+        """The manifest as a whole, then the folders of runs that it no longer names."""
+        fs, at = filesystem(self.path)
+        fs.create_dir(at, recursive=True)
+        runs = {k: [asdict(r) for r in v] for k, v in self.runs.items()}
+        with fs.open_output_stream(f"{at}/manifest.new") as f:
+            f.write(json.dumps({"size": self.size, "fan_in": self.fan_in, "buckets": self.buckets, "compactions": self.compactions, "runs": runs}).encode())
+        fs.move(f"{at}/manifest.new", f"{at}/manifest.json")
+        while self.stale:
+            r = self.stale.pop()
+            self.spark.sql(f"DROP TABLE IF EXISTS {r.table}")
+            removed(f"{self.path}/{r.table}")
+
+    def close(self) -> None:
+        for r in [*self.runs["fp"], *self.runs["whole"]]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r.table}")  # an external table: its files stay
+
+    def drop(self) -> None:
+        self.close()
+        removed(self.path)
 
     def _write(self, rows: DataFrame, key: str) -> Run:
-        self.made += 1
-        name = f"{self.name}_{self.made}"
-        rows.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("compression", "zstd").saveAsTable(name)
+        name = f"fingerprints_{uuid.uuid4().hex[:16]}"
+        with tidy_shuffles(self.spark):
+            rows.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
         return Run(name, self.spark.table(name).count())
 
-    def _compact(self, runs: list[Run], key: str) -> list[Run]:
-        """Merges the newest runs while they are within fan_in of each other's size."""
-        while len(runs) > 1 and runs[-2].rows <= self.fan_in * runs[-1].rows and len(runs) > self.fan_in:
+    def _add(self, key: str, run: Run) -> None:
+        """The run as the newest; the newest two are merged while there are more than fan_in and they are within fan_in of each other's size."""
+        runs = self.runs[key]
+        runs.append(run)
+        while len(runs) > self.fan_in and runs[-2].rows <= self.fan_in * runs[-1].rows:
             new, old = runs.pop(), runs.pop()
             runs.append(self._write(self.spark.table(old.table).unionByName(self.spark.table(new.table)), key))
-            for r in (new, old):
-                self.spark.sql(f"DROP TABLE {r.table}")
-        return runs
-
-    def drop(self) -> None:
-        for r in [*self.runs, *self.wholes]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r.table}")
-        self.runs, self.wholes = [], []
+            self.stale += [new, old]
+            self.compactions += 1
 
     def ingest(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
         """Judges batch (doc_id, text), whose ids exceed all earlier ones, and adds it to the index.
@@ -204,49 +221,44 @@ class FingerprintIndex:
         corpus: (doc_id, text) of the earlier documents and of the batch; texts of candidates are read from it.
         Returns one row per row of batch: doc_id, text_key, n_words, n_removed, kept_sha256, kept_text (null: unchanged).
         """
+        scratch = Scratch(self.spark)
         with_key = lambda d: d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-        scan = written(with_key(batch).select("doc_id", "text_key", "text").mapInArrow(_scan(self.size), _SCAN))
+        scan = scratch.written(with_key(batch).select("doc_id", "text_key", "text").mapInArrow(_scan(self.size), _SCAN))
         # Whole copies: of an earlier document, or of a smaller one of this batch.
         digest = ["whole", "whole_check"]
         known = scan.filter("whole is not null").groupBy(*digest).agg(F.min("doc_id").alias("doc_id"))
         run = self._write(known.select(*digest, "doc_id"), "whole")
         least = self.spark.table(run.table)
-        for old in self.wholes:
+        for old in self.runs["whole"]:
             earlier = self.spark.table(old.table).select(*digest, F.col("doc_id").alias("old"))
             least = least.join(earlier, digest, "left").select(*digest, F.least("doc_id", "old").alias("doc_id"))
         least = least.withColumnRenamed("doc_id", "first")
-        marked = written(scan.join(least, digest, "left").select(*scan.columns, F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")))
-        self.wholes = self._compact([*self.wholes, run], "whole")
+        marked = scratch.written(scan.join(least, digest, "left").select(*scan.columns, F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")))
+        self._add("whole", run)
         firsts = marked.filter("whole is not null and not copy").select("doc_id", "text_key", "anchors").dropDuplicates(["doc_id", "text_key"])
         run = self._write(firsts.select(F.explode("anchors").alias("fp"), "doc_id"), "fp")
         fresh = self.spark.table(run.table)
-        counted = fresh.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-        met = [self.spark.table(r.table).join(counted.select("fp"), "fp").select("fp", "doc_id") for r in self.runs]
-        joint = counted.select("fp", "n", (F.col("lo") < F.col("hi")).alias("within"))
-        for old in met:
-            seen = old.groupBy("fp").agg(F.count("*").alias("m"))
-            joint = joint.join(seen, "fp", "left").select("fp", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), (F.col("within") | F.col("m").isNotNull()).alias("within"))
-        joint = joint.filter("within").select("fp", (F.col("n") >= HOT).alias("hot"))
-        every = [fresh, *met]
-        shared = every[0].join(joint, "fp").select("doc_id", "fp", "hot")
-        for old in every[1:]:
-            shared = shared.unionByName(old.join(joint, "fp").select("doc_id", "fp", "hot"))
-        lists = shared.groupBy("doc_id").agg(F.collect_list("fp").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("fp"))).alias("hot"))
-        candidates = written(with_key(corpus).join(lists, "doc_id"))
-        windows = candidates.select("doc_id", "text", "shared", "hot").mapInArrow(_candidate_windows(self.size), "a long, bp long, doc_id long, hot boolean")
-        judged = "a long, bp long, doc_id long, hot boolean, dup boolean"
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0))
-        one = written(_sorted(windows, "a", salt).mapInArrow(_later, judged))
-        two = _sorted(one.filter("hot and not dup").select("a", "bp", "doc_id", "hot"), "a").mapInArrow(_later, judged)
-        gone = one.filter("dup").unionByName(two.filter("dup")).select("doc_id", (F.col("bp").bitwiseAND(0xFFFFFFFF)).cast("int").alias("at"))
-        places = gone.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+        counted = fresh.groupBy("fp").agg((F.min("doc_id") < F.max("doc_id")).alias("within"))
+        shared, joint = None, counted
+        for old in self.runs["fp"]:
+            met = self.spark.table(old.table).join(counted.select("fp"), "fp").select("fp", "doc_id")
+            shared = met if shared is None else shared.unionByName(met)
+            joint = joint.join(met.select("fp").distinct().withColumn("met", F.lit(True)), "fp", "left").select("fp", (F.col("within") | F.col("met").isNotNull()).alias("within"))
+        again = fresh.join(joint.filter("within").select("fp"), "fp").select("fp", "doc_id")
+        shared = again if shared is None else shared.unionByName(again)
+        lists = scratch.written(shared.groupBy("doc_id").agg(F.collect_list("fp").alias("shared")))
+        texts = with_key(corpus)
+        if lists.count() <= SENT:
+            texts = texts.join(F.broadcast(lists.select("doc_id")), "doc_id", "left_semi")
+        candidates = scratch.written(texts.join(lists, "doc_id"))
+        windows = scratch.written(candidates.select("doc_id", "text", "shared").mapInArrow(_candidate_windows(self.size), _WINDOWS))
+        places = repeated_windows(windows, scratch).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
         own = marked.filter("whole is not null and not copy").select("doc_id", "text_key").distinct()
         texts = candidates.select("doc_id", "text_key", "text").join(own, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
         changed = texts.join(places, "doc_id").mapInArrow(_rewritten(self.size), "doc_id long, text_key long, n_removed long, kept_sha256 string, kept_text string")
-        self.runs = self._compact([*self.runs, run], "fp")
         empty = hashlib.sha256(b"").hexdigest()
         out = marked.select("doc_id", "text_key", "n_words", "sha256", "copy").join(changed, ["doc_id", "text_key"], "left")
-        return written(
+        out = scratch.written(
             out.select(
                 "doc_id",
                 "text_key",
@@ -254,27 +266,32 @@ class FingerprintIndex:
                 F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
                 F.when(F.col("copy"), F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
                 F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
-            )
+            ),
+            keep=True,
         )
+        self._add("fp", run)
+        self._save()
+        scratch.clear()
+        return out
 
 
-def deduplicate(docs: DataFrame, size: int = SIZE, batches: int = 2) -> DataFrame:
-    """Feeds docs to an empty index in `batches` ranges of ids, in order; one row per row of docs, as FingerprintIndex.ingest."""
+def deduplicate(docs: DataFrame, size: int = SIZE, batches: int = 4, index: FingerprintIndex | None = None) -> DataFrame:
+    """Feeds docs to an index (an empty one of its own, if none is given) in `batches` ranges of ids, in order, so that runs are
+    merge-joined and compacted; one row per row of docs, as FingerprintIndex.ingest."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = docs.filter("doc_id is not null").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    index, out, lo = FingerprintIndex(spark, size), None, None
+    own, out, lo = index or FingerprintIndex(spark, size=size), None, None
     try:
         for hi in [*cuts, None]:
-            own = F.lit(True) if lo is None else F.col("doc_id") > lo
+            after = F.lit(True) if lo is None else F.col("doc_id") > lo
             upto = F.lit(True) if hi is None else F.col("doc_id") <= hi
-            part = docs.filter(own & upto | (F.col("doc_id").isNull() if hi is None else F.lit(False)))
-            found = index.ingest(part, docs.filter(upto))
+            part = docs.filter(after & upto | (F.col("doc_id").isNull() if hi is None else F.lit(False)))
+            found = own.ingest(part, docs.filter(upto))
             out = found if out is None else out.unionByName(found)
             lo = hi
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()  # lets Spark remove the batch's shuffle files
     finally:
-        index.drop()
+        if index is None:
+            own.drop()
     return out
