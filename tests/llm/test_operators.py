@@ -94,6 +94,27 @@ def test_jaccard_large_groups_are_exact(spark):
     assert [got[i] for i in range(700)] == want
 
 
+def test_jaccard_orders_intersect():
+    """The three orders' real prefixes dismiss pairs one after the other, and never a linked one."""
+    rng = np.random.default_rng(2)
+    rows, sets = [], []
+    for i in range(240):
+        words = rng.choice(40_000, 150, replace=False).tolist() if i % 3 or not i else sorted(sets[-1])[:145] + rng.choice(40_000, 5).tolist()
+        sets.append(set(words))
+        s = np.unique(common.mixed(np.array(sorted(set(words)), np.uint64)))
+        n = len(s)
+        p = n - jaccard._needed(n, 80, 100) + 1
+        orders = jaccard.short([s[jaccard._first(common.mixed(s ^ np.uint64(seed)), p)] for seed in (1, *jaccard.ORDERS)])
+        rows.append((i, n, orders, jaccard._histogram(s)))
+    linked = {(i, j) for j in range(240) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    i, j, left = jaccard.candidate_pairs(rows, 80, 100)
+    found = set(zip(i.tolist(), j.tolist()))
+    assert linked <= found and len(linked) >= 70 and left == sorted(left, reverse=True) and left[-1] == len(found)
+    without = [(*r[:3], bytes([255]) * 32) for r in rows]  # histograms that allow all: only the orders dismiss
+    _, _, left = jaccard.candidate_pairs(without, 80, 100)
+    assert left[1] == left[0] and left[2] < left[1] / 5 and left[3] < left[2] / 2 and left[4] < left[3], left
+
+
 def removed(rows, size=50):
     first = {}
     for doc, text, *_ in rows:
@@ -112,22 +133,42 @@ def removed(rows, size=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_substring_dedup(docs, rows, none, batches, monkeypatch):
-    if batches == 3:
-        monkeypatch.setattr(substring_dedup, "HOT", 2)  # every shared fingerprint takes the salted way
+@pytest.mark.parametrize("batches", [1, 4])
+def test_substring_dedup(docs, rows, none, batches):
     got = substring_dedup.deduplicate(docs, batches=batches).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == removed(rows)
-    assert substring_dedup.deduplicate(none).count() == 0
-
-
-def test_substring_dedup_compacts(docs, rows, monkeypatch):
-    merged = []
-    compact = substring_dedup.FingerprintIndex._compact
-    monkeypatch.setattr(substring_dedup.FingerprintIndex, "_compact", lambda self, runs, key: (merged.append((key, len(runs), len(out := compact(self, runs, key)))), out)[1])
-    got = substring_dedup.deduplicate(docs, batches=7).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == removed(rows)
-    assert {key for key, before, after in merged if after < before} == {"fp", "whole"} and len(merged) >= 12
+    if batches == 1:
+        assert substring_dedup.deduplicate(none).count() == 0
+
+
+def test_substring_index_goes_on_in_another_session(spark, rows, tmp_path):
+    """Seven batches, the index closed and opened again between them: compaction happens, results are those of brute force."""
+    named = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    table = lambda s, x: s.createDataFrame(x, SCHEMA)
+    last = max(r[0] for r in named) + 1
+    got, path = [], str(tmp_path / "index")
+    index = substring_dedup.FingerprintIndex(spark, path, fan_in=2)
+    for n in range(7):
+        lo, hi = last * n // 7, last * (n + 1) // 7
+        if n == 3:
+            index.close()
+            assert not any(t.name.startswith("fingerprints_") for t in spark.catalog.listTables())
+            index = substring_dedup.FingerprintIndex.open(spark.newSession(), path)
+        s = index.spark
+        got += index.ingest(table(s, [r for r in named if lo <= r[0] < hi]), table(s, [r for r in named if r[0] < hi])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed(named)
+    assert index.compactions >= 4 and len(index.runs["fp"]) <= 4
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_windows_of_a_hot_passage(spark):
+    """One window in most rows is compared by broadcast; the others by their key."""
+    rows = [(7, 1, d, d % 3) for d in range(400)] + [(7, 2, 5, 9), (8, 1, 3, 0), (8, 1, 4, 1), (8, 1, 3, 2), (9, 1, 2, 0), (9, 1, 2, 1)] + [(100 + i, 0, i, 0) for i in range(50)]
+    scratch = common.Scratch(spark)
+    windows = scratch.written(spark.createDataFrame(rows, substring_dedup._WINDOWS))
+    got = sorted(tuple(r) for r in substring_dedup.repeated_windows(windows, scratch).collect())
+    assert got == sorted([(d, d % 3) for d in range(1, 400)] + [(4, 1)])
 
 
 def test_packing_round_trip(docs, rows, none):

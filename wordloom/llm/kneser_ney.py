@@ -1,14 +1,16 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by workers.
 
-Counting: each task counts the n-grams of its training texts and gives them, sorted, in blobs by
-shard of their context; a shard's task merges its blobs and writes the distinct n-grams as sorted
-arrays of 64-bit hashes, with their counts, into the shared folder. Contexts that are too frequent
-for one shard are dealt out by the word as well, and only their (few) totals are summed on the
-driver. Each distinct n-gram adds one to the continuation count of its suffix, from which the lower
-orders follow in the same way down to single words. The driver holds only file names, sums of
-counts of counts, and frequent contexts.
-
-Scoring: workers map the arrays (a file in a store that cannot be mapped is copied, mapped and
+Counting: each task counts the n-grams of its training texts and gives them in blobs by shard of
+their context; a shard's task merges its blobs and writes the distinct n-grams as sorted arrays of
+64-bit hashes, with their counts, into one file of the shared folder. The number of shards follows
+the bytes of the texts, so a shard's size doesn't. Contexts that are too frequent for one shard are
+dealt out by the word as well (every task names those that have a notable share of what it counted,
+and no context can be frequent without being so in some task); only their totals, at most eight a
+shard, are summed on the driver. Each distinct n-gram adds one to the continuation count of its
+suffix, from which the lower orders follow in the same way down to single words. The driver holds
+only file names, sums of counts of counts, and frequent contexts.
+
+Scoring: workers map the files (one in a store that cannot be mapped is copied, mapped and
 unlinked) and look up each batch's distinct n-grams in sorted order.
 
 Probability of w after context h: max(c(hw) - D(c), 0) / c(h) + gamma(h) P(w | shorter h), with
@@ -18,17 +20,20 @@ leaves the shorter one's probability as it is.
 
 Edge cases: null and blank texts are a sequence of just the end token; with nothing to learn from
 every token has the uniform probability of the unknown word; repeated rows count and score as often
-as they occur; a null id is learnt from or held out like the empty id.
+as they occur; a null id is learnt from or held out like the empty id; texts of any length are read
+whole, a few megabytes of texts at a time; an empty table scores to an empty one.
 """
 
 from __future__ import annotations
 
-import os
+import json
+import math
 import shutil
 import tempfile
+import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +42,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, shared_dir, slices, tidy, U64, word_hashes, written
+from .common import Scratch, U64, filesystem, mixed, shared_dir, slices, tidy, word_hashes
 
 BEGIN, END = U64(0x6265676E), U64(0x656E6421)
-#: n-grams a task holds before it gives them away.
-HELD = 1_500_000
+#: n-grams a task holds before it gives them away, and bytes of text a shard is made of.
+HELD, SHARD_BYTES = 1_500_000, 12_000_000
+#: Files that a worker keeps mapped.
+MAPPED = 10_000
+#: Order 3 was stopped by the disk limit: see the README.
+ORDER = 2
 
 
 def _sequences(begin: np.ndarray, h: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,137 +81,155 @@ def gram_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(context * U64(0xC2B2AE3D27D4EB4F) + word)
 
 
-def shard_of(context: np.ndarray, word: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    """By context; by context and word where the context is hot or empty."""
+def _route(context: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What decides an n-gram's shard: its context; context and word where the context is hot or empty."""
     spread = context == 0
     if len(hot):
         spread |= np.isin(context, hot)
-    return (mixed(np.where(spread, gram_hash(context, word), context) + U64(77)) % U64(shards)).astype(np.int64)
+    return mixed(np.where(spread, gram_hash(context, word), context) + U64(77)) >> U64(32)
+
+
+def shard_of(context: np.ndarray, word: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
+    return ((_route(context, word, hot) * U64(shards)) >> U64(32)).astype(np.int64)
 
 
-def _summed(grams: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, sorted by their columns, with summed counts."""
-    if not len(grams):
-        return grams, count
-    order = np.lexsort(grams.T[::-1])
-    grams, count = grams[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(1)]))
-    return grams[first], np.add.reduceat(count, first)
+def _planes(column: np.ndarray) -> bytes:
+    """The column's bytes, all first ones before all second ones and so on, which compress better."""
+    return np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes()
 
 
 def _packed(grams: np.ndarray, count: np.ndarray) -> bytes:
-    first = np.diff(grams[:, 0], prepend=U64(0))
-    raw = b"".join([first.tobytes(), *(np.ascontiguousarray(grams[:, i]).tobytes() for i in range(1, grams.shape[1])), count.astype("<u4").tobytes()])
+    raw = b"".join([*(_planes(np.ascontiguousarray(grams[:, i])) for i in range(grams.shape[1])), _planes(count.astype("<u4"))])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpacked(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     n = len(raw) // (8 * width + 4)
-    cols = [np.frombuffer(raw, U64, n, 8 * n * i) for i in range(width)]
-    return np.stack([np.cumsum(cols[0], dtype=U64), *cols[1:]], 1), np.frombuffer(raw, "<u4", n, 8 * n * width).astype(np.int64)
+    column = lambda at, size, kind: np.ascontiguousarray(raw[at : at + size * n].reshape(size, n).T).view(kind).reshape(n)
+    return np.stack([column(8 * n * i, 8, U64) for i in range(width)], 1), column(8 * n * width, 4, "<u4").astype(np.int64)
+
+
+def _summed(order: np.ndarray, key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the distinct keys' first rows, summed counts), for an order that brings equal keys together."""
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return order[first], np.add.reduceat(count[order], first)
+
+
+def _row(shard: int, blob: bytes | None, note: str = "", context: int | None = None, n: int | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([note]), pa.array([context], pa.int64()), pa.array([n], pa.int64())], names=["shard", "blob", "note", "context", "n"]
+    )
 
 
 def _by_shard(grams: np.ndarray, count: np.ndarray, shards: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    grams, count = _summed(grams, count)
-    shard = shard_of(context_hash(grams), grams[:, -1], shards, hot)
-    order = np.argsort(shard, kind="stable")
-    edge = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        at = order[edge[s] : edge[s + 1]]
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_packed(grams[at], count[at])], pa.binary()), pa.array([""])], names=["shard", "blob", "note"])
+    context = context_hash(grams)
+    key = gram_hash(context, grams[:, -1])
+    route = _route(context, grams[:, -1], hot)
+    at, count = _summed(np.argsort((route << U64(32)) | (key >> U64(32))), key, count)
+    shard = ((route[at] * U64(shards)) >> U64(32)).astype(np.int64)  # in order, as it grows with the route
+    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    for lo, hi in zip(edges, [*edges[1:], len(at)]):
+        yield _row(int(shard[lo]), _packed(grams[at[lo:hi]], count[lo:hi]))
 
 
-_ROWS = "shard int, blob binary, note string"
+_ROWS = "shard int, blob binary, note string, context long, n long"
 
 
-def _count(order: int, shards: int, hot: np.ndarray):
+def _count(order: int, shards: int, hot: np.ndarray, contexts: int = 0):
+    """The texts' n-grams in blobs by shard; with `contexts`, also the frequent contexts of that many words more (context, n)."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            grams = np.concatenate(held)
+            yield from _by_shard(grams[:, contexts:], np.ones(len(grams), np.int64), shards, hot)
+            if contexts:
+                found, n = np.unique(context_hash(grams), return_counts=True)
+                for c in np.flatnonzero(n * (8 * shards) >= len(grams)):
+                    yield _row(-1, None, "", int(found[c].view(np.int64)), int(n[c]))
+
         for batch in batches:
-            for part in slices(batch):
-                grams, _ = _sequences(*word_hashes(part.column(0), lower=True), order)
-                held.append((grams, np.ones(len(grams), np.int64)))
+            for part in slices(batch, text="text"):
+                grams, _ = _sequences(*word_hashes(part.column(0), lower=True), order + contexts)
+                held.append(grams)
                 size += len(grams)
                 if size > HELD:
-                    yield from _by_shard(*(np.concatenate(x) for x in zip(*held)), shards, hot)
+                    yield from given()
                     held, size = [], 0
         if size:
-            yield from _by_shard(*(np.concatenate(x) for x in zip(*held)), shards, hot)
+            yield from given()
 
     return run
 
 
-def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else os.path.abspath(uri))
+@dataclass
+class Part:
+    """One shard's file: n-gram keys, contexts, counts beyond a byte, their contexts' totals; then counts and totals as bytes."""
+
+    name: str
+    grams: int
+    contexts: int
+    large: int
+    heavy: int
+
+    def views(self, raw: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, kind, n in (("key", U64, self.grams), ("context", U64, self.contexts), ("large", U64, 2 * self.large), ("heavy", U64, 5 * self.heavy), ("count", np.uint8, self.grams), ("stats", np.uint8, 4 * self.contexts)):
+            size = n * np.dtype(kind).itemsize
+            out[name] = raw[at : at + size].view(kind)
+            at += size
+        out["large"], out["heavy"], out["stats"] = out["large"].reshape(2, -1), out["heavy"].reshape(-1, 5), out["stats"].reshape(-1, 4)
+        return out
 
 
-def _save(uri: str, name: str, array: np.ndarray) -> str:
-    fs, path = _filesystem(uri)
+def _save(uri: str, name: str, arrays: list[np.ndarray]) -> None:
+    fs, path = filesystem(uri)
     with fs.open_output_stream(f"{path}/{name}") as f:
-        f.write(array.tobytes())
-    return name
+        for a in arrays:
+            f.write(np.ascontiguousarray(a).tobytes())
 
 
-def _mapped(uri: str, name: str, kind) -> np.ndarray:
-    fs, path = _filesystem(uri)
+def _mapped(uri: str, name: str) -> np.ndarray:
+    fs, path = filesystem(uri)
     if isinstance(fs, pyarrow.fs.LocalFileSystem):
-        return np.memmap(f"{path}/{name}", kind, "r") if os.path.getsize(f"{path}/{name}") else np.empty(0, kind)
+        return np.memmap(f"{path}/{name}", np.uint8, "r") if os.path.getsize(f"{path}/{name}") else np.empty(0, np.uint8)
     with tempfile.NamedTemporaryFile() as copy, fs.open_input_stream(f"{path}/{name}") as f:
         shutil.copyfileobj(f, copy)
         copy.flush()
-        return np.memmap(copy.name, kind, "r") if copy.tell() else np.empty(0, kind)
-
-
-@dataclass
-class Shard:
-    """Files of one shard: n-gram hashes and counts (255: in the `large` arrays), and contexts with total and counts of 1, 2, 3+."""
-
-    shard: int
-    name: str
-    of_counts: list[int]
-    total: int
-    distinct: int
-    hot: list[list[int]] = field(default_factory=list)
+        return np.memmap(copy.name, np.uint8, "r") if copy.tell() else np.empty(0, np.uint8)
 
 
 def _merge(width: int, shards: int, hot: np.ndarray, uri: str, suffixes: bool):
-    """Merges each shard's blobs, writes its arrays, notes what it wrote, and gives its n-grams' suffixes in blobs."""
+    """Merges each shard's blobs, writes its file, notes what it wrote, and gives its n-grams' suffixes in blobs."""
 
     def finish(shard: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        import json
-
         grams, count = (np.concatenate(x) for x in zip(*(_unpacked(b, width) for b in blobs)))
-        grams, count = _summed(grams, count)
+        blobs.clear()
         context = context_hash(grams)
         key = gram_hash(context, grams[:, -1])
-        order = np.argsort(key)
-        name = uuid.uuid4().hex
-        _save(uri, f"{name}.key", key[order])
-        small = np.minimum(count[order], 255).astype(np.uint8)
-        _save(uri, f"{name}.count", small)
-        _save(uri, f"{name}.large", np.stack([key[order][small == 255], count[order][small == 255].astype(U64)]))
-        by = np.argsort(context, kind="stable")
-        c = context[by]
+        at, count = _summed(np.argsort(key), key, count)
+        grams, context, key = grams[at], context[at], key[at]
+        by = np.argsort(context)
+        c, n = context[by], count[by]
         first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        n = count[by]
         stats = np.stack([np.add.reduceat(x, first) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))], 1)
-        own, heads = c[first], []
+        own = c[first]
         spread = np.isin(own, hot) | (own == 0)
-        for h, row in zip(own[spread].tolist(), stats[spread].tolist()):
-            heads.append([h, *row])
-        _save(uri, f"{name}.context", own[~spread])
-        _save(uri, f"{name}.stats", stats[~spread].astype("<u4"))
+        heads = [[h, *row] for h, row in zip(own[spread].tolist(), stats[spread].tolist())]
+        own, stats = own[~spread], stats[~spread]
+        small, few = np.minimum(count, 255).astype(np.uint8), np.minimum(stats, 255).astype(np.uint8)
+        large, heavy = small == 255, (few == 255).any(1)
+        name = uuid.uuid4().hex
+        wide = np.concatenate([own[heavy][:, None], stats[heavy].astype(U64)], 1)
+        _save(uri, name, [key, own, key[large], count[large].astype(U64), wide, small, few])
         of = [int((count == i).sum()) for i in range(1, 5)]
-        frequent = []
-        if width == 1:
-            top = np.argsort(-count)[:200]
-            frequent = [[int(grams[i, 0]), int(count[i])] for i in top]
-        note = json.dumps([shard, name, of, int(count.sum()), len(count), heads, frequent])
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([note])], names=["shard", "blob", "note"])
+        note = json.dumps([shard, [name, len(key), len(own), int(large.sum()), int(heavy.sum())], of, int(count.sum()), len(count), heads])
+        yield _row(shard, None, note)
         if suffixes:
             yield from _by_shard(grams[:, 1:], np.ones(len(grams), np.int64), shards, np.empty(0, U64))
 
@@ -223,65 +250,75 @@ def _merge(width: int, shards: int, hot: np.ndarray, uri: str, suffixes: bool):
 
 
 class Level:
-    """One order's arrays, as the driver knows them and as a worker maps them."""
+    """One order's files, as the driver knows them and as a worker maps them."""
 
     def __init__(self, notes: list[list], uri: str, shards: int, hot: np.ndarray):
         self.uri, self.shards, self.hot = uri, shards, hot
-        self.files = {s: name for s, name, *_ in notes}
+        self.files = {n[0]: Part(*n[1]) for n in notes}
         of = np.sum([n[2] for n in notes], axis=0) if notes else np.zeros(4)
         self.total, self.distinct = sum(n[3] for n in notes), sum(n[4] for n in notes)
         heads: dict[int, np.ndarray] = {}
         for n in notes:
             for h, *row in n[5]:
                 heads[h] = heads.get(h, 0) + np.array(row)
-        self.heads = sorted(heads.items())
+        self.heads = (np.array(sorted(heads), U64), np.array([heads[h] for h in sorted(heads)], np.int64).reshape(-1, 4))
         n1, n2, n3, n4 = (float(max(x, 0)) for x in of)
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         ratio = lambda a, b: a / b if b else 0.0
         d = [1 - 2 * y * ratio(n2, n1), 2 - 3 * y * ratio(n3, n2), 3 - 4 * y * ratio(n4, n3)]
         self.discount = np.array([0.0] + [float(np.clip(x, 0.05, i + 0.95)) for i, x in enumerate(d)])
-        self.maps: dict[str, np.ndarray] = {}
+        self.maps: dict[int, dict[str, np.ndarray]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"maps": {}}
 
-    def _map(self, shard: int, kind: str, dtype) -> np.ndarray:
-        name = f"{self.files[shard]}.{kind}"
-        if name not in self.maps:
-            self.maps[name] = _mapped(self.uri, name, dtype)
-        return self.maps[name]
+    def _parts(self, shard: np.ndarray, key: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+        """(views of a shard's file, places of its keys in sorted order) for each shard that has a file."""
+        order = np.lexsort((key, shard))
+        sorted_ = shard[order]
+        edges = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.empty(0, np.int64)
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
+            s = int(sorted_[lo])
+            if s not in self.files:
+                continue
+            if s not in self.maps:
+                if len(self.maps) >= MAPPED:
+                    self.maps.clear()
+                self.maps[s] = self.files[s].views(_mapped(self.uri, self.files[s].name))
+            yield self.maps[s], order[lo:hi]
 
     def counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The counts of n-grams (0: none)."""
-        key, shard = gram_hash(context, word), shard_of(context, word, self.shards, self.hot)
+        key = gram_hash(context, word)
         out = np.zeros(len(key), np.int64)
-        order = np.lexsort((key, shard))
-        edge = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s, at in ((s, order[edge[s] : edge[s + 1]]) for s in range(self.shards) if edge[s] < edge[s + 1] and s in self.files):
-            keys = self._map(s, "key", U64)
+        for part, at in self._parts(shard_of(context, word, self.shards, self.hot), key):
+            keys = part["key"]
             i = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
-            n = np.where(keys[i] == key[at], self._map(s, "count", np.uint8)[i], 0).astype(np.int64)
-            if (n == 255).any():
-                large = self._map(s, "large", U64).reshape(2, -1)
-                big = n == 255
-                n[big] = large[1][np.searchsorted(large[0], key[at][big])].astype(np.int64)
+            n = np.where(keys[i] == key[at], part["count"][i], 0).astype(np.int64)
+            big = n == 255
+            if big.any():
+                n[big] = part["large"][1][np.searchsorted(part["large"][0], key[at][big])].astype(np.int64)
             out[at] = n
         return out
 
     def contexts(self, context: np.ndarray) -> np.ndarray:
         """(total, counts of 1, 2, 3+) of contexts; zeros where unseen."""
         out = np.zeros((len(context), 4), np.int64)
-        shard = shard_of(context, context, self.shards, np.empty(0, U64))
-        order = np.lexsort((context, shard))
-        edge = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s, at in ((s, order[edge[s] : edge[s + 1]]) for s in range(self.shards) if edge[s] < edge[s + 1] and s in self.files):
-            keys = self._map(s, "context", U64)
+        for part, at in self._parts(shard_of(context, context, self.shards, np.empty(0, U64)), context):
+            keys = part["context"]
             if len(keys):
                 i = np.minimum(np.searchsorted(keys, context[at]), len(keys) - 1)
                 found = keys[i] == context[at]
-                out[at[found]] = self._map(s, "stats", "<u4").reshape(-1, 4)[i[found]]
-        for h, row in self.heads:
-            out[context == U64(h)] = row
+                n = part["stats"][i[found]].astype(np.int64)
+                big = (n == 255).any(1)
+                if big.any():
+                    wide = part["heavy"]
+                    n[big] = wide[np.searchsorted(np.ascontiguousarray(wide[:, 0]), context[at[found]][big]), 1:].astype(np.int64)
+                out[at[found]] = n
+        names, rows = self.heads
+        if len(names):
+            i = np.minimum(np.searchsorted(names, context), len(names) - 1)
+            out = np.where((names[i] == context)[:, None], rows[i], out)
         return out
 
 
@@ -319,35 +356,35 @@ class Model:
         return list(zip(tokens.tolist(), *(x.tolist() for x in sums)))
 
 
-def train(docs: DataFrame, order: int = 2) -> Model:
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """The model of all texts of docs (text)."""
-    import json
-
     spark = docs.sparkSession
-    shards = partitions(docs)
+    scratch = Scratch(spark)
     uri = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
-    fs, path = _filesystem(uri)
+    fs, path = filesystem(uri)
     fs.create_dir(path, recursive=True)
     texts = docs.select(F.col("text").cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(size / SHARD_BYTES))
     none = np.empty(0, U64)
 
-    def level(blobs: DataFrame, width: int, hot: np.ndarray, suffixes: bool) -> tuple[Level, DataFrame, list[list]]:
-        merged = blobs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge(width, shards, hot, uri, suffixes), _ROWS)
-        merged = written(merged)
+    def level(blobs: DataFrame, width: int, hot: np.ndarray, suffixes: bool) -> tuple[Level, DataFrame]:
+        dealt = blobs.select("shard", "blob").repartitionById(shards, "shard").sortWithinPartitions("shard")
+        merged = scratch.written(dealt.mapInArrow(_merge(width, shards, hot, uri, suffixes), _ROWS))
         notes = [json.loads(r.note) for r in merged.filter("blob is null").select("note").collect()]  # one a shard
-        return Level(notes, uri, shards, hot), merged.filter("blob is not null"), notes
-
-    words, _, notes = level(texts.mapInArrow(_count(1, shards, none), _ROWS), 1, none, False)
-    least = words.total / (4 * shards)
-    hot = [w for n in notes for w, c in n[6] if c >= least]  # at most four a shard
-    begin = np.full((1, order - 1), BEGIN, U64)
-    of = lambda w: context_hash(np.array([[w, 0]], U64))[0]
-    hot_contexts = np.array([of(w) for w in hot] + [of(BEGIN)], U64) if order == 2 else np.concatenate([context_hash(np.hstack([begin, [[0]]]).astype(U64))])
+        return Level(notes, uri, shards, hot), merged.filter("blob is not null")
+
+    counted = scratch.written(texts.mapInArrow(_count(1, shards, none, order - 1), _ROWS))
+    words, _ = level(counted.filter("blob is not null"), 1, none, False)
+    # Each counted n-gram is a token, so a context's share of them is its share of the words' total.
+    often = counted.filter("blob is null").groupBy("context").agg(F.sum("n").alias("n")).filter(F.col("n") * 8 * shards >= words.total)
+    hot = np.array([r.context for r in often.select("context").collect()], np.int64).view(U64)  # at most eight a shard
     levels: list[Level] = []
-    blobs = texts.mapInArrow(_count(order, shards, hot_contexts if order > 1 else none), _ROWS)
+    blobs = texts.mapInArrow(_count(order, shards, hot), _ROWS)
     for k in range(order, 0, -1):
-        found, blobs, _ = level(blobs, k, hot_contexts if k == order and k > 1 else none, k > 1)
+        found, blobs = level(blobs, k, hot if k == order else none, k > 1)
         levels.append(found)
+    scratch.clear()
     return Model(levels[::-1], words)
 
 
@@ -361,7 +398,7 @@ def score(docs: DataFrame, model: Model, *keep: Column | str) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1500):
+            for part in slices(batch, 1500, "__text"):
                 n, known, base, log = zip(*shipped.value.score(part.column("__text")))
                 total = [shipped.value.words.total] * len(n)
                 arrays = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.int64()), pa.array(base, pa.float64()), pa.array(log, pa.float64())]
