@@ -27,14 +27,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that Jaccard links (five words, 0.8) connect."""
-    found = jaccard.similar(docs, shingle=5, num=80)
-    groups = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("one"))
-    gone = found.join(groups, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_key") == F.col("one.text_key"))))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    """Keeps the document with the smallest id of each group that Jaccard links (five words, 0.8) connect.
+
+    Documents are joined and told apart by one key, a hash of id and text, so their texts are shuffled once.
+    """
+    found = jaccard.similar(docs, shingle=5, num=80).withColumn("one", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    # Each group's least document, by map-side minima: the rows of a large group never meet in one task.
+    kept = found.filter("root is not null").groupBy("root").agg(F.min("one").alias("one")).select("one.doc_id", "one.text_key")
+    kept = kept.unionByName(found.filter("root is null").select("doc_id", "text_key"))
+    kept = kept.select(F.xxhash64("doc_id", F.coalesce("text_key", F.lit(0))).alias("__key")).distinct()
     keyed = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    keyed = keyed.withColumn("__key", F.xxhash64("doc_id", F.coalesce("__text", F.lit(0))))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key", "doc_id", "__text"]).drop("__key", "__text")
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
