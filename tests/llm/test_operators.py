@@ -105,14 +105,12 @@ def test_jaccard_orders_intersect():
         n = len(s)
         p = n - jaccard._needed(n, 80, 100) + 1
         orders = jaccard.short([s[jaccard._first(common.mixed(s ^ np.uint64(seed)), p)] for seed in (1, *jaccard.ORDERS)])
-        rows.append((i, n, orders, jaccard._histogram(s)))
+        rows.append((i, n, orders))
     linked = {(i, j) for j in range(240) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     i, j, left = jaccard.candidate_pairs(rows, 80, 100)
     found = set(zip(i.tolist(), j.tolist()))
     assert linked <= found and len(linked) >= 70 and left == sorted(left, reverse=True) and left[-1] == len(found)
-    without = [(*r[:3], bytes([255]) * 32) for r in rows]  # histograms that allow all: only the orders dismiss
-    _, _, left = jaccard.candidate_pairs(without, 80, 100)
-    assert left[1] == left[0] and left[2] < left[1] / 5 and left[3] < left[2] / 2 and left[4] < left[3], left
+    assert left[1] < left[0] / 5 and left[2] < left[1] / 2 and left[3] < left[2], left
 
 
 def removed(rows, size=50):

@@ -37,6 +37,8 @@ from .common import Scratch, U64, connected_components, mixed, partitions, signe
 RANKED_WORDS = 100_000
 #: Rows of one shingle's group compared at once with as many others, and the most rows and characters of a block of texts.
 GROUP_BLOCK, FAMILY_ROWS, FAMILY_CHARS = 512, 512, 6_000_000
+#: Texts to verify whose keys are sent to all tasks, so that other texts are not shuffled; more are joined.
+SENT = 1_000_000
 #: Seeds of the second and third order.
 ORDERS = (0xA0761D64, 0x51ED270B)
 
@@ -332,17 +334,12 @@ def _same_width(orders: list[bytes], sizes: list[int], order: int, num: int, den
 
 
 def candidate_pairs(rows: list[tuple], num: int, den: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(i, j, pairs left after the length filter, the histograms, and each of the three orders' prefix filters).
+    """(i, j, pairs left after the length filter and each of the three orders' prefix filters).
 
-    rows: (node, n_shingles, prefixes under the three orders as of `short`, histogram).
+    rows: (node, n_shingles, prefixes under the three orders as of `short`).
     """
-    size = np.array([r[1] for r in rows])
-    i, j = np.nonzero(_similar_sizes(size, num, den))
-    left = [len(i)]
-    may = _allowed(size, [r[3] for r in rows], i, j, num, den)
-    ok = np.zeros((len(rows), len(rows)), bool)
-    ok[i[may], j[may]] = True
-    left.append(int(may.sum()))
+    ok = _similar_sizes(np.array([r[1] for r in rows]), num, den)
+    left = [int(ok.sum())]
     for order in range(1 + len(ORDERS)):
         on = np.flatnonzero(ok.any(0) | ok.any(1))
         if len(on):
@@ -356,6 +353,23 @@ def _forest(rows: list[tuple], i: np.ndarray, j: np.ndarray) -> list[tuple[int,
     return [(rows[a][0], rows[b][0]) for a, b in enumerate(root.tolist()) if a != b]
 
 
+def _bounded(num: int, den: int):
+    """Per family: the smaller families (name, node) that pairs whose histograms allow a link hold together."""
+
+    def check(rows: list[tuple]) -> list[tuple[int, int]]:
+        size = np.array([r[1] for r in rows])
+        i, j = np.nonzero(_similar_sizes(size, num, den))
+        may = _allowed(size, [r[2] for r in rows], i, j, num, den)
+        name, node = _sets(np.array([r[0] for r in rows], np.int64), unite(len(rows), i[may], j[may]))
+        return list(zip(name.tolist(), node.tolist()))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _per_block(batches, ("node", "n_shingles", "histogram"), check, ("block", "node"))
+
+    return run
+
+
 def _ordered(num: int, den: int):
     """Per family: star edges of the forest of its candidate pairs."""
 
@@ -365,13 +379,13 @@ def _ordered(num: int, den: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _per_block(batches, ("node", "n_shingles", "orders", "histogram"), check)
+        yield from _per_block(batches, ("node", "n_shingles", "orders"), check)
 
     return run
 
 
-def _per_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], check) -> Iterator[pa.RecordBatch]:
-    """check(rows) for the rows (one a node, which comes first) of each block of at least two; its edges."""
+def _per_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], check, out_names: tuple[str, str] = ("a", "b")) -> Iterator[pa.RecordBatch]:
+    """check(rows) for the rows (one a node, which comes first) of each block of at least two."""
     key, held = None, {}
     for batch in batches:
         out = []
@@ -382,9 +396,9 @@ def _per_block(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], check)
             if (node := row[0].as_py()) not in held:
                 held[node] = (node, *(x.as_py() for x in row[1:]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=list(out_names))
     if len(held) > 1 and (out := check(list(held.values()))):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=list(out_names))
 
 
 def _in_blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
@@ -438,14 +452,20 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) ->
     tokens = tokens.select("token", "node", (F.shiftleft("n_shingles", 32) + F.col("pos")).alias("place"))
     tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "place", "node")
     families = scratch.written(tokens.mapInArrow(_candidates(num, den), "block long, node long").distinct())
-    sketches = given.select("node", "n_shingles", "orders", "histogram").dropDuplicates(["node"])
-    sketched = families.join(sketches, "node").select("block", "node", "n_shingles", "orders", "histogram")
-    sketched = sketched.repartition(parts, "block").sortWithinPartitions("block", "node")
-    family = connected_components(sketched.mapInArrow(_ordered(num, den), "a long, b long"))
+    for step, sketch, made in ((_bounded, "histogram", "block long, node long"), (_ordered, "orders", "a long, b long")):  # the small sketch first
+        sketches = given.select("node", "n_shingles", sketch).dropDuplicates(["node"])
+        sketched = families.join(sketches, "node").select("block", "node", "n_shingles", sketch)
+        sketched = sketched.repartition(parts, "block").sortWithinPartitions("block", "node").mapInArrow(step(num, den), made)
+        families = scratch.written(sketched.distinct())
+    family = connected_components(families)
     members = _in_blocks(family.join(nodes, "node").select("node", F.col("component").alias("family"), "one", "n_chars"), "n_chars", FAMILY_CHARS)
     members = scratch.written(members.select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"), "node", "block"))
-    same = members["doc_id"].eqNullSafe(docs["doc_id"]) & (members["text_key"] == docs["text_key"])
-    texts = members.join(docs.filter("text is not null"), same).select("block", "node", "text")
+    named = docs.filter("text is not null")
+    keys = members.select("text_key").distinct()
+    if keys.count() <= SENT:
+        named = named.join(F.broadcast(keys), "text_key", "left_semi")
+    same = members["doc_id"].eqNullSafe(named["doc_id"]) & (members["text_key"] == named["text_key"])
+    texts = members.join(named, same).select("block", "node", "text")
     texts = texts.repartition(parts, "block").sortWithinPartitions("block", "node")
     links = connected_components(texts.mapInArrow(_links(shingle, num, den), "a long, b long"))
     root = nodes.select("node", "one.doc_id").join(links, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("root"))
