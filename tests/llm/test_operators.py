@@ -381,6 +381,8 @@ def test_warc(spark, tmp_path):
     record = warc.derive(source).filter("page_id = 1 and type = 'conversion'").select(warc.serialised().alias("b")).first().b
     fields, block = next(warc._records(bytes(record)))
     assert fields["warc-refers-to"] == one.refers_to and block.decode() == one.block
+    assert fields["warc-source-payload-digest"] == one.source_payload_digest and fields["warc-source-header"] == one.source_headers.split("\r\n")[-1]
+    assert bytes(record).decode().count("WARC-Source-Header: ") == 3
     raw = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nWARC-Target-URI: http://a/\r\nContent-Length: {len(html) + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n{html}\r\n\r\n"
     (tmp_path / "a.warc").write_bytes(raw.encode())
     read = warc.read_warc(spark, str(tmp_path / "a.warc")).collect()

@@ -121,7 +121,7 @@ def derive(source: DataFrame) -> DataFrame:
 
 
 def serialised() -> Column:
-    """The bytes of a derived record in a WARC file."""
+    """The bytes of a derived record in a WARC file; each line of the source's headers is a field WARC-Source-Header."""
     field = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string")))
     head = F.concat_ws(
         CRLF,
@@ -132,6 +132,8 @@ def serialised() -> Column:
         field("WARC-Concurrent-To", "concurrent_to"),
         field("WARC-Target-URI", "target_uri"),
         field("WARC-Date", "date"),
+        field("WARC-Source-Payload-Digest", "source_payload_digest"),
+        F.when(F.col("source_headers").isNotNull(), F.concat(F.lit("WARC-Source-Header: "), F.replace(F.col("source_headers"), F.lit(CRLF), F.lit(f"{CRLF}WARC-Source-Header: ")))),
         field("WARC-Block-Digest", "block_digest"),
         field("Content-Type", "content_type"),
         field("Content-Length", "content_length"),
