@@ -142,6 +142,8 @@ def test_substring_dedup(docs, rows, none, batches):
 def test_substring_index_goes_on_in_another_session(spark, rows, tmp_path):
     """Seven batches, the index closed and opened again between them: compaction happens, results are those of brute force."""
     named = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    last = named[-1][0] + 1
+    named += [(last + i, rows[i % 2 * 3][1], "en", "s", 1) for i in range(14)]  # whole copies in every later batch
     table = lambda s, x: s.createDataFrame(x, SCHEMA)
     last = max(r[0] for r in named) + 1
     got, path = [], str(tmp_path / "index")

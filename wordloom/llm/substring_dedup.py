@@ -30,6 +30,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -211,7 +212,10 @@ class FingerprintIndex:
         runs.append(run)
         while len(runs) > self.fan_in and runs[-2].rows <= self.fan_in * runs[-1].rows:
             new, old = runs.pop(), runs.pop()
-            runs.append(self._write(self.spark.table(old.table).unionByName(self.spark.table(new.table)), key))
+            both = self.spark.table(old.table).unionByName(self.spark.table(new.table))
+            if key == "whole":  # a digest that both runs hold stays once, with its least document
+                both = both.repartition(self.buckets, "whole").groupBy("whole", "whole_check").agg(F.min("doc_id").alias("doc_id"))
+            runs.append(self._write(both, key))
             self.stale += [new, old]
             self.compactions += 1
 
@@ -228,11 +232,10 @@ class FingerprintIndex:
         digest = ["whole", "whole_check"]
         known = scan.filter("whole is not null").groupBy(*digest).agg(F.min("doc_id").alias("doc_id"))
         run = self._write(known.select(*digest, "doc_id"), "whole")
-        least = self.spark.table(run.table)
-        for old in self.runs["whole"]:
-            earlier = self.spark.table(old.table).select(*digest, F.col("doc_id").alias("old"))
-            least = least.join(earlier, digest, "left").select(*digest, F.least("doc_id", "old").alias("doc_id"))
-        least = least.withColumnRenamed("doc_id", "first")
+        # Dealt anew before minima are taken, so that a digest that several runs hold is one row whatever their buckets.
+        runs = [self.spark.table(r.table) for r in [*self.runs["whole"], run]]
+        every = reduce(DataFrame.unionByName, runs).repartition(partitions(batch), "whole")
+        least = every.groupBy(*digest).agg(F.min("doc_id").alias("first"))
         marked = scratch.written(scan.join(least, digest, "left").select(*scan.columns, F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")))
         self._add("whole", run)
         firsts = marked.filter("whole is not null and not copy").select("doc_id", "text_key", "anchors").dropDuplicates(["doc_id", "text_key"])
