@@ -12,8 +12,8 @@ each older run. Fingerprints met in another document only name candidates: the c
 are then verified by two independent hashes of all `size` words (96 bits), of which the least
 document is found by partial minima, so a passage that a third of all documents share puts one row
 a task into a shuffle; the windows that so many documents share (fewer than four a partition, by
-their share of all) are compared by broadcast, not dealt by key. Runs are compacted when their
-sizes come within a factor of each other, so a batch meets a logarithmic number of runs. Whole
+their share of all) are compared by broadcast, not dealt by key. Neighbouring runs are compacted, however
+old, when their sizes come within a factor of each other, so a batch meets a logarithmic number of runs. Whole
 copies of earlier documents are recognised by a digest of all their words and put nothing into the
 index, so a group of copies costs one document.
 
@@ -207,15 +207,18 @@ class FingerprintIndex:
         return Run(name, self.spark.table(name).count())
 
     def _add(self, key: str, run: Run) -> None:
-        """The run as the newest; the newest two are merged while there are more than fan_in and they are within fan_in of each other's size."""
+        """The run as the newest; while there are more than fan_in, neighbours of which the older is not fan_in times the newer's size are merged."""
         runs = self.runs[key]
         runs.append(run)
-        while len(runs) > self.fan_in and runs[-2].rows <= self.fan_in * runs[-1].rows:
-            new, old = runs.pop(), runs.pop()
+        while len(runs) > self.fan_in:
+            near = [i for i in range(len(runs) - 1) if runs[i].rows <= self.fan_in * runs[i + 1].rows]
+            if not near:
+                break
+            old, new = runs[near[-1] : near[-1] + 2]
             both = self.spark.table(old.table).unionByName(self.spark.table(new.table))
             if key == "whole":  # a digest that both runs hold stays once, with its least document
                 both = both.repartition(self.buckets, "whole").groupBy("whole", "whole_check").agg(F.min("doc_id").alias("doc_id"))
-            runs.append(self._write(both, key))
+            runs[near[-1] : near[-1] + 2] = [self._write(both, key)]
             self.stale += [new, old]
             self.compactions += 1
 
