@@ -399,3 +399,17 @@ def test_connected_components(spark):
     root = components(len(names), [(at[a], at[b]) for a, b in pairs])
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: names[root[i]] for i, x in enumerate(names)}
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * 200_000) for i in range(4)], "doc_id long, text string").coalesce(1)
+    common.small_batches(spark)
+
+    def largest(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows]})
+
+    assert {r.rows for r in docs.mapInArrow(largest, "rows long").collect()} <= {1, 2, 3, 4}
+    small = docs.selectExpr("doc_id", "left(text, 400000) text").crossJoin(spark.range(20).withColumnRenamed("id", "n"))
+    seen = [r.rows for r in small.mapInArrow(largest, "rows long").collect()]
+    assert sum(seen) == 80 and max(seen) <= 12

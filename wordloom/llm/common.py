@@ -76,6 +76,16 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's bound on an Arrow batch in bytes (none unless set), and the bound that this subpackage sets where the session has none.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session by bytes, so that ten thousand long texts are never sent to a worker at once."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one call in the shared folder, so that lineage is cut by files that outlive executors.
 
@@ -83,6 +93,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.paths = spark, []
 
     def written(self, df: DataFrame, keep: bool = False) -> DataFrame:

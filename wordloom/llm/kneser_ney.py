@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U64, filesystem, mixed, shared_dir, slices, tidy, word_hashes
+from .common import Scratch, U64, filesystem, mixed, shared_dir, slices, small_batches, tidy, word_hashes
 
 BEGIN, END = U64(0x6265676E), U64(0x656E6421)
 #: n-grams a task holds before it gives them away, and bytes of text a shard is made of.
@@ -391,6 +391,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
 def score(docs: DataFrame, model: Model, *keep: Column | str) -> DataFrame:
     """The columns `keep`, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)  # file names and frequent contexts only
     source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     kept = source.columns[:-1]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, tidy, U64
+from .common import mixed, slices, small_batches, tidy, U64
 
 DIMENSIONS = 8192
 #: Texts a language that the model is fitted on, and how many of them are landmarks.
@@ -118,6 +118,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -
 def predict(docs: DataFrame, model: Model, text: str | Column = "text") -> DataFrame:
     """All columns of docs and lang_pred, score (replacing columns of these names)."""
     spark = docs.sparkSession
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)  # bounded by landmarks, dimensions and languages
     clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
     docs = docs.drop(*clash)

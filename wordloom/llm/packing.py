@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words, tidy
+from .common import slices, small_batches, split_words, tidy
 
 WINDOW = 4096
 SEPARATOR = 2
@@ -199,6 +199,7 @@ def _pieces(path: str, window: int, separator: int, payload: bool):
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int = SEPARATOR, payload: bool = False) -> tuple[DataFrame, int]:
     """(pieces of all documents, at most `window` ids each: doc_id, start, length, ids_crc32, doc_tokens, shard[, ids]; number of shards)."""
+    small_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // SHARD_DOCUMENTS))
     run, schema = _pieces(tokenizer, window, separator, payload)
     cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
