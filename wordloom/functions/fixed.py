@@ -138,3 +138,15 @@ WINDOWS_PATH = r"(?<![A-Za-z])[A-Za-z]:[\\/]+(?:[^\\/\s\"'<>|,*?:]+[\\/]+)*[^\\/
 POSIX_PATH = r"/(?:Users|home|root|private|var|opt|tmp)/[^\s\"'<>|,;]*"
 HIDDEN_PATH = "<路径>"
 QUOTE = r"""[“"'‘]([^”"'’\n]*)[”"'’]?"""
+
+# Quotes, order lists, sources of the baselines.
+MAX_QUOTE_CHARS, LOOSE_CHARS, PLACEHOLDER = 30, 4, "（待确认）"
+LOOSE_MARKS = "，。！？!?…、：；“”\"'‘’（）()《》〈〉,.-—·"
+ORDERS_SHOWN = 12
+SEMANTIC_CHAPTERS = 40
+STAMP = r"^\d{8}-\d{6}-\d{6}$"
+STRUCTURE_FIELDS = ["avg_sentence_chars", "avg_dialogue_ratio", "per_thousand_conflicts", "median_sentence_chars", "short_sentence_ratio", "hook_recovery_median", "hook_recovery_longest", "hook_open_count"]
+BASELINES = {
+    "style": {"version": "style-v1", "books": 67, "chapters": 5829, "holdout_books": 20, "holdout_chapters": 1640, "ai_chapters": None},
+    "dialogue": {"version": "style-dlg-v1", "books": 81, "chapters": 31889, "holdout_books": 18, "holdout_chapters": 4654, "ai_chapters": 11},
+}

@@ -70,6 +70,28 @@ def evidence(text: Column, most: int = 40) -> Column:
     return F.left(T.stripped(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(most))
 
 
+def shown(text: Column, rule: Column) -> Column:
+    """The pieces of a chapter that show a failure of the rule: at most three, clipped, none that is blank.
+
+    For rules about a phrase the phrase itself, for engineering words what stands around the first
+    occurrence of each, for a truncated text its end, for a repeated line that line.
+    """
+    tail = F.right(F.regexp_replace(text, r"(?U)\s+$", ""), F.lit(60))
+    at = lambda w: F.position(w, text)
+    around = lambda w: F.substring(text, F.greatest(at(w) - 15, F.lit(1)), at(w) + 25 - F.greatest(at(w) - 15, F.lit(1)))
+    rows = T.lines(text)
+    follows = F.filter(F.transform(rows, lambda x, i: F.when((F.length(x) >= V.ADJACENT_CHARS) & (x == F.get(rows, i - 1)), x)), lambda x: x.isNotNull())
+    pieces = (
+        F.when(rule == "truncated", F.array(tail))
+        .when(rule == "tier1_engineering_words", F.transform(F.slice(engineering_words(text), 1, 3), around))
+        .when(rule == "self_reference", F.array(self_reference(text)))
+        .when(rule == "placeholder", F.array(placeholder(text)))
+        .when(rule == "adjacent_duplicate", F.slice(follows, 1, 1))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return F.filter(F.transform(pieces, lambda x: evidence(x)), lambda x: F.coalesce(x != "", F.lit(False)))
+
+
 def windowed(chapters: DataFrame, size: int = V.RECENT) -> DataFrame:
     """book, ord, prev: pairs of each chapter with the earlier ones at most `size` numbers before.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
@@ -111,3 +112,59 @@ def context(chapters: DataFrame, previous: DataFrame, open_hooks: DataFrame, hit
     found = hits.groupBy("book", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved"))
     out = chapters.select("book", "ord").join(previous, ["book", "ord"], "left").join(hooks, ["book", "ord"], "left").join(found, ["book", "ord"], "left")
     return out.select("book", "ord", "source", "previous", F.coalesce("hooks", F.array().cast("array<int>")).alias("hooks"), F.coalesce("retrieved", F.array().cast(found.schema["retrieved"].dataType)).alias("retrieved"))
+
+
+def orders_shown(orders: Column | str) -> Column:
+    """A list of chapter numbers as text: all of a short one, else their number and the first twelve."""
+    n = F.coalesce(F.size(orders), F.lit(0))
+    head = F.array_join(F.transform(F.slice(orders, 1, V.ORDERS_SHOWN), lambda x: x.cast("string")), "、")
+    return F.when(n <= 0, "无").when(n <= V.ORDERS_SHOWN, head).otherwise(F.format_string(f"共 %d 章（前 {V.ORDERS_SHOWN} 章：%s…）", n, head))
+
+
+def reference_stats(wanted: DataFrame, projects: DataFrame, structures: DataFrame) -> DataFrame:
+    """project, title, chapters and the eight numbers of a structure, for those of the wanted projects that have one.
+
+    Ids that no project has, and projects without a structure, are left out; no other column leaves.
+    """
+    known = wanted.select("project").join(projects.select("project", "title", "chapters"), "project")
+    return known.join(structures.select("project", *V.STRUCTURE_FIELDS), "project")
+
+
+def versions(history: DataFrame) -> DataFrame:
+    """project, ord, stamps: the legal stamps of each chapter's saved versions, oldest first."""
+    return history.filter(F.col("stamp").rlike(V.STAMP)).groupBy("project", "ord").agg(F.array_sort(F.collect_set("stamp")).alias("stamps"))
+
+
+def restored(manuscripts: DataFrame, history: DataFrame, wanted: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Manuscripts and history (project, ord, stamp, text) after the wanted (project, ord, stamp) are put back.
+
+    The text that a version replaces is itself saved under the stamp `now`; a wanted version that
+    does not exist or has no legal stamp changes nothing.
+    """
+    keys = ["project", "ord"]
+    back = wanted.filter(F.col("stamp").rlike(V.STAMP)).join(history, [*keys, "stamp"]).groupBy(*keys).agg(F.max_by("text", "stamp").alias("back"))
+    both = manuscripts.select(*keys, "text").join(back, keys, "full")
+    saved = both.filter(F.col("back").isNotNull() & F.col("text").isNotNull()).select(*keys, F.lit(now).alias("stamp"), "text")
+    return both.select(*keys, F.coalesce("back", "text").alias("text")), history.select(*keys, "stamp", "text").unionByName(saved)
+
+
+def summaries(files: DataFrame, schema: str) -> DataFrame:
+    """project, ord and the fields of each chapter's summary, from rows (project, name, text) of its files.
+
+    Names other than ch001.json and texts that are no JSON object are left out.
+    """
+    rows = files.select("project", F.regexp_extract("name", r"^ch(\d{3})\.json$", 1).alias("no"), F.from_json("text", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("s"))
+    return rows.filter((F.col("no") != "") & F.col("s").isNotNull() & F.col("s._bad").isNull()).select("project", F.col("no").cast("int").alias("ord"), "s.*").drop("_bad")
+
+
+def enriched(chapters: DataFrame, results: DataFrame, first: int = V.SEMANTIC_CHAPTERS) -> tuple[DataFrame, DataFrame]:
+    """Chapters (book, ord, ...) with the fields of their results (book, ord, fields...), and per book its targets, failures and whether all failed.
+
+    Only the first chapters of a book are targets; a target without a result is a failure, a result
+    of another chapter is not read. A book whose targets all failed is reported, never raised here.
+    """
+    place = F.row_number().over(W.partitionBy("book").orderBy("ord"))
+    heads = chapters.select("book", "ord").withColumn("place", place).filter(F.col("place") <= first)
+    found = heads.join(results.withColumn("met", F.lit(True)), ["book", "ord"], "left")
+    ended = found.groupBy("book").agg(F.count("*").alias("targets"), F.count_if(F.col("met").isNull()).alias("failures"))
+    return chapters.join(found.filter("met").drop("met", "place"), ["book", "ord"], "left"), ended.withColumn("all_failed", F.col("failures") == F.col("targets"))

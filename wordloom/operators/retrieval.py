@@ -42,15 +42,19 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text",
 
 
 def scores(docs: DataFrame, queries: DataFrame, query: str = "query_id", k1: float = V.BM25_K1, b: float = V.BM25_B, boost: dict[str, float] | None = None) -> DataFrame:
-    """query_id, doc_id, score for every pair that shares a term (all positive).
+    """query_id, doc_id, score for every pair that shares a term (all positive)."""
+    return scores_from(postings(docs), corpus_statistics(docs), queries, query, k1, b, boost)
+
+
+def scores_from(found: DataFrame, corpus: DataFrame, queries: DataFrame, query: str = "query_id", k1: float = V.BM25_K1, b: float = V.BM25_B, boost: dict[str, float] | None = None) -> DataFrame:
+    """The scores of queries against postings and corpus statistics, such as those of a saved index.
 
     The query side is small and grouped by term first; only postings of its terms survive the
     semi-join, before statistics of terms and corpus are joined.
     """
     terms = query_terms(queries, query, boost=boost)
-    hit = postings(docs).join(terms.select("term").distinct(), "term", "left_semi")
+    hit = found.join(terms.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = corpus_statistics(docs)
     n, avgdl = (corpus.select(c).scalar() for c in ("n", "avgdl"))
     norm = F.when(avgdl > 0, 1 - b + b * F.col("length") / avgdl).otherwise(1.0)
     weighed = hit.join(df, "term").join(terms, "term")
@@ -103,3 +107,19 @@ def containing(docs: DataFrame, items: DataFrame, item: str = "item_id", size: i
         found = docs.select("doc_id", "text").join(F.broadcast(part), F.expr("contains(text, item_text)")).select("query_id", "doc_id")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def macro(recalls: DataFrame) -> DataFrame:
+    """One row: cases and the mean of their recalls, each case weighing the same (0 without cases)."""
+    return recalls.agg(F.count("*").alias("cases"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("macro_recall"))
+
+
+def save_index(docs: DataFrame, path: str) -> None:
+    """Write postings (in order of term within a file, so scans skip by term) and each document's length under the path."""
+    postings(docs).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    docs.select("doc_id", F.size(T.tokens("text")).alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """postings and corpus statistics of a saved index; statistics are made anew from the lengths."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))

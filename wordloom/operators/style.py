@@ -92,6 +92,12 @@ def rule_table(spark, rules: dict | None = None) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
+def baselines(spark) -> DataFrame:
+    """block, version, books, chapters, holdout_books, holdout_chapters, ai_chapters, rules (names in order) of both baselines."""
+    rows = [(k, *v.values(), list(r)) for (k, v), r in zip(V.BASELINES.items(), (V.STYLE_RULES, V.DIALOGUE_RULES))]
+    return spark.createDataFrame(rows, "block string, version string, books long, chapters long, holdout_books long, holdout_chapters long, ai_chapters long, rules array<string>")
+
+
 def limits(rules: DataFrame, mode: str = "judge") -> DataFrame:
     return rules.select("metric", F.coalesce(F.col("prompt") if mode == "prompt" else F.col("limit"), F.col("limit")).alias("limit"))
 

@@ -20,6 +20,7 @@ from .operators import gates as G
 from .operators import knowledge as K
 from .operators import ledger as L
 from .operators import projects as P
+from .operators import quotes as Q
 from .operators import retrieval as R
 from .operators import runs as U
 from .operators import style as S
@@ -842,6 +843,110 @@ def p08_knowledge_search(t):
     return hits.select("query_id", "rank", K.chunk_id(F.col("doc_id.path"), F.col("doc_id.index")).alias("id"), F.col("doc_id.path").alias("source"), "heading", F.left("chunk", F.lit(V.SNIPPET_CHARS)).alias("text"), r6("score").alias("score"))
 
 
+# Quotes as evidence, evidence and scores of findings.
+LOOSE = "regexp_replace({}, '[，。！？!?…、：；“”\"''‘’（）()《》〈〉,.—·-]', '', 'g')"
+ASKED = f"""asked as (select doc_id, text, {strip("case doc_id % 3 when 0 then substr(text, 6, 12) when 1 then replace(substr(text, 6, 12), ' ', '  ') else replace(substr(text, 6, 12), ' ', ', ') end")} q from documents),
+forms as materialized (select doc_id, text, q, {unspace('text')} t2, {unspace('q')} q2, {LOOSE.format(unspace('text'))} t3, {LOOSE.format(unspace('q'))} q3 from asked)"""
+
+
+def once(t: str, x: str) -> str:
+    return f"({x} <> '' and instr({t}, {x}) > 0 and instr(substr({t}, instr({t}, {x}) + length({x})), {x}) = 0)"
+
+
+@query(
+    f"with {ASKED}, lv as (select *, case when {once('text', 'q')} then 1 when {once('t2', 'q2')} then 2 when length(q3) >= 4 and {once('t3', 'q3')} then 3 else 0 end lv from forms) select doc_id, cast(lv as bigint) as level, case lv when 0 then '' when 3 then q3 else q2 end as found from lv"
+)
+def x16_quotes_placed(t):
+    cut = F.substring("text", 6, 12)
+    asked = F.when(F.col("doc_id") % 3 == 0, cut).when(F.col("doc_id") % 3 == 1, F.replace(cut, F.lit(" "), F.lit("  "))).otherwise(F.replace(cut, F.lit(" "), F.lit(", ")))
+    d = t.documents.select("doc_id", "text", F.get(Q.placed(F.col("text"), F.array(asked)), 0).alias("p"))
+    piece = T.unspaced(F.substring(F.col("text"), F.col("p.start") + 1, F.col("p.stop") - F.col("p.start")))
+    found = F.when(F.col("p.level") == 3, F.regexp_replace(piece, r"""[，。！？!?…、：；“”"'‘’（）()《》〈〉,.\-—·]""", "")).otherwise(piece)
+    return d.select("doc_id", F.coalesce("p.level", F.lit(0)).alias("level"), F.coalesce(found, F.lit("")).alias("found"))
+
+
+@query(None)
+def x17_quote_audit(t):
+    d = t.chinese()
+    said = F.concat(F.lit("他说“"), F.substring("text", 6, 12), F.lit("”，又说“"), F.left("text", F.lit(60)), F.lit("”，“并无此句”。"))
+    out = Q.audited(d.withColumn("said", said), "said", "text")
+    return out.select("doc_id", "cleaned", F.size("anchors").alias("anchors"), "removed", "unplaced")
+
+
+@query(None)
+def x22_style_evidence(t):
+    ch = t.chapters()
+    return S.shown(S.findings(ch, "book", "ord"), ch, "book", "ord").select("book", "ord", "metric", "evidence")
+
+
+@query(
+    f"""with {DIALOGUE}, {_rule_sql()}, rws as ({ROWS_SQL}), f as (select book, ord, count(*) n from rws join rules using (metric) where case when dir = 'hi' then v > lim else v < lim end group by 1, 2),
+r as (select book, ord, cast(checked as bigint) * ({len(V.STYLE_RULES)} + coalesce(ok, false)::bigint * {len(V.DIALOGUE_RULES)}) rules from talk)
+select book, ord, rules, coalesce(n, 0) findings, case when rules > 0 then round_even(coalesce(n, 0) / rules, 4) else 0.0 end score from r left join f using (book, ord)"""
+)
+def x29_style_scores(t):
+    ch = t.chapters()
+    return S.scored(ch, S.findings(ch, "book", "ord"), "book", "ord")
+
+
+@query(
+    "select block, version, cast(books as bigint) books, cast(chapters as bigint) chapters, cast(holdout_books as bigint) holdout_books, cast(holdout_chapters as bigint) holdout_chapters, cast(ai_chapters as double) ai_chapters, rules from (values ('style', 'style-v1', 67, 5829, 20, 1640, null, '破折号密度、身体外化密度、分句均字、单句段占比、段均句数、段p90字'), ('dialogue', 'style-dlg-v1', 81, 31889, 18, 4654, 11, '对白破折号占比、对白条数每千字、对白第二人称密度、对白句均字')) b(block, version, books, chapters, holdout_books, holdout_chapters, ai_chapters, rules)"
+)
+def a23_baselines(t):
+    b = S.baselines(t.spark)
+    return b.withColumns({"ai_chapters": F.col("ai_chapters").cast("double"), "rules": F.array_join("rules", "、")})
+
+
+@query(rf"with x as (select doc_id, regexp_replace(text, '[\s　]+$', '') s from documents) select doc_id, left({strip(r"regexp_replace(right(s, 60), '[\s　]+', ' ', 'g')")}, 40) evidence from x where s <> ''")
+def t06_end_evidence(t):
+    return t.documents.select("doc_id", F.get(G.shown(F.col("text"), F.lit("truncated")), 0).alias("evidence")).filter("evidence is not null")
+
+
+# Projects: order lists, reference statistics, versions, summaries, semantic results.
+@query(
+    "with o as (select o_custkey, count(*) n, list(o_orderkey order by o_orderkey) l from orders group by 1) select o_custkey, case when n <= 12 then array_to_string(l, '、') else '共 ' || n || ' 章（前 12 章：' || array_to_string(l[1:12], '、') || '…）' end orders from o"
+)
+def t04_orders_shown(t):
+    return t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l")).select("o_custkey", P.orders_shown("l").alias("orders"))
+
+
+STATS = {k: f"p_size * {i + 1}" for i, k in enumerate(V.STRUCTURE_FIELDS)}
+
+
+@query("select c_custkey project, s_name title, s_nationkey chapters, " + ", ".join(f'cast({v} as bigint) "{k}"' for k, v in STATS.items()) + " from customer join supplier on s_suppkey = c_custkey join part on p_partkey = c_custkey where p_size > 10")
+def f06_reference_stats(t):
+    wanted = t.customer.select(F.col("c_custkey").alias("project"))
+    known = t.supplier.select(F.col("s_suppkey").alias("project"), F.col("s_name").alias("title"), F.col("s_nationkey").cast("long").alias("chapters"))
+    measured = t.part.filter("p_size > 10").select(F.col("p_partkey").alias("project"), "p_name", *[F.expr(v).cast("long").alias(k) for k, v in STATS.items()])
+    return P.reference_stats(wanted, known, measured)
+
+
+@query("select user_id project, event_id % 30 + 1 as ord, string_agg(distinct printf('%08d-000000-%06d', event_id, event_id % 1000), ',' order by printf('%08d-000000-%06d', event_id, event_id % 1000)) stamps from events where event_id % 4 > 0 group by 1, 2")
+def s11_versions(t):
+    stamp = F.when(F.col("event_id") % 4 > 0, F.format_string("%08d-000000-%06d", "event_id", F.col("event_id") % 1000)).otherwise(F.lit("../x"))
+    history = t.events.select(F.col("user_id").alias("project"), (F.col("event_id") % 30 + 1).alias("ord"), stamp.alias("stamp"))
+    return P.versions(history).withColumn("stamps", F.array_join("stamps", ","))
+
+
+@query("select page_id % 10 project, page_id % 1000 as ord, url gist from pages where page_id % 3 = 0")
+def s12_summaries(t):
+    name = F.when(F.col("page_id") % 3 == 1, F.lit("ch1.json")).otherwise(F.format_string("ch%03d.json", F.col("page_id") % 1000))
+    text = F.when(F.col("page_id") % 3 == 2, F.lit('{"gist": ')).otherwise(F.to_json(F.struct(F.col("url").alias("gist"))))
+    return P.summaries(t.pages.select((F.col("page_id") % 10).alias("project"), name.alias("name"), text.alias("text")), "gist string")
+
+
+@query(f"with {PCH}, f as (select book, ord, doc_id from ch where ord <= 40) select book, count(*) targets, count(*) filter (doc_id % 3 > 0) failures, bool_and(doc_id % 3 > 0) all_failed from f group by 1")
+def p03_enrichment_failures(t):
+    ch = t.plain_chapters()
+    results = ch.filter("doc_id % 3 = 0").select("book", "ord", F.left("text", F.lit(20)).alias("core_event"))
+    return P.enriched(ch, results)[1]
+
+
+@query(f"with {POST}, {GOLD}, r as (select query_id, round(count(rank) / count(*), 6) recall from gold left join (select * from top where rank <= 10) using (query_id, doc_id) group by 1) select count(*) cases, round(coalesce(avg(recall), 0), 6) macro_recall from r")
+def a15_macro_recall(t):
+    return R.macro(R.recall(_ranked(t), R.containing(t.documents, t.benchmark))).withColumn("macro_recall", r6("macro_recall"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
