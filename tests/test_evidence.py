@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.operators import gates, projects, quotes, retrieval, style
+from wordloom.sources import files
+from wordloom.streaming import runs as streams
 
 TEXT = "他说：好的…走吧。ＡＢＣ门开了，风进来。好的。"
 
@@ -114,3 +116,23 @@ def test_baselines(spark):
     got = {r.block: r for r in style.baselines(spark).collect()}
     assert (got["style"].books, got["style"].holdout_books, got["style"].ai_chapters, len(got["style"].rules)) == (67, 20, None, 6)
     assert (got["dialogue"].chapters, got["dialogue"].ai_chapters, got["dialogue"].rules[0]) == (31889, 11, "对白破折号占比")
+
+
+def test_listed_paths_without_regard_to_case(spark, tmp_path):
+    (tmp_path / "Sub").mkdir()
+    for name in ("b.txt", "A.txt", "Sub/c.md", "a2.txt"):
+        (tmp_path / name).write_text("x")
+    assert [r.path.rsplit(tmp_path.name + "/", 1)[1] for r in files.listed(spark, str(tmp_path)).collect()] == ["A.txt", "a2.txt", "b.txt", "Sub/c.md"]
+
+
+def test_drift_of_a_stream_keeps_to_the_horizon(spark, tmp_path):
+    """Book a has five high values within twelve numbers, b's five are spread wider; both arrive in two batches."""
+    schema = "book string, ord long, rule string, value double"
+    rows = [("a", i, "em_dash", 30.0) for i in range(1, 6)] + [("b", 5 * i, "em_dash", 30.0) for i in range(1, 6)]
+    for i, part in enumerate((rows[:3] + rows[5:8], rows[3:5] + rows[8:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = streams.drifting(stream).writeStream.outputMode("append").format("memory").queryName("drift_horizon").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [tuple(r) for r in spark.table("drift_horizon").collect()] == [("a", 5, "em_dash", 30.0)]
+    assert streams.progress(query)["rows"] == 10

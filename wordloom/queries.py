@@ -371,6 +371,27 @@ def p04_a22_gate_verdicts(t):
     return G.check(t.plain_chapters()).drop("cjk_chars", "length_advisory").withColumn("rules", F.array_join("rules", ","))
 
 
+# As p04, over chapters that hold what the other rules look for; every sixth one is blank, which is rejected.
+BAITED = f"case when doc_id % 6 = 5 then ' ' else {BAIT} end"
+BD = f"bd as materialized (select doc_id, source, {BAITED} as text from documents)"
+BAITED_CROSS, BAITED_REPEATS = BD + ", " + CROSS.replace("from documents", "from bd"), REPEATS.replace("from documents", "from bd")
+
+
+@query(
+    f"""with {BAITED_CROSS}, {BAITED_REPEATS}, l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') l from bd),
+v as (select ch.book, ch.ord, ch.text, near.*, list_filter([case when regexp_replace(text, '[\\s　]+$', '') = '' or not contains('{q(V.CLOSING)}', right(regexp_replace(text, '[\\s　]+$', ''), 1)) then 'truncated' end,
+  case when coalesce(times, 0) >= 3 then 'repeat_span' end, case when coalesce(times, 0) < 3 and length({unspace('text')}) >= 36 and len(list_filter(range(2, len(l) + 1), lambda i: l[i] = l[i - 1] and length(l[i]) >= 8)) > 0 then 'adjacent_duplicate' end,
+  case when {_self('text')} is not null then 'self_reference' end, case when coalesce({', '.join(f"nullif(regexp_extract(text, '{q(p)}'), '')" for p in V.PLACEHOLDERS)}) is not null then 'placeholder' end, case when contains(text, '�') then 'mojibake' end,
+  case when len(list_filter({V.ENGINEERING_WORDS!r}, lambda w: contains(text, w))) > 0 then 'tier1_engineering_words' end, case when overlap >= 0.30 then 'cross_chapter_similarity' end], lambda x: x is not null) rules from ch join near using (book, ord) left join rep using (doc_id) join l using (doc_id))
+select book, ord, array_to_string(rules, ',') rules, case when len(rules) = 0 then 'pass' when list_contains(rules, 'mojibake') or {strip('text')} = '' then 'reject' else 'repair' end verdict from v"""
+)
+def p04_baited_verdicts(t):
+    ids = t.plain_chapters().select("book", "ord", "doc_id")
+    text = F.when(F.col("doc_id") % 6 == 5, " ").otherwise(F.col("text"))
+    rows = _baited(t).withColumn("text", text).join(ids, "doc_id")
+    return G.check(rows).select("book", "ord", F.array_join("rules", ",").alias("rules"), "verdict")
+
+
 @query("with w as (select doc_id, list_distinct(string_split(text, ' ')) w, lead(list_distinct(string_split(text, ' '))) over (order by doc_id) o from documents) select doc_id, round(len(list_intersect(w, coalesce(o, []))) / len(w), 6) ratio from w")
 def u05_overlap_ratio(t):
     w = t.documents.select("doc_id", F.split("text", " ").alias("w"))

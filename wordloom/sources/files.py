@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import html
 import io
-import re
 import zipfile
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +24,37 @@ def decoded(data: bytes) -> str | None:
     return None
 
 
+class _Paragraphs(HTMLParser):
+    """Collects the text between tags, with a line's end at the end of each paragraph; tolerates what is no well-formed XML."""
+
+    def __init__(self):
+        super().__init__()
+        self.pieces: list[str] = []
+
+    def handle_data(self, data: str) -> None:
+        self.pieces.append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "w:p":
+            self.pieces.append("\n")
+
+
 def docx_text(data: bytes) -> str | None:
-    """The text of a .docx file, one line a paragraph."""
+    """The text of a .docx file, one line a paragraph (null: no such file)."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            xml = archive.read("word/document.xml").decode("utf-8", errors="ignore")
+            parser = _Paragraphs()
+            parser.feed(archive.read("word/document.xml").decode("utf-8", errors="ignore"))
     except (zipfile.BadZipFile, KeyError):
         return None
-    return html.unescape(re.sub(r"<[^>]+>", "", xml.replace("</w:p>", "\n")))
+    parser.close()
+    return "".join(parser.pieces)
+
+
+def listed(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path, size of all files below root in order of path without regard to case; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return files.select("path", F.col("length").alias("size")).orderBy(F.lower("path"), "path")
 
 
 def read_documents(spark: SparkSession, root: str, glob: str = "*.{md,txt,docx}") -> DataFrame:

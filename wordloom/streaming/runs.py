@@ -33,25 +33,27 @@ def ledger(spark, path: str) -> DataFrame:
 def drifting(stream: DataFrame, limits: dict[str, float] | None = None, window: int = V.DRIFT_WINDOW) -> DataFrame:
     """book, ord, rule, middle of a stream (book, ord, rule, value) that arrives in order of ord within a book.
 
-    State a book and rule is its last values only. A book whose chapters arrive in one batch is taken in order.
+    State a book and rule is its last chapters' numbers and values only; as in the batch form, chapters more
+    than twelve numbers back don't count. A book whose chapters arrive in one batch is taken in order.
     """
     limits = {k: v * V.DRIFT_RATIO for k, v in (limits or V.DRIFT_P95).items()}
 
     def step(key, frames, state):
         import pandas as pd
 
-        held = list(state.get[0]) if state.exists else []
+        held = list(zip(*state.get)) if state.exists else []
         rows = []
         for frame in frames:
             for ord_, value in frame.sort_values("ord")[["ord", "value"]].itertuples(index=False):
-                held = [*held, float(value)][-window:]
-                middle = sorted(held)[window // 2] if len(held) == window else None
+                held = [*held, (int(ord_), float(value))][-window:]
+                near = sorted(v for o, v in held if o >= ord_ - 12)
+                middle = near[window // 2] if len(near) == window else None
                 if middle is not None and key[1] in limits and middle > limits[key[1]]:
                     rows.append((key[0], int(ord_), key[1], middle))
-        state.update((held,))
+        state.update(([o for o, _ in held], [v for _, v in held]))
         yield pd.DataFrame(rows, columns=["book", "ord", "rule", "middle"])
 
-    return stream.groupBy("book", "rule").applyInPandasWithState(step, "book string, ord long, rule string, middle double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("book", "rule").applyInPandasWithState(step, "book string, ord long, rule string, middle double", "ords array<long>, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
