@@ -1,5 +1,7 @@
 """Quotes, evidence, order lists, versions, summaries, semantic results and saved indexes, against values written out."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,28 @@ def test_drift_of_a_stream_keeps_to_the_horizon(spark, tmp_path):
     query.awaitTermination(120)
     assert [tuple(r) for r in spark.table("drift_horizon").collect()] == [("a", 5, "em_dash", 30.0)]
     assert streams.progress(query)["rows"] == 10
+
+
+def test_gold(spark, tmp_path):
+    point = {"index": 1, "summary": "开门", "tone": "紧张", "theme_tags": ["悬念"]}
+    (tmp_path / "corpus.json").write_text(json.dumps({"book_title": "甲", "summaries": [{"order": 2, "title": "二", "gist": "讲门", "plot_points": [point]}]}, indent=1), "utf-8")
+    (tmp_path / "cases.json").write_text(json.dumps({"cases": [{"case_id": "c1", "query": "门", "relevant_orders": [2, 3]}, {"case_id": "c2", "query": "雨", "relevant_orders": []}]}, indent=1), "utf-8")
+    got = files.read_gold_corpus(spark, str(tmp_path / "corpus.json")).collect()
+    assert [(r.ord, r.title, r.gist, r.points[0].summary, r.points[0].theme_tags) for r in got] == [(2, "二", "讲门", "开门", ["悬念"])]
+    assert [tuple(r) for r in files.read_gold_cases(spark, str(tmp_path / "cases.json")).collect()] == [("c1", "门", [2, 3]), ("c2", "雨", [])]
+
+
+@pytest.mark.parametrize(
+    ("metric", "want"),
+    [
+        ("破折号密度", "他等了很久——没有人来。"),
+        ("对白破折号占比", "「走——快走！」"),
+        ("对白条数每千字", "（全章引号台词 2 条）"),
+        ("段均句数", "天黑了。风停了。灯还亮着。"),
+        ("没有这个指标", ""),
+    ],
+)
+def test_style_evidence(spark, metric, want):
+    text = "天黑了。风停了。灯还亮着。\n他等了很久——没有人来。\n“好的。”他说。\n“走——快走！”"
+    row = spark.createDataFrame([(metric, text)], "metric string, text string").select(style.evidence(F.col("metric"), F.col("text")).alias("x")).first()
+    assert row.x == want

@@ -81,6 +81,20 @@ def read_projects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return found.filter("_corrupt is null").drop("_corrupt").orderBy("created_at")
 
 
+def read_gold_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """ord, title, gist, points (array of summary, tone, theme_tags) of a gold corpus, a JSON object with its chapters' summaries."""
+    point = "struct<summary:string,tone:string,theme_tags:array<string>>"
+    schema = f"summaries array<struct<order:int,title:string,gist:string,plot_points:array<{point}>>>"
+    each = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("summaries").alias("s"))
+    return each.select(F.col("s.order").alias("ord"), "s.title", "s.gist", F.col("s.plot_points").alias("points"))
+
+
+def read_gold_cases(spark: SparkSession, path: str) -> DataFrame:
+    """case_id, query, relevant_orders of a JSON object with gold cases."""
+    schema = "cases array<struct<case_id:string,query:string,relevant_orders:array<int>>>"
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("cases"))
+
+
 def write_knowledge_base(spark: SparkSession, root: str, out: str) -> None:
     """Takes in the files below root: chunks and manifest as Parquet."""
     files = read_documents(spark, root, "*")
