@@ -18,7 +18,7 @@ columns other than those named are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,13 +85,15 @@ def neighbours(words: list[int], shortest: int) -> Iterator[tuple[int, int, int]
             continue
         if len(large) < len(small):
             large, small = small, large
+        # Only a place of either set: two of one set met in a longer state, which is their longest common suffix.
         for end in small:
             at = bisect_left(large, end)
             if at:
                 yield -end, -large[at - 1], length[to]
             if at < len(large):
                 yield -large[at], -end, length[to]
-            large.insert(at, end)
+        for end in small:
+            insort(large, end)
         ends[to] = large
 
 
