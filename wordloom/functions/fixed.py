@@ -150,3 +150,10 @@ BASELINES = {
     "style": {"version": "style-v1", "books": 67, "chapters": 5829, "holdout_books": 20, "holdout_chapters": 1640, "ai_chapters": None},
     "dialogue": {"version": "style-dlg-v1", "books": 81, "chapters": 31889, "holdout_books": 18, "holdout_chapters": 4654, "ai_chapters": 11},
 }
+
+# JSON in texts, chapter transactions.
+JSON_FENCE = r"^```(?:json)?\s*|\s*```$"
+MAX_REPAIRS, STYLE_FINDINGS, DEGRADED_IN_A_ROW = 2, 2, 3
+
+# Messages of this engine.
+WRITER_FAILED, GATE_REJECTED, BUDGET_SPENT, COMMIT_REFUSED = "writer failed", "gate rejected", "repairs used up", "commit refused"

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import fixed as V
+from .functions import loosejson as J
 from .functions import text as T
 from .operators import chapters as C
 from .operators import gates as G
@@ -24,6 +25,7 @@ from .operators import quotes as Q
 from .operators import retrieval as R
 from .operators import runs as U
 from .operators import style as S
+from .operators import transactions as X
 
 LATIN = "abcdefghijklmnopqrstuvwxyz .,!"
 CHINESE = "胸而我怕的一是手像第他啊个不难你她觉口动道—”…“章，。、！"
@@ -377,19 +379,80 @@ BD = f"bd as materialized (select doc_id, source, {BAITED} as text from document
 BAITED_CROSS, BAITED_REPEATS = BD + ", " + CROSS.replace("from documents", "from bd"), REPEATS.replace("from documents", "from bd")
 
 
-@query(
-    f"""with {BAITED_CROSS}, {BAITED_REPEATS}, l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') l from bd),
+BAITED_V = f"""{BAITED_CROSS}, {BAITED_REPEATS}, l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') l from bd),
 v as (select ch.book, ch.ord, ch.text, near.*, list_filter([case when regexp_replace(text, '[\\s　]+$', '') = '' or not contains('{q(V.CLOSING)}', right(regexp_replace(text, '[\\s　]+$', ''), 1)) then 'truncated' end,
   case when coalesce(times, 0) >= 3 then 'repeat_span' end, case when coalesce(times, 0) < 3 and length({unspace('text')}) >= 36 and len(list_filter(range(2, len(l) + 1), lambda i: l[i] = l[i - 1] and length(l[i]) >= 8)) > 0 then 'adjacent_duplicate' end,
   case when {_self('text')} is not null then 'self_reference' end, case when coalesce({', '.join(f"nullif(regexp_extract(text, '{q(p)}'), '')" for p in V.PLACEHOLDERS)}) is not null then 'placeholder' end, case when contains(text, '�') then 'mojibake' end,
-  case when len(list_filter({V.ENGINEERING_WORDS!r}, lambda w: contains(text, w))) > 0 then 'tier1_engineering_words' end, case when overlap >= 0.30 then 'cross_chapter_similarity' end], lambda x: x is not null) rules from ch join near using (book, ord) left join rep using (doc_id) join l using (doc_id))
-select book, ord, array_to_string(rules, ',') rules, case when len(rules) = 0 then 'pass' when list_contains(rules, 'mojibake') or {strip('text')} = '' then 'reject' else 'repair' end verdict from v"""
-)
+  case when len(list_filter({V.ENGINEERING_WORDS!r}, lambda w: contains(text, w))) > 0 then 'tier1_engineering_words' end, case when overlap >= 0.30 then 'cross_chapter_similarity' end], lambda x: x is not null) rules from ch join near using (book, ord) left join rep using (doc_id) join l using (doc_id)),
+vd as materialized (select book, ord, rules, case when len(rules) = 0 then 'pass' when list_contains(rules, 'mojibake') or {strip('text')} = '' then 'reject' else 'repair' end verdict from v)"""
+
+
+@query(f"with {BAITED_V} select book, ord, array_to_string(rules, ',') rules, verdict from vd")
 def p04_baited_verdicts(t):
+    return G.check(_baited_chapters(t)).select("book", "ord", F.array_join("rules", ",").alias("rules"), "verdict")
+
+
+def _baited_chapters(t) -> DataFrame:
     ids = t.plain_chapters().select("book", "ord", "doc_id")
     text = F.when(F.col("doc_id") % 6 == 5, " ").otherwise(F.col("text"))
-    rows = _baited(t).withColumn("text", text).join(ids, "doc_id")
-    return G.check(rows).select("book", "ord", F.array_join("rules", ",").alias("rules"), "verdict")
+    return _baited(t).withColumn("text", text).join(ids, "doc_id")
+
+
+# Three documents of a source in a row are the attempts of one chapter; some writers fail, some commits are refused, every other chapter has a text already.
+@query(
+    f"""with {BAITED_V}, a as materialized (select vd.book, (vd.ord - 1) // 3 + 1 as ord, (vd.ord - 1) % 3 + 1 k, case when bd.doc_id % 17 = 0 then null else verdict end v, d.n_chars % 6 f, bd.doc_id % 4 = 0 g, bd.text x
+  from vd join ch on ch.book = vd.book and ch.ord = vd.ord join bd on bd.doc_id = ch.doc_id join documents d on d.doc_id = bd.doc_id),
+p1 as (select book, ord, x x1, v v1, f f1, g g1, case when v = 'pass' then 1 end b1, coalesce(v = 'pass', false) and f > 2 s1, coalesce(v = 'pass', false) and g r1, coalesce(v = 'repair', false) or (coalesce(v = 'pass', false) and (f > 2 or g)) m1 from a where k = 1),
+p2 as (select p1.*, x x2, k is not null h2, v v2, f f2, g g2, case when not m1 or coalesce(v, '') <> 'pass' then b1 when b1 is null or f < f1 or (f = f1 and g1 and not g) then 2 else 1 end b2,
+  s1 or (m1 and coalesce(v = 'pass', false) and f > 2) s2, r1 or (m1 and coalesce(v = 'pass', false) and g) r2,
+  m1 and (coalesce(v = 'repair', false) or (coalesce(v = 'pass', false) and ((f > 2 and not s1) or (g and not r1)))) m2 from p1 left join a on a.book = p1.book and a.ord = p1.ord and k = 2),
+p3 as (select p2.*, x x3, k is not null h3, v v3, case when not m2 or coalesce(v, '') <> 'pass' then b2 when b2 is null or f < (case b2 when 1 then f1 else f2 end) or (f = (case b2 when 1 then f1 else f2 end) and (case b2 when 1 then g1 else g2 end) and not g) then 3 else b2 end b3
+  from p2 left join a on a.book = p2.book and a.ord = p2.ord and k = 3),
+o as (select *, case when not m1 then 1 when not h2 then 1 when not m2 or not h3 then 2 else 3 end used, (m1 and not h2) or (m2 and not h3) waits from p3),
+q as (select *, case used when 1 then v1 when 2 then v2 else v3 end lv, case used when 1 then b1 when 2 then b2 else b3 end b from o),
+z as (select *, case when waits then 'in_progress' when b is not null then 'committed' when lv is null or lv = 'reject' then 'failed' else 'rolled_back' end st from q),
+w as (select *, st = 'committed' and ord % 11 = 0 as refused from z)
+select book, ord, case when refused then 'failed' else st end status, used attempts, case when not refused and st = 'committed' then cast(b as double) end chosen,
+  case when refused then 'commit refused' when st = 'rolled_back' then 'repairs used up' when st = 'failed' and lv is null then 'writer failed' when st = 'failed' then 'gate rejected' end error,
+  md5(case when st = 'committed' and not refused then (case b when 1 then x1 when 2 then x2 else x3 end) when ord % 2 = 0 then 'old' end) manuscript from w"""
+)
+def p11_chapter_transactions(t):
+    rows = _baited_chapters(t)
+    gate = G.check(rows).select("book", "ord", "verdict")
+    three = {"attempt": ((F.col("ord") - 1) % 3 + 1).cast("int"), "ord": F.expr("(ord - 1) div 3 + 1")}
+    attempts = rows.join(gate, ["book", "ord"]).join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumns(three)
+    verdict = F.when(F.col("doc_id") % 17 != 0, F.col("verdict")).alias("verdict")
+    told = attempts.select("book", "ord", "attempt", verdict, (F.col("n_chars") % 6).alias("findings"), (F.col("doc_id") % 4 == 0).alias("flagged"), F.lit(None).cast("string").alias("error"))
+    chapters = rows.select("book", F.expr("(ord - 1) div 3 + 1").alias("ord")).distinct()
+    records = X.recorded(X.settled(told), chapters.filter("ord % 11 = 0"))
+    before = chapters.filter("ord % 2 = 0").select("book", "ord", F.lit("old").alias("text"), F.lit("draft").alias("status"))
+    after = X.manuscripts_after(records, attempts.select("book", "ord", "attempt", "text"), before)
+    out = records.join(after.select("book", "ord", F.md5(F.col("text").cast("binary")).alias("manuscript")), ["book", "ord"], "left")
+    return out.select("book", "ord", "status", "attempts", F.col("chosen").cast("double").alias("chosen"), "error", "manuscript")
+
+
+# JSON in texts: intact, fenced, in prose with braces, with bare quotes, cut off.
+@query(
+    f"""with p as (select doc_id, doc_id % 6 k, regexp_replace(coalesce(text, ''), '["\\\\{{}}`]', ' ', 'g') x from documents)
+select doc_id, case when k in (0, 1) then 'whole' when k in (2, 3) then 'embedded' when k = 4 then 'repaired' end how,
+  case when k < 5 then 'get_outline' end tool, case when k < 5 then doc_id end "order", case when k < 4 then md5(x) when k = 4 then md5(left(x, 40) || ' "so" ' || x) end thought from p"""
+)
+def x26_json_in_texts(t):
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r'["\\{}`]', " ")
+    d = t.documents.select("doc_id", (F.col("doc_id") % 6).alias("k"), plain.alias("x"))
+    said = F.when(F.col("k") == 4, F.concat(F.left("x", F.lit(40)), F.lit(' "so" '), "x")).otherwise(F.col("x"))
+    whole = F.to_json(F.struct(said.alias("thought"), F.lit("get_outline").alias("tool"), F.struct(F.col("doc_id").alias("order")).alias("args")))
+    text = (
+        F.when(F.col("k") == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```")))
+        .when(F.col("k") == 2, F.concat(F.lit("Well {so} it {is:\n"), whole, F.lit("\nand } more {")))
+        .when(F.col("k") == 3, F.concat(whole, F.lit(" That's all.")))
+        .when(F.col("k") == 4, F.concat(F.replace(whole, F.lit('\\"'), F.lit('"')), F.lit(" Done.")))
+        .when(F.col("k") == 5, F.expr("left(js, length(js) - 2)"))
+        .otherwise(whole)
+    )
+    found = d.withColumn("js", whole).select("doc_id", J.found(text).alias("f"))
+    read = found.withColumn("a", F.from_json("f.json", "thought string, tool string, args struct<order: long>"))
+    return read.select("doc_id", "f.how", "a.tool", "a.args.order", F.md5(F.col("a.thought").cast("binary")).alias("thought"))
 
 
 @query("with w as (select doc_id, list_distinct(string_split(text, ' ')) w, lead(list_distinct(string_split(text, ' '))) over (order by doc_id) o from documents) select doc_id, round(len(list_intersect(w, coalesce(o, []))) / len(w), 6) ratio from w")
