@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,19 +13,86 @@ from ..functions import fixed as V
 from ..functions import text as T
 
 
+#: Chapters of a block in which hooks are looked for, hooks of a cell, chapters of a block of open intervals.
+BLOCK_CHAPTERS, CELL_HOOKS, OPEN_BLOCK = 1024, 32_768, 64
+
+
+def _needed(n: int, threshold: float) -> int:
+    """The least number of a hook's n tokens whose share reaches the threshold."""
+    c = math.ceil(threshold * n)
+    while c and (c - 1) / n >= threshold:
+        c -= 1
+    while c / n < threshold:
+        c += 1
+    return c
+
+
+def _earliest(threshold: float):
+    """For hooks and a block of chapters (later, h): each hook's first later chapter of the block that shares enough of its tokens."""
+
+    def run(key: tuple, hooks: pa.Table, chapters: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, float]] = []
+        if hooks.num_rows and chapters.num_rows:
+            order = np.argsort(chapters["later"].to_numpy(), kind="stable")
+            later = chapters["later"].to_numpy()[order]
+            lists = chapters["h"].combine_chunks().take(pa.array(order))
+            place = np.repeat(np.arange(len(order)), np.diff(lists.offsets.to_numpy()))
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            by = np.argsort(tokens, kind="stable")
+            tokens, place = tokens[by], place[by]
+            asked = hooks["h"].combine_chunks()
+            stops, wanted = asked.offsets.to_numpy() - asked.offsets[0].as_py(), asked.flatten().to_numpy(zero_copy_only=False)
+            lo, hi = np.searchsorted(tokens, wanted, "left"), np.searchsorted(tokens, wanted, "right")
+            for opened, first, stop in zip(hooks["opened"].to_pylist(), stops[:-1].tolist(), stops[1:].tolist()):
+                n = stop - first
+                need = _needed(n, threshold)
+                spans = sorted(zip((hi[first:stop] - lo[first:stop]).tolist(), lo[first:stop].tolist(), hi[first:stop].tolist()))
+                # Of enough shared tokens one at least is among the n - need + 1 rarest.
+                rare = [place[a:b] for size, a, b in spans[: n - need + 1] if size]
+                if not rare or len(spans) - sum(not size for size, _, _ in spans) < need:
+                    continue
+                some = np.unique(np.concatenate(rare))
+                some = some[later[some] > opened]
+                shared = np.zeros(len(some), np.int64)
+                for size, a, b in spans if len(some) else ():
+                    if size:
+                        at = np.minimum(np.searchsorted(place[a:b], some), size - 1)
+                        shared += place[a:b][at] == some
+                met = np.flatnonzero(shared >= need)
+                if len(met):
+                    found.append((opened, int(later[some[met[0]]]), int(shared[met[0]]) / n))
+        opened, first, ratio = zip(*found) if found else ((), (), ())
+        book = pa.array([key[0].as_py()] * len(found), hooks.schema.field("book").type)
+        return pa.table([book, pa.array(opened, hooks.schema.field("opened").type), pa.array(first, chapters.schema.field("later").type), pa.array(ratio, pa.float64())], names=["book", "opened", "later", "ratio"])
+
+    return run
+
+
 def resolutions(hooks: DataFrame, candidates: DataFrame, threshold: float = V.RESOLVE_THRESHOLD) -> DataFrame:
     """book, opened, resolved, ratio: the earliest later chapter that shares enough of a hook's distinct tokens.
 
-    hooks (book, ord, hook), candidates (book, ord, text). Instead of comparing each hook with each
-    later chapter, tokens are joined: a pair that shares nothing is never made. Hooks without a
-    token or a match stay open (null).
+    hooks (book, ord, hook), candidates (book, ord, text). Chapters go into blocks of
+    BLOCK_CHAPTERS numbers and a hook to its own block and those after it, where its rarest tokens
+    there find the chapters that are compared; a block sends one row a hook at most, so no pairs are
+    made as rows. Hooks without a token or a match stay open (null). Tokens are compared by 64-bit hashes.
     """
-    h = hooks.filter(T.stripped("hook") != "").select("book", F.col("ord").alias("opened"), F.array_distinct(T.tokens("hook")).alias("t"))
-    each = h.select("book", "opened", F.size("t").alias("n"), F.explode("t").alias("token"))
-    c = candidates.select("book", F.col("ord").alias("later"), F.explode(F.array_distinct(T.tokens("text"))).alias("token"))
-    pairs = each.join(c, ["book", "token"]).filter("later > opened").groupBy("book", "opened", "later").agg((F.count("*") / F.first("n")).alias("ratio"))
-    first = pairs.filter(F.col("ratio") >= threshold).groupBy("book", "opened").agg(F.min(F.struct("later", "ratio")).alias("m"))
-    return h.select("book", "opened").join(first, ["book", "opened"], "left").select("book", "opened", F.col("m.later").alias("resolved"), F.col("m.ratio").alias("ratio"))
+    hashes = lambda c: F.transform(F.array_distinct(T.tokens(c)), lambda t: F.xxhash64(t))
+    block = lambda c: F.floor(F.col(c) / BLOCK_CHAPTERS).cast("int")
+    h = hooks.filter(T.stripped("hook") != "").select("book", F.col("ord").alias("opened"), hashes("hook").alias("h"))
+    c = candidates.select("book", F.col("ord").alias("later"), hashes("text").alias("h"), block("ord").alias("block"))
+    ends = candidates.groupBy("book").agg(F.max(block("ord")).alias("end"), F.min("ord").alias("least"))
+    # A cell holds the hooks of CELL_HOOKS numbers; a block meets the cells of its own and smaller numbers.
+    cell = lambda c: F.floor(F.col(c) / CELL_HOOKS).cast("int")
+    first = h.groupBy("book").agg(F.min(cell("opened")).alias("from"))
+    asked = h.filter(F.size("h") > 0).join(ends, "book").withColumn("start", F.greatest(block("opened"), block("least"))).filter("start <= end")
+    asked = asked.withColumn("block", F.explode(F.sequence("start", "end"))).select("book", "block", cell("opened").alias("cell"), "opened", "h")
+    asked = asked.toDF(*asked.columns)  # names of its own: both sides may come from one table
+    sent = c.join(first, "book").filter(cell("later") >= F.col("from")).withColumn("cell", F.explode(F.sequence(F.col("from"), cell("later")))).select("book", "block", "cell", "later", "h")
+    kinds = [h.schema["book"].dataType.simpleString(), h.schema["opened"].dataType.simpleString(), c.schema["later"].dataType.simpleString()]
+    keys = ["book", "block", "cell"]
+    found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_earliest(threshold), "book {}, opened {}, later {}, ratio double".format(*kinds))
+    best = found.groupBy("book", "opened").agg(F.min(F.struct("later", "ratio")).alias("m"))
+    return h.select("book", "opened").join(best, ["book", "opened"], "left").select("book", "opened", F.col("m.later").alias("resolved"), F.col("m.ratio").alias("ratio"))
 
 
 def spans(ledger: DataFrame) -> DataFrame:
@@ -30,9 +101,18 @@ def spans(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("book").agg(F.median(span).alias("median_span"), F.max(span).alias("longest_span"), F.count_if(F.col("resolved").isNull()).alias("open_hooks"))
 
 
-def open_at(ledger: DataFrame, at: DataFrame) -> DataFrame:
-    """book, ord, opened: hooks that are open when each chapter of `at` (book, ord) begins."""
-    return at.join(ledger, "book").filter((F.col("opened") < F.col("ord")) & (F.col("resolved").isNull() | (F.col("resolved") >= F.col("ord")))).select("book", "ord", "opened")
+def open_at(ledger: DataFrame, at: DataFrame, size: int = OPEN_BLOCK) -> DataFrame:
+    """book, ord, opened: hooks that are open when each chapter of `at` (book, ord) begins.
+
+    Chapters go into blocks of `size` numbers and a hook to the blocks in which it is open, so a
+    hook meets only chapters at the two ends of its interval in vain, and a long book is many keys.
+    """
+    block = lambda c: F.floor(c / size).cast("int")
+    ends = at.groupBy("book").agg(F.max("ord").alias("end"), F.min("ord").alias("least"))
+    spans = ledger.join(ends, "book").withColumn("from", F.greatest(F.col("opened") + 1, "least")).withColumn("to", F.least(F.coalesce("resolved", "end"), "end"))
+    sent = spans.filter("from <= to").withColumn("block", F.explode(F.sequence(block(F.col("from")), block(F.col("to")))))
+    met = at.withColumn("block", block(F.col("ord"))).join(sent.select("book", "block", "from", "to", "opened"), ["book", "block"])
+    return met.filter(F.col("ord").between(F.col("from"), F.col("to"))).select("book", "ord", "opened")
 
 
 def previous_summaries(chapters: DataFrame, outlines: DataFrame, summaries: DataFrame) -> DataFrame:

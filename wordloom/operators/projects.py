@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as T
-from . import retrieval, runs
+from . import runs, search
 
 
 def joined(*parts: Column | str, by: str = "\n") -> Column:
@@ -98,9 +98,8 @@ def retrieved(outlines: DataFrame, index: DataFrame, heroes: DataFrame, k: int =
     """
     text = joined("title", "core_event", "opening_hook", "ending_hook", "hero")
     queries = outlines.join(heroes.select("book", F.col("title").alias("hero")), "book", "left").select("book", F.col("ord").alias("query_id"), text.alias("text"))
-    other = F.col("doc_id.ord").isNull() | (F.col("doc_id.ord") != F.col("query_id.id"))
-    best = retrieval.top(retrieval.scores_within(index, queries).filter(other), k)
-    return best.select(F.col("query_id.g").alias("book"), F.col("query_id.id").alias("ord"), "rank", F.col("doc_id.name").alias("doc_id"), "score")
+    best = search.search(search.build(index, group="book", skip=F.col("doc_id.ord")), queries, k, group="book", skip=F.col("query_id"))
+    return best.select(F.col("g").alias("book"), F.col("query_id").alias("ord"), "rank", F.col("doc_id.name").alias("doc_id"), "score")
 
 
 def context(chapters: DataFrame, previous: DataFrame, open_hooks: DataFrame, hits: DataFrame) -> DataFrame:

@@ -62,23 +62,6 @@ def scores_from(found: DataFrame, corpus: DataFrame, queries: DataFrame, query:
     return weighed.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def scores_within(docs: DataFrame, queries: DataFrame, group: str = "book", k1: float = V.BM25_K1, b: float = V.BM25_B, boost: dict[str, float] | None = None) -> DataFrame:
-    """query_id (a struct of group and id), doc_id, score as of `scores`, each group being an index with statistics of its own.
-
-    docs (group, doc_id, text), queries (group, query_id, text). Pairs of one group that share a term
-    are made one by one, so the work grows with the square of a group.
-    """
-    keyed = lambda d, c: d.select(F.struct(F.col(group).alias("g"), F.col(c).alias("id")).alias(c), "text")
-    terms = query_terms(keyed(queries, "query_id"), boost=boost).withColumn("g", F.col("query_id.g"))
-    found = postings(keyed(docs, "doc_id")).select(F.col("doc_id.g").alias("g"), F.col("doc_id.id").alias("doc_id"), "term", "tf", "length")
-    df = found.groupBy("g", "term").agg(F.count("*").alias("df"))
-    corpus = docs.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.avg(F.size(T.tokens("text"))).alias("avgdl"))
-    weighed = found.join(df, ["g", "term"]).join(corpus, "g").join(terms, ["g", "term"])
-    norm = F.when(F.col("avgdl") > 0, 1 - b + b * F.col("length") / F.col("avgdl")).otherwise(1.0)
-    part = F.col("weight") * idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
-    return weighed.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-
-
 def top(scored: DataFrame, k: int = V.TOP_K) -> DataFrame:
     """The k best documents of each query; ties go to the smaller doc_id."""
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
@@ -93,22 +76,6 @@ def recall(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return need.join(hit, "query_id", "left").select("query_id", "relevant", n.alias("hits"), F.round(n / F.col("relevant"), 6).alias("recall"))
 
 
-def containing(docs: DataFrame, items: DataFrame, item: str = "item_id", size: int = 10_000) -> DataFrame:
-    """query_id, doc_id of documents that hold an item's whole text.
-
-    The items are sent to the documents in blocks of `size` rows (a bounded broadcast each), so
-    documents are never shuffled; each pair is one substring test.
-    """
-    q = items.select(F.col(item).alias("query_id"), F.col("text").alias("item_text")).filter(F.length("item_text") > 0)
-    blocks = max(1, -(-q.count() // size))
-    out = None
-    for i in range(blocks):
-        part = q.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == i) if blocks > 1 else q
-        found = docs.select("doc_id", "text").join(F.broadcast(part), F.expr("contains(text, item_text)")).select("query_id", "doc_id")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def macro(recalls: DataFrame) -> DataFrame:
     """One row: cases and the mean of their recalls, each case weighing the same (0 without cases)."""
     return recalls.agg(F.count("*").alias("cases"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("macro_recall"))

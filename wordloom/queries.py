@@ -24,6 +24,7 @@ from .operators import projects as P
 from .operators import quotes as Q
 from .operators import retrieval as R
 from .operators import runs as U
+from .operators import search as I
 from .operators import style as S
 from .operators import transactions as X
 
@@ -67,6 +68,10 @@ class Tables:
         d = self.documents.select("source", "doc_id", "text")
         return C.numbered(d, "source", "doc_id", "ord").select(F.col("source").alias("book"), "ord", "doc_id", "text")
 
+    def index(self) -> I.Index:
+        """The stored index of the documents."""
+        return I.build(self.documents)
+
     def books(self) -> DataFrame:
         """book, text: each document as a book whose every third line gets a heading."""
         line = lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("第"), (i / 3 + 1).cast("int").cast("string"), F.lit("章 "), F.left(x, F.lit(6)), F.lit("\n"), x)).otherwise(x)
@@ -265,7 +270,7 @@ def a10_a11_term_statistics(t):
 
 
 def _ranked(t) -> DataFrame:
-    return R.top(R.scores(t.documents, t.benchmark, "item_id"))
+    return I.search(t.index(), t.benchmark, query="item_id")
 
 
 @query(f"with {POST} select query_id, doc_id, rank, round(score, 6) score from top where rank <= 10")
@@ -275,19 +280,19 @@ def a12_bm25_top10(t):
 
 @query(f"with {GOLD} select * from gold")
 def j15_containing(t):
-    return R.containing(t.documents, t.benchmark)
+    return I.containing(t.documents, t.benchmark)
 
 
 @query(f"with {POST}, {GOLD} select query_id, count(*) relevant, count(rank) hits, round(count(rank) / count(*), 6) recall from gold left join (select * from top where rank <= 10) using (query_id, doc_id) group by 1")
 def a15_p09_recall(t):
-    return R.recall(_ranked(t), R.containing(t.documents, t.benchmark))
+    index = t.index()
+    return R.recall(I.search(index, t.benchmark, query="item_id"), I.containing(t.documents, t.benchmark, index))
 
 
 @query(f"with {POST} select query_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) rank, round(score, 6) score from sc where doc_id % 10 <> query_id % 10 qualify rank <= 10")
 def j04_excluded_before_ranking(t):
-    scored = R.scores(t.documents, t.benchmark, "item_id")
-    own = t.documents.select("doc_id", (F.col("doc_id") % 10).alias("q")).join(F.broadcast(t.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("q"))), "q").drop("q")
-    return R.top(scored.join(own, ["query_id", "doc_id"], "left_anti")).withColumn("score", r6("score"))
+    found = I.search(I.build(t.documents, skip=F.col("doc_id") % 10), t.benchmark, query="item_id", skip=F.col("item_id") % 10)
+    return found.withColumn("score", r6("score"))
 
 
 # Gates.
@@ -693,7 +698,7 @@ def x18_p08_chunks(t):
     f"with {POST} select query_id, string_agg(rank || '. 来源 ' || source || ' 《' || lang || '》' || chr(10) || '   ' || case when length(text) > 400 then left(text, 400) || '…' else text end, chr(10) order by rank) block from top join documents using (doc_id) where rank <= 5 group by 1"
 )
 def x31_t05_rendered_hits(t):
-    hits = R.top(R.scores(t.documents, t.benchmark, "item_id"), V.SNIPPETS).join(t.documents.select("doc_id", "source", F.col("lang").alias("heading"), "text"), "doc_id")
+    hits = I.search(t.index(), t.benchmark, V.SNIPPETS, query="item_id").join(t.documents.select("doc_id", "source", F.col("lang").alias("heading"), "text"), "doc_id")
     return K.rendered(hits)
 
 
@@ -923,7 +928,7 @@ def p08_knowledge_search(t):
     kept = files.filter(K.decision(F.col("path"), F.col("size"), F.col("text"))["included"])
     stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
     parts = K.chunks(kept, "path").select(F.struct("path", "index").alias("doc_id"), "heading", F.col("text").alias("chunk"), F.concat_ws("\n", F.when(F.col("heading") != "", F.col("heading")).otherwise(stem), "text").alias("text"))
-    hits = R.top(R.scores(parts, t.benchmark, "item_id"), V.SNIPPETS).join(parts.drop("text"), "doc_id")
+    hits = I.search(I.build(parts), t.benchmark, V.SNIPPETS, query="item_id").join(parts.drop("text"), "doc_id")
     return hits.select("query_id", "rank", K.chunk_id(F.col("doc_id.path"), F.col("doc_id.index")).alias("id"), F.col("doc_id.path").alias("source"), "heading", F.left("chunk", F.lit(V.SNIPPET_CHARS)).alias("text"), r6("score").alias("score"))
 
 
@@ -1028,7 +1033,7 @@ def p03_enrichment_failures(t):
 
 @query(f"with {POST}, {GOLD}, r as (select query_id, round(count(rank) / count(*), 6) recall from gold left join (select * from top where rank <= 10) using (query_id, doc_id) group by 1) select count(*) cases, round(coalesce(avg(recall), 0), 6) macro_recall from r")
 def a15_macro_recall(t):
-    return R.macro(R.recall(_ranked(t), R.containing(t.documents, t.benchmark))).withColumn("macro_recall", r6("macro_recall"))
+    return R.macro(a15_p09_recall(t)).withColumn("macro_recall", r6("macro_recall"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
