@@ -27,6 +27,7 @@ from .operators import runs as U
 from .operators import search as I
 from .operators import style as S
 from .operators import transactions as X
+from .sources import shared
 
 LATIN = "abcdefghijklmnopqrstuvwxyz .,!"
 CHINESE = "胸而我怕的一是手像第他啊个不难你她觉口动道—”…“章，。、！"
@@ -52,7 +53,7 @@ def _wide(df: DataFrame) -> DataFrame:
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._chapters = spark, sf_dir, None
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -64,6 +65,12 @@ class Tables:
         """book, ord, pos, doc_id, text."""
         return C.numbered(self.chinese(), "source", "doc_id", "ord").select(F.col("source").alias("book"), "ord", "doc_id", "text", (F.col("ord") - 1).alias("pos"))
 
+    def kept_chapters(self) -> DataFrame:
+        """The chapters as a written table, for queries that read them several times: numbered and translated once."""
+        if self._chapters is None:
+            self._chapters = shared.saved(self.chapters(), shared.fresh(self.spark, "chapters"))
+        return self._chapters
+
     def plain_chapters(self) -> DataFrame:
         d = self.documents.select("source", "doc_id", "text")
         return C.numbered(d, "source", "doc_id", "ord").select(F.col("source").alias("book"), "ord", "doc_id", "text")
@@ -588,7 +595,7 @@ led as materialized (select hk.book, opened, m.o resolved, m.r ratio from hk lef
 
 
 def _ledger(t) -> DataFrame:
-    ch = t.chapters()
+    ch = t.kept_chapters()
     return L.resolutions(ch.select("book", "ord", F.left("text", F.lit(8)).alias("hook")), ch)
 
 
@@ -604,7 +611,7 @@ def a16_hook_spans(t):
 
 @query(f"with {LEDGER} select ch.book, ord, opened from ch join led on led.book = ch.book and opened < ord and (resolved is null or resolved >= ord)")
 def t03_open_hooks(t):
-    return L.open_at(_ledger(t), t.chapters().select("book", "ord"))
+    return L.open_at(_ledger(t), t.kept_chapters().select("book", "ord"))
 
 
 OUT = f"{PCH}, ot as (select book, ord, left(text, 20) core_event, right(text, 10) ending_hook from ch where ord % 2 = 0), sm as (select book, ord, left(text, 30) gist from ch where ord % 3 = 0)"
@@ -902,7 +909,7 @@ hk2 as (select ch.book, ord, string_agg(opened, ',' order by opened) hooks from
 select book, ord, source, previous, coalesce(hooks, '') hooks, coalesce((select string_agg(d.doc_id, ',' order by d.doc_id) from ch d where d.book = prev.book and d.ord < prev.ord and d.ord >= prev.ord - 3), '') retrieved from prev left join hk2 using (book, ord)"""
 )
 def p07_context_pack(t):
-    ch = t.chapters()
+    ch = t.kept_chapters()
     outlines = ch.filter("ord % 2 = 0").select("book", "ord", F.left("text", F.lit(20)).alias("core_event"), F.right("text", F.lit(10)).alias("ending_hook"))
     summaries = ch.filter("ord % 3 = 0").select("book", "ord", F.left("text", F.lit(30)).alias("gist"))
     near = G.windowed(ch, 3).join(ch.select("book", F.col("ord").alias("prev"), "doc_id"), ["book", "prev"])
@@ -913,7 +920,7 @@ def p07_context_pack(t):
 
 @query(None)
 def p07_context_retrieved(t):
-    ch = t.chapters()
+    ch = t.kept_chapters()
     outlines = ch.filter("ord % 2 = 0").select("book", "ord", F.left("text", F.lit(5)).alias("title"), F.left("text", F.lit(20)).alias("core_event"), F.left("text", F.lit(8)).alias("opening_hook"), F.right("text", F.lit(10)).alias("ending_hook"))
     summaries = ch.filter("ord % 3 = 0").select("book", "ord", F.left("text", F.lit(5)).alias("title"), F.left("text", F.lit(30)).alias("gist"))
     heroes = ch.filter("ord = 1").select("book", F.lit(None).cast("int").alias("ord"), F.left("text", F.lit(3)).alias("title"))
