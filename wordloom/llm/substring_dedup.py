@@ -4,11 +4,12 @@ A window is `size` consecutive words; a word is removed if a window covers it wh
 start in a document with a smaller id. Windows are judged on the input.
 
 The index is a list of immutable runs, each a table bucketed and sorted by fingerprint, in a folder
-of its own with a manifest, so that it can be closed and opened again by a later job. A window's
+of its own with a manifest, so that it can be closed and opened again by a later job. It keeps the
+texts that a later batch may have to be compared with, unless each call names the earlier texts. A window's
 fingerprint is the least hash among its half-size sub-windows (a minimiser), so equal windows have
 equal fingerprints while only about one fingerprint in a dozen words is kept. A new batch (whose ids
-exceed all earlier ones) is written as a run of its own and merge-joined, bucket by bucket, with
-each older run. Fingerprints met in another document only name candidates: the candidates' windows
+exceed all earlier ones) is written as a run of its own and merge-joined, bucket by bucket and in the
+stored order, with each older run. Fingerprints met in another document only name candidates: the candidates' windows
 are then verified by two independent hashes of all `size` words (96 bits), of which the least
 document is found by partial minima, so a passage that a third of all documents share puts one row
 a task into a shuffle; the windows that so many documents share (fewer than four a partition, by
@@ -25,6 +26,7 @@ whole, a few megabytes of texts at a time; columns beyond doc_id and text are no
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import uuid
@@ -38,7 +40,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, U64, filesystem, hashed, mixed, partitions, removed, shared_dir, signed, slices, split_words, tidy, tidy_shuffles, window_hashes
+from .common import Scratch, U64, filesystem, hashed, mixed, partitions, removed, saved, shared_dir, signed, slices, split_words, tidy, tidy_shuffles, window_hashes
 
 SIZE = 50
 #: Candidates of which the ids are sent to all tasks, so that other texts are not shuffled; more are joined.
@@ -143,6 +145,21 @@ def _rewritten(size: int):
     return run
 
 
+#: Whether Spark trusts the order in which bucketed tables are stored.
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextlib.contextmanager
+def stored_order(spark: SparkSession) -> Iterator[None]:
+    """Joins of bucketed tables use the order in which their buckets are stored (each is one file here)."""
+    before = spark.conf.get(_ORDERED, None)
+    spark.conf.set(_ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ORDERED, before) if before is not None else spark.conf.unset(_ORDERED)
+
+
 @dataclass
 class Run:
     table: str
@@ -152,18 +169,20 @@ class Run:
 class FingerprintIndex:
     """Runs of fingerprints (fp, doc_id) and of whole-document digests, as bucketed sorted tables in the folder `path`.
 
-    `ingest` leaves a manifest behind, from which `open` goes on in another job; what a failed ingest
+    With keep_texts the texts of documents that have fingerprints are kept beside them, in order of
+    id, so that a later job needs nothing but the index. `ingest` leaves a manifest behind, from which `open` goes on in another job; what a failed ingest
     wrote is not in it. `close` takes the tables out of the session's catalog, `drop` deletes them.
     """
 
     COLUMNS = {"fp": "fp bigint, doc_id bigint", "whole": "whole bigint, whole_check bigint, doc_id bigint"}
 
-    def __init__(self, spark: SparkSession, path: str | None = None, size: int = SIZE, fan_in: int = 2):
-        self.spark, self.size, self.fan_in = spark, size, fan_in
+    def __init__(self, spark: SparkSession, path: str | None = None, size: int = SIZE, fan_in: int = 2, keep_texts: bool = True):
+        self.spark, self.size, self.fan_in, self.keep_texts = spark, size, fan_in, keep_texts
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.runs: dict[str, list[Run]] = {"fp": [], "whole": []}
         self.stale: list[Run] = []
+        self.texts: list[str] = []
         self.compactions = 0
 
     @classmethod
@@ -171,8 +190,8 @@ class FingerprintIndex:
         fs, at = filesystem(path)
         with fs.open_input_stream(f"{at}/manifest.json") as f:
             found = json.loads(f.read())
-        index = cls(spark, path, found["size"], found["fan_in"])
-        index.buckets, index.compactions = found["buckets"], found["compactions"]
+        index = cls(spark, path, found["size"], found["fan_in"], found["keep_texts"])
+        index.buckets, index.compactions, index.texts = found["buckets"], found["compactions"], found["texts"]
         for key, runs in found["runs"].items():
             index.runs[key] = [Run(**r) for r in runs]
             for r in runs:
@@ -185,7 +204,7 @@ class FingerprintIndex:
         fs.create_dir(at, recursive=True)
         runs = {k: [asdict(r) for r in v] for k, v in self.runs.items()}
         with fs.open_output_stream(f"{at}/manifest.new") as f:
-            f.write(json.dumps({"size": self.size, "fan_in": self.fan_in, "buckets": self.buckets, "compactions": self.compactions, "runs": runs}).encode())
+            f.write(json.dumps({"size": self.size, "fan_in": self.fan_in, "buckets": self.buckets, "compactions": self.compactions, "keep_texts": self.keep_texts, "texts": self.texts, "runs": runs}).encode())
         fs.move(f"{at}/manifest.new", f"{at}/manifest.json")
         while self.stale:
             r = self.stale.pop()
@@ -222,12 +241,33 @@ class FingerprintIndex:
             self.stale += [new, old]
             self.compactions += 1
 
-    def ingest(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
+    def _earlier(self) -> DataFrame | None:
+        """doc_id, text of the earlier documents that have fingerprints."""
+        tables = [self.spark.read.schema("doc_id long, text string").parquet(f"{self.path}/{name}") for name in self.texts]
+        return reduce(DataFrame.unionByName, tables) if tables else None
+
+    def shared_fingerprints(self, run: Run) -> DataFrame:
+        """fp, doc_id of the new run and the older ones whose fingerprint is met in another document; a row may come several times.
+
+        Both sides of each join with an older run are read as they are stored, so nothing is shuffled or sorted.
+        """
+        fresh = self.spark.table(run.table)
+        several = fresh.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("fp")
+        found = [fresh.join(several, "fp", "left_semi")]
+        for old in self.runs["fp"]:
+            old = self.spark.table(old.table)
+            found += [old.join(fresh.hint("merge"), "fp", "left_semi"), fresh.join(old.hint("merge"), "fp", "left_semi")]
+        return reduce(DataFrame.unionByName, [d.select("fp", "doc_id") for d in found])
+
+    def ingest(self, batch: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
         """Judges batch (doc_id, text), whose ids exceed all earlier ones, and adds it to the index.
 
-        corpus: (doc_id, text) of the earlier documents and of the batch; texts of candidates are read from it.
+        The texts of earlier candidates come from the index, or from corpus (doc_id, text of the
+        earlier documents and of the batch), without which an index that keeps no texts takes one batch only.
         Returns one row per row of batch: doc_id, text_key, n_words, n_removed, kept_sha256, kept_text (null: unchanged).
         """
+        if corpus is None and not self.keep_texts and self.runs["fp"]:
+            raise ValueError("this index keeps no texts; name the earlier ones as corpus")
         scratch = Scratch(self.spark)
         with_key = lambda d: d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
         scan = scratch.written(with_key(batch).select("doc_id", "text_key", "text").mapInArrow(_scan(self.size), _SCAN))
@@ -243,16 +283,13 @@ class FingerprintIndex:
         self._add("whole", run)
         firsts = marked.filter("whole is not null and not copy").select("doc_id", "text_key", "anchors").dropDuplicates(["doc_id", "text_key"])
         run = self._write(firsts.select(F.explode("anchors").alias("fp"), "doc_id"), "fp")
-        fresh = self.spark.table(run.table)
-        counted = fresh.groupBy("fp").agg((F.min("doc_id") < F.max("doc_id")).alias("within"))
-        shared, joint = None, counted
-        for old in self.runs["fp"]:
-            met = self.spark.table(old.table).join(counted.select("fp"), "fp").select("fp", "doc_id")
-            shared = met if shared is None else shared.unionByName(met)
-            joint = joint.join(met.select("fp").distinct().withColumn("met", F.lit(True)), "fp", "left").select("fp", (F.col("within") | F.col("met").isNotNull()).alias("within"))
-        again = fresh.join(joint.filter("within").select("fp"), "fp").select("fp", "doc_id")
-        shared = again if shared is None else shared.unionByName(again)
-        lists = scratch.written(shared.groupBy("doc_id").agg(F.collect_list("fp").alias("shared")))
+        with stored_order(self.spark):
+            lists = scratch.written(self.shared_fingerprints(run).groupBy("doc_id").agg(F.collect_set("fp").alias("shared")))
+        if corpus is None:
+            earlier, corpus = self._earlier(), batch.select("doc_id", "text")
+            if earlier is not None:
+                low, high = lists.agg(F.min("doc_id"), F.max("doc_id")).first()  # files outside are not read
+                corpus = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).unionByName(earlier.filter(F.col("doc_id").between(low, high)))
         texts = with_key(corpus)
         if lists.count() <= SENT:
             texts = texts.join(F.broadcast(lists.select("doc_id")), "doc_id", "left_semi")
@@ -275,6 +312,11 @@ class FingerprintIndex:
             ),
             keep=True,
         )
+        if self.keep_texts:
+            name = f"texts-{uuid.uuid4().hex[:16]}"
+            kept = with_key(batch).join(firsts.filter(F.size("anchors") > 0).select("doc_id", "text_key"), ["doc_id", "text_key"], "left_semi")
+            saved(kept.select("doc_id", "text").sortWithinPartitions("doc_id"), f"{self.path}/{name}")
+            self.texts.append(name)
         self._add("fp", run)
         self._save()
         scratch.clear()
@@ -282,19 +324,22 @@ class FingerprintIndex:
 
 
 def deduplicate(docs: DataFrame, size: int = SIZE, batches: int = 4, index: FingerprintIndex | None = None) -> DataFrame:
-    """Feeds docs to an index (an empty one of its own, if none is given) in `batches` ranges of ids, in order, so that runs are
-    merge-joined and compacted; one row per row of docs, as FingerprintIndex.ingest."""
+    """Feeds docs to an index in `batches` ranges of ids, in order, so that runs are merge-joined and compacted; one row per row of docs, as FingerprintIndex.ingest.
+
+    Without an index an empty one is made, which reads earlier texts from docs; a given one must keep
+    its texts (or be empty), and docs are judged against all that it has seen.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = docs.filter("doc_id is not null").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    own, out, lo = index or FingerprintIndex(spark, size=size), None, None
+    own, out, lo = index or FingerprintIndex(spark, size=size, keep_texts=False), None, None
     try:
         for hi in [*cuts, None]:
             after = F.lit(True) if lo is None else F.col("doc_id") > lo
             upto = F.lit(True) if hi is None else F.col("doc_id") <= hi
             part = docs.filter(after & upto | (F.col("doc_id").isNull() if hi is None else F.lit(False)))
-            found = own.ingest(part, docs.filter(upto))
+            found = own.ingest(part, docs.filter(upto) if index is None else None)
             out = found if out is None else out.unionByName(found)
             lo = hi
     finally:
