@@ -52,7 +52,7 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     chars = np.minimum(chars, 0x10FFFF)
     letter = _letters()[chars]
     c = np.where(letter, chars, 32).astype(U64)
-    keep = letter | np.concatenate([[True], letter[:-1]])  # one blank stands for any run of other characters
+    keep = letter | np.concatenate([[False], letter[:-1]])  # one blank stands for any run of other characters after a letter, wherever the text stands in its batch
     c, doc, letter = c[keep], doc[keep], letter[keep]
     h = np.zeros(len(c), U64)
     for n in range(1, 4):
