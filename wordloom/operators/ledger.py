@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions import text as T
+from ..sources import shared
 
 
 #: Chapters of a block in which hooks are looked for, hooks of a cell, chapters of a block of open intervals.
@@ -43,24 +44,20 @@ def _earliest(threshold: float):
             asked = hooks["h"].combine_chunks()
             stops, wanted = asked.offsets.to_numpy() - asked.offsets[0].as_py(), asked.flatten().to_numpy(zero_copy_only=False)
             lo, hi = np.searchsorted(tokens, wanted, "left"), np.searchsorted(tokens, wanted, "right")
+            present = np.concatenate([[0], np.cumsum(hi > lo)])
             for opened, first, stop in zip(hooks["opened"].to_pylist(), stops[:-1].tolist(), stops[1:].tolist()):
                 n = stop - first
                 need = _needed(n, threshold)
-                spans = sorted(zip((hi[first:stop] - lo[first:stop]).tolist(), lo[first:stop].tolist(), hi[first:stop].tolist()))
-                # Of enough shared tokens one at least is among the n - need + 1 rarest.
-                rare = [place[a:b] for size, a, b in spans[: n - need + 1] if size]
-                if not rare or len(spans) - sum(not size for size, _, _ in spans) < need:
+                # Fewer tokens than needed stand in the whole block: none of its chapters can do.
+                if present[stop] - present[first] < need:
                     continue
-                some = np.unique(np.concatenate(rare))
-                some = some[later[some] > opened]
-                shared = np.zeros(len(some), np.int64)
-                for size, a, b in spans if len(some) else ():
-                    if size:
-                        at = np.minimum(np.searchsorted(place[a:b], some), size - 1)
-                        shared += place[a:b][at] == some
-                met = np.flatnonzero(shared >= need)
-                if len(met):
-                    found.append((opened, int(later[some[met[0]]]), int(shared[met[0]]) / n))
+                shared = np.zeros(len(later), np.int32)
+                for a, b in zip(lo[first:stop].tolist(), hi[first:stop].tolist()):
+                    shared[place[a:b]] += 1
+                from_ = int(np.searchsorted(later, opened, "right"))
+                met = int(np.argmax(shared[from_:] >= need)) if from_ < len(later) else 0
+                if from_ + met < len(later) and shared[from_ + met] >= need:
+                    found.append((opened, int(later[from_ + met]), int(shared[from_ + met]) / n))
         opened, first, ratio = zip(*found) if found else ((), (), ())
         book = pa.array([key[0].as_py()] * len(found), hooks.schema.field("book").type)
         return pa.table([book, pa.array(opened, hooks.schema.field("opened").type), pa.array(first, chapters.schema.field("later").type), pa.array(ratio, pa.float64())], names=["book", "opened", "later", "ratio"])
@@ -72,26 +69,35 @@ def resolutions(hooks: DataFrame, candidates: DataFrame, threshold: float = V.RE
     """book, opened, resolved, ratio: the earliest later chapter that shares enough of a hook's distinct tokens.
 
     hooks (book, ord, hook), candidates (book, ord, text). Chapters go into blocks of
-    BLOCK_CHAPTERS numbers and a hook to its own block and those after it, where its rarest tokens
-    there find the chapters that are compared; a block sends one row a hook at most, so no pairs are
-    made as rows. Hooks without a token or a match stay open (null). Tokens are compared by 64-bit hashes.
+    BLOCK_CHAPTERS numbers, each counted as a small inverted index; a hook meets its own block and
+    the next one first, and only if neither resolves it the blocks after them. A block sends one row
+    a hook at most, so no pairs are made as rows. Hooks without a token or a match stay open (null).
+    Tokens are compared by 64-bit hashes.
     """
+    spark = hooks.sparkSession
     hashes = lambda c: F.transform(F.array_distinct(T.tokens(c)), lambda t: F.xxhash64(t))
     block = lambda c: F.floor(F.col(c) / BLOCK_CHAPTERS).cast("int")
     h = hooks.filter(T.stripped("hook") != "").select("book", F.col("ord").alias("opened"), hashes("hook").alias("h"))
     c = candidates.select("book", F.col("ord").alias("later"), hashes("text").alias("h"), block("ord").alias("block"))
-    ends = candidates.groupBy("book").agg(F.max(block("ord")).alias("end"), F.min("ord").alias("least"))
+    c = shared.saved(c, shared.fresh(spark, "hooked"))  # tokenised once for both rounds
+    ends = c.groupBy("book").agg(F.max("block").alias("end"), F.min("block").alias("least"))
     # A cell holds the hooks of CELL_HOOKS numbers; a block meets the cells of its own and smaller numbers.
     cell = lambda c: F.floor(F.col(c) / CELL_HOOKS).cast("int")
     first = h.groupBy("book").agg(F.min(cell("opened")).alias("from"))
-    asked = h.filter(F.size("h") > 0).join(ends, "book").withColumn("start", F.greatest(block("opened"), block("least"))).filter("start <= end")
-    asked = asked.withColumn("block", F.explode(F.sequence("start", "end"))).select("book", "block", cell("opened").alias("cell"), "opened", "h")
-    asked = asked.toDF(*asked.columns)  # names of its own: both sides may come from one table
+    asked = h.filter(F.size("h") > 0).join(ends, "book").withColumn("start", F.greatest(block("opened"), "least"))
     sent = c.join(first, "book").filter(cell("later") >= F.col("from")).withColumn("cell", F.explode(F.sequence(F.col("from"), cell("later")))).select("book", "block", "cell", "later", "h")
-    kinds = [h.schema["book"].dataType.simpleString(), h.schema["opened"].dataType.simpleString(), c.schema["later"].dataType.simpleString()]
+    schema = "book {}, opened {}, later {}, ratio double".format(*[d.schema[k].dataType.simpleString() for d, k in ((h, "book"), (h, "opened"), (c, "later"))])
     keys = ["book", "block", "cell"]
-    found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(_earliest(threshold), "book {}, opened {}, later {}, ratio double".format(*kinds))
-    best = found.groupBy("book", "opened").agg(F.min(F.struct("later", "ratio")).alias("m"))
+
+    def met(asked: DataFrame) -> DataFrame:
+        each = asked.filter("start <= end").withColumn("block", F.explode(F.sequence("start", "end"))).select("book", "block", cell("opened").alias("cell"), "opened", "h")
+        each = each.toDF(*each.columns)  # names of its own: both sides may come from one table
+        near = sent.join(each.select(*keys).distinct(), keys, "left_semi")
+        return each.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_earliest(threshold), schema)
+
+    soon = shared.saved(met(asked.withColumn("end", F.least("end", F.col("start") + 1))), shared.fresh(spark, "resolved"))
+    rest = asked.join(soon.select("book", "opened").distinct(), ["book", "opened"], "left_anti").withColumn("start", F.col("start") + 2)
+    best = soon.unionByName(met(rest)).groupBy("book", "opened").agg(F.min(F.struct("later", "ratio")).alias("m"))
     return h.select("book", "opened").join(best, ["book", "opened"], "left").select("book", "opened", F.col("m.later").alias("resolved"), F.col("m.ratio").alias("ratio"))
 
 
