@@ -68,9 +68,12 @@ class Tables:
     def kept_chapters(self) -> DataFrame:
         """The chapters as a written table, for queries that read them several times: numbered and translated once."""
         if self._chapters is None:
-            self._chapters = shared.saved(self.chapters(), shared.fresh(self.spark, "chapters"))
+            self._chapters = self.kept("chapters", self.chapters())
         return self._chapters
 
+    def kept(self, name: str, df: DataFrame) -> DataFrame:
+        return shared.saved(df, shared.fresh(self.spark, name))
+
     def plain_chapters(self) -> DataFrame:
         d = self.documents.select("source", "doc_id", "text")
         return C.numbered(d, "source", "doc_id", "ord").select(F.col("source").alias("book"), "ord", "doc_id", "text")
@@ -429,16 +432,17 @@ select book, ord, case when refused then 'failed' else st end status, used attem
   md5(case when st = 'committed' and not refused then (case b when 1 then x1 when 2 then x2 else x3 end) when ord % 2 = 0 then 'old' end) manuscript from w"""
 )
 def p11_chapter_transactions(t):
-    rows = _baited_chapters(t)
+    rows = t.kept("baited", _baited_chapters(t))  # read by each gate: made once
     gate = G.check(rows).select("book", "ord", "verdict")
     three = {"attempt": ((F.col("ord") - 1) % 3 + 1).cast("int"), "ord": F.expr("(ord - 1) div 3 + 1")}
-    attempts = rows.join(gate, ["book", "ord"]).join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumns(three)
+    ids = rows.select("book", "ord", "doc_id").join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    attempts = ids.join(gate, ["book", "ord"]).withColumns(three)
     verdict = F.when(F.col("doc_id") % 17 != 0, F.col("verdict")).alias("verdict")
     told = attempts.select("book", "ord", "attempt", verdict, (F.col("n_chars") % 6).alias("findings"), (F.col("doc_id") % 4 == 0).alias("flagged"), F.lit(None).cast("string").alias("error"))
     chapters = rows.select("book", F.expr("(ord - 1) div 3 + 1").alias("ord")).distinct()
-    records = X.recorded(X.settled(told), chapters.filter("ord % 11 = 0"))
+    records = t.kept("records", X.recorded(X.settled(told), chapters.filter("ord % 11 = 0")))
     before = chapters.filter("ord % 2 = 0").select("book", "ord", F.lit("old").alias("text"), F.lit("draft").alias("status"))
-    after = X.manuscripts_after(records, attempts.select("book", "ord", "attempt", "text"), before)
+    after = X.manuscripts_after(records, rows.withColumns(three).select("book", "ord", "attempt", "text"), before)
     out = records.join(after.select("book", "ord", F.md5(F.col("text").cast("binary")).alias("manuscript")), ["book", "ord"], "left")
     return out.select("book", "ord", "status", "attempts", F.col("chosen").cast("double").alias("chosen"), "error", "manuscript")
 
