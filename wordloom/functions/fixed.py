@@ -157,3 +157,34 @@ MAX_REPAIRS, STYLE_FINDINGS, DEGRADED_IN_A_ROW = 2, 2, 3
 
 # Messages of this engine.
 WRITER_FAILED, GATE_REJECTED, BUDGET_SPENT, COMMIT_REFUSED = "writer failed", "gate rejected", "repairs used up", "commit refused"
+
+# Rendered deconstructions (headings, labels of the table: name, digits, factor, before, after), indexed parts, tools.
+AUTHOR_TITLE, KB_TITLE, MEASURED_TITLE, KB_MEASURED_TITLE = "# 拆书测量稿：", "# 测量型写作手法备忘：", "## 客观测量", "## 可直接对标的客观数值"
+DENSITY_HEAD = "## 冲突密度的章级分布\n\n| 章 | 每千字疑似冲突点 |\n|---:|---:|"
+LEDGER_HEAD = "## 钩子的回收节奏\n\n| 埋钩章 | 回收章 | 间隔（章） |\n|---:|---:|---:|"
+TECHNIQUES_HEAD, NO_TECHNIQUES, UNRESOLVED, NO_SPAN = "## 迁移到自己稿子上的做法", "- （语义层未接入：需先用真实模型跑 analyze，或你自己在这里补）", "未回收", "—"
+TABLE_HEAD = "| 指标 | 数值 |\n|---|---:|"
+TABLE_ROWS = [
+    ("total_chars", "总字数（去空白）", 0, 1, "", ""),
+    ("avg_chapter_chars", "章均字数", 0, 1, "", ""),
+    ("avg_sentence_chars", "平均句长", 2, 1, "", ""),
+    ("median_sentence_chars", "句长中位数", 1, 1, "", ""),
+    ("short_sentence_ratio", "短句占比（≤12 字）", 2, 100, "", "%"),
+    ("long_sentence_ratio", "长句占比（>45 字）", 2, 100, "", "%"),
+    ("avg_dialogue_ratio", "对话句占比", 2, 100, "", "%"),
+    ("per_thousand_conflicts", "疑似冲突点密度", 2, 1, "每千字 ", " 处"),
+]
+ORDER_ROWS = {"quiet": "节奏空窗候选章", "opening_hook_signal": "开篇有悬念信号", "closing_hook_signal": "章尾有悬念信号"}
+LEDGER_ROWS = [("median_span", "钩子回收间隔中位数", " 章"), ("longest_span", "最长吊钩间隔", " 章"), ("open_hooks", "读到最后一章仍未回收", " 条")]
+PARTS = {
+    "positioning": ("positioning", "positioning", ["genre", "audience", "core_premise", "selling_points", "tone_target"]),
+    "volume": ("volume", "volume", ["volume_title", "volume_goal", "main_conflict", "ending_hook"]),
+    "chapters": ("outline-chapter-", "chapter_outline", ["title", "core_event", "opening_hook", "ending_hook"]),
+    "protagonist": ("protagonist", "protagonist", ["name", "background", "personality", "desire", "flaw", "signature_ability"]),
+    "golden_finger": ("golden-finger", "golden_finger", ["name", "form", "ability", "cost_limitation", "growth_path"]),
+}
+POSITIONING_TITLE, SUMMARY_DOC, SUMMARY_TYPE = "题材定位", "summary-chapter-", "chapter_summary"
+TOOL_ARGUMENTS = {"get_outline": {"order": int}, "search_own_book": {"query": str}, "list_open_foreshadows": {}, "search_methodology": {"query": str}}
+METHODOLOGY_HITS, OWN_BOOK_HITS, ERROR_CHARS = 3, 5, 200
+NO_OUTLINE, OUTLINE, NO_HOOKS, OPEN_HOOK, NO_HITS = "没有第 %d 章细纲（当前细纲共 %d 章）。", "第%d章《%s》｜核心事件：%s｜开篇钩：%s｜章尾钩：%s", "当前没有待回收伏笔。", "- 第%d章埋：%s", "本书暂无相关内容。"
+NO_METHOD, METHOD_HIT, BOOK_HIT = "知识库无命中（可能尚未建库，或没有相关资料）。", "- 来源 %s ：%s", "- [%s] %s：%s"

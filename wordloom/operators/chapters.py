@@ -89,6 +89,7 @@ def measures(chapters: DataFrame, *keep: str) -> DataFrame:
         "sentences",
         lambda x: F.struct(
             x["at"].alias("start"),
+            (x["at"] + F.length(x["text"])).alias("end"),
             F.length(T.unspaced(x["text"])).alias("n"),
             x["text"].rlike(V.DIALOGUE).alias("dialogue"),
             x["text"].rlike("[！!]").alias("exclaim"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,14 +117,37 @@ def percentile(metric: Column, value: Column) -> Column:
     return out
 
 
+def _values(chapters: DataFrame, *keep: str) -> DataFrame:
+    """keep, metric, value of every metric that has a rule (null where a chapter is not checked)."""
+    both = measured(chapters, *keep, "text")
+    said = dialogue(both.drop("cjk"), *keep, *[m for m in V.STYLE_RULES], "checked")
+    return said.select(*keep, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in V.STYLE_RULES | V.DIALOGUE_RULES])).alias("m")).select(*keep, "m.*")
+
+
+def judged(chapters: DataFrame, *keep: str) -> DataFrame:
+    """metric, place, mode, limit, judged, beyond: how many chapters each limit of both modes judges and how many lie beyond it."""
+    rules = rule_table(chapters.sparkSession)
+    both = reduce(DataFrame.unionByName, [rules.join(limits(rules, mode).withColumnRenamed("limit", "used"), "metric").select("metric", "place", "dir", F.lit(mode).alias("mode"), F.col("used").alias("limit")) for mode in ("judge", "prompt")])
+    over = F.when(F.col("dir") == "hi", F.col("value") > F.col("limit")).otherwise(F.col("value") < F.col("limit"))
+    # The rules are a handful of rows; a rule that no chapter is judged by keeps its row.
+    counted = _values(chapters, *keep).join(F.broadcast(both), "metric").groupBy("metric", "mode").agg(F.count("value").alias("judged"), F.count_if(over).alias("beyond"))
+    some = both.join(counted, ["metric", "mode"], "left")
+    return some.select("metric", "place", "mode", "limit", F.coalesce("judged", F.lit(0)).alias("judged"), F.coalesce("beyond", F.lit(0)).alias("beyond"))
+
+
+def against_baselines(chapters: DataFrame, *keep: str) -> DataFrame:
+    """block, version, chapters, judged, beyond, share: what of a corpus lies beyond the limits that each baseline gave."""
+    b = baselines(chapters.sparkSession).select("block", "version", "chapters", F.explode("rules").alias("metric"))
+    found = b.join(judged(chapters, *keep).filter("mode = 'judge'"), "metric").groupBy("block", "version", "chapters").agg(F.sum("judged").alias("judged"), F.sum("beyond").alias("beyond"))
+    return found.withColumn("share", F.when(F.col("judged") > 0, F.col("beyond") / F.col("judged")).otherwise(0.0))
+
+
 def findings(chapters: DataFrame, *keep: str) -> DataFrame:
     """keep, metric, value, limit, bound, dir, percentile, rank: measures beyond their rule's limit, worst first.
 
     Both sets of measures are made in one projection of the text; the rules are unpivoted with them.
     """
-    both = measured(chapters, *keep, "text")
-    said = dialogue(both.drop("cjk"), *keep, *[m for m in V.STYLE_RULES], "checked")
-    rows = said.select(*keep, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in V.STYLE_RULES | V.DIALOGUE_RULES])).alias("m")).select(*keep, "m.*")
+    rows = _values(chapters, *keep)
     over = F.when(F.col("dir") == "hi", F.col("value") > F.col("limit")).otherwise(F.col("value") < F.col("limit"))
     found = rows.join(F.broadcast(rule_table(chapters.sparkSession)), "metric").filter(over)
     order = W.partitionBy(*keep).orderBy(F.col("dir") == "lo", F.desc(F.abs(F.bround("value", 4) - F.col("limit"))), "place")

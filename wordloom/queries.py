@@ -22,10 +22,12 @@ from .operators import knowledge as K
 from .operators import ledger as L
 from .operators import projects as P
 from .operators import quotes as Q
+from .operators import rendering as D
 from .operators import retrieval as R
 from .operators import runs as U
 from .operators import search as I
 from .operators import style as S
+from .operators import tools as A
 from .operators import transactions as X
 from .sources import shared
 
@@ -830,11 +832,6 @@ def u07_quotes(t):
     return t.chinese().select("doc_id", T.quotes("text").alias("q")).select("doc_id", F.size("q").alias("n"), F.array_join("q", "\n").alias("quotes"))
 
 
-@query(f"with {_rule_sql().replace('lim)', 'lim)')} select metric, lim as \"limit\" from rules")
-def x28_rule_limits(t):
-    return S.limits(S.rule_table(t.spark)).select("metric", "limit")
-
-
 @query("select lang, count(*) n, round(avg(coalesce(quality, 0)), 6) quality, count(*) filter (toxic = 1) toxic from documents left join labels using (doc_id) group by lang")
 def j14_reference_stats(t):
     d = t.documents.join(t.labels, "doc_id", "left")
@@ -989,12 +986,23 @@ def x29_style_scores(t):
     return S.scored(ch, S.findings(ch, "book", "ord"), "book", "ord")
 
 
+JUDGED = f"""with {DIALOGUE}, {_rule_sql()}, rws as materialized ({ROWS_SQL}), pr(metric, prompt) as (values {', '.join(f"('{m}', cast({p if p is not None else x} as double))" for m, (_, _, x, p) in (V.STYLE_RULES | V.DIALOGUE_RULES).items())}),
+lims as (select metric, place, dir, 'judge' mode, lim from rules union all select metric, place, dir, 'prompt', prompt from rules join pr using (metric)),
+j as (select metric, place, mode, lim, count(v) judged, count(*) filter (case when dir = 'hi' then v > lim else v < lim end) beyond from lims left join rws using (metric) group by 1, 2, 3, 4)"""
+
+
+@query(JUDGED + ' select metric, mode, lim "limit", judged, beyond from j')
+def x28_limits_judged(t):
+    return S.judged(t.chapters(), "book", "ord").select("metric", "mode", "limit", "judged", "beyond")
+
+
 @query(
-    "select block, version, cast(books as bigint) books, cast(chapters as bigint) chapters, cast(holdout_books as bigint) holdout_books, cast(holdout_chapters as bigint) holdout_chapters, cast(ai_chapters as double) ai_chapters, rules from (values ('style', 'style-v1', 67, 5829, 20, 1640, null, '破折号密度、身体外化密度、分句均字、单句段占比、段均句数、段p90字'), ('dialogue', 'style-dlg-v1', 81, 31889, 18, 4654, 11, '对白破折号占比、对白条数每千字、对白第二人称密度、对白句均字')) b(block, version, books, chapters, holdout_books, holdout_chapters, ai_chapters, rules)"
+    JUDGED
+    + f""", b(block, version, chapters, first, last) as (values ('style', '{V.BASELINES['style']['version']}', {V.BASELINES['style']['chapters']}, 0, {len(V.STYLE_RULES) - 1}), ('dialogue', '{V.BASELINES['dialogue']['version']}', {V.BASELINES['dialogue']['chapters']}, {len(V.STYLE_RULES)}, 99))
+select block, version, cast(chapters as bigint) chapters, cast(sum(judged) as bigint) judged, cast(sum(beyond) as bigint) beyond, round(case when sum(judged) > 0 then sum(beyond) / sum(judged) else 0.0 end, 6) share from b join j on place between first and last where mode = 'judge' group by 1, 2, 3"""
 )
-def a23_baselines(t):
-    b = S.baselines(t.spark)
-    return b.withColumns({"ai_chapters": F.col("ai_chapters").cast("double"), "rules": F.array_join("rules", "、")})
+def a23_baselines_judged(t):
+    return S.against_baselines(t.chapters(), "book", "ord").withColumn("share", r6("share"))
 
 
 @query(rf"with x as (select doc_id, regexp_replace(text, '[\s　]+$', '') s from documents) select doc_id, left({strip(r"regexp_replace(right(s, 60), '[\s　]+', ' ', 'g')")}, 40) evidence from x where s <> ''")
@@ -1047,6 +1055,114 @@ def a15_macro_recall(t):
     return R.macro(a15_p09_recall(t)).withColumn("macro_recall", r6("macro_recall"))
 
 
+# Deconstructions written, read back and rendered; all parts of a project as documents; tool calls.
+def _shown(x: str, digits: int) -> str:
+    n = f"cast(round_even({x} * {10**digits}, 0) as bigint)"
+    return f"cast({n} as varchar)" if digits == 0 else f"printf('%d.%0{digits}d', {n} // {10**digits}, {n} % {10**digits})"
+
+
+def _deconstructed(t):
+    measured = C.measures(t.chapters().withColumn("title", F.left("text", F.lit(6))), "book", "pos", "ord", "title")
+    kept = t.kept("measures", measured)
+    return C.structure(kept), kept
+
+
+ORDER_SQL = " union all ".join(
+    f"""select book, 2, {len(V.TABLE_ROWS) + 1 + i}, '| {label} | ' || case when count(*) <= 12 then string_agg(ord, '、' order by ord) else '共 ' || count(*) || ' 章（前 12 章：' || array_to_string(list(ord order by ord)[1:12], '、') || '…）' end || ' |' from {rows} group by book"""
+    for i, (rows, label) in enumerate(zip(("quiet", "(select * from m where opening_hook_signal)", "(select * from m where closing_hook_signal)"), V.ORDER_ROWS.values()))
+)
+TABLE_SQL = "[" + ", ".join([f"'{V.TABLE_HEAD}'".replace("\n", "' || chr(10) || '")] + [f"'| {label} | {before}' || {_shown(f'{c} * {factor}', digits)} || '{after} |'" for c, label, digits, factor, before, after in V.TABLE_ROWS]) + "]"
+
+
+@query(
+    MEASURED
+    + f""", w as (select book, median_sentence_chars v, sum(sentence_count) w from m where sentence_count > 0 group by 1, 2), run as (select book, v, sum(w) over (partition by book order by v) upto, sum(w) over (partition by book) total from w),
+med as (select book, min(v) v from run where upto >= total / 2 group by 1),
+st as (select book, sum(char_count) total_chars, avg(char_count) avg_chapter_chars, sum(avg_sentence_chars * sentence_count) / sum(sentence_count) avg_sentence_chars, coalesce(any_value(med.v), 0.0) median_sentence_chars, sum(short_sentence_ratio * sentence_count) / sum(sentence_count) short_sentence_ratio,
+  sum(long_sentence_ratio * sentence_count) / sum(sentence_count) long_sentence_ratio, sum(dialogue_sentence_ratio * sentence_count) / sum(sentence_count) avg_dialogue_ratio, sum(anchor_count) / sum(char_count) * 1000 per_thousand_conflicts from m left join med using (book) group by book),
+quiet as (select book, ord from m join st using (book) where char_count > 0 and anchor_count / char_count * 1000 < per_thousand_conflicts / 2),
+l(book, section, "at", line) as (select book, 0, 0, '{V.KB_TITLE}' || book from st union all select book, 1, 0, '{V.KB_MEASURED_TITLE}' from st union all select book, 2, unnest(range(0, {len(V.TABLE_ROWS) + 1})), unnest({TABLE_SQL}) from st union all {ORDER_SQL}
+union all select book, 3, -1, '{V.DENSITY_HEAD}' from st union all select book, 3, ord, '| ' || ord || ' | ' || {_shown('(case when char_count > 0 then anchor_count / char_count * 1000 else 0.0 end)', 2)} || ' |' from m
+union all select book, 5, -1, '{V.TECHNIQUES_HEAD}' from st union all select book, 5, 0, '{V.NO_TECHNIQUES}' from st) select book, cast(section as bigint) section, cast("at" as bigint) "at", line from l"""
+)
+def s17_kb_view(t):
+    structure, measured = _deconstructed(t)
+    orders = {"quiet": C.quiet(measured)} | {k: measured.filter(k).select("book", "ord", F.col("pos").alias("at")) for k in ("opening_hook_signal", "closing_hook_signal")}
+    none = measured.select("book", F.col("ord").alias("opened"), F.lit(None).cast("int").alias("resolved")).filter(F.lit(False))
+    return D.kb_view(structure, C.densities(measured), none, orders)
+
+
+@query(MEASURED + f", r as (select *, left(text, 6) title from m join ch using (book, ord, doc_id)) select book, ord, title, char_count, sentence_count, paragraph_count, opening_hook_signal, anchor_count, anchor_count anchors, {_shown('short_sentence_ratio * 100', 2)} short from r")
+def s16_deconstruction_reloaded(t):
+    structure, measured = _deconstructed(t)
+    path = shared.fresh(t.spark, "deconstruction")
+    D.write(structure, measured, path)
+    _, chapters, refused = D.load(t.spark, path)
+    out = chapters.select("book", "ord", "title", "char_count", "sentence_count", "paragraph_count", "opening_hook_signal", "anchor_count", F.size("anchors").alias("anchors"), D.number(F.col("short_sentence_ratio") * 100, 2).alias("short"))
+    # A refused line would stand out as a row of its own.
+    return out.unionByName(refused.select(F.col("line").alias("title")), allowMissingColumns=True)
+
+
+@query(None)
+def s18_author_view(t):
+    return D.author_view(*_deconstructed(t))
+
+
+PART_STATES = "case doc_id % 4 when 0 then 'draft' when 1 then 'human-confirmed' when 2 then 'auto-accepted' end"
+
+
+@query(
+    f"""with d as (select doc_id, source, lang, left(text, 12) a, right(text, 9) z, coalesce(n_chars, 0) n, {PART_STATES} state from documents), u as (select * from d where state in ('human-confirmed', 'auto-accepted')),
+j as (select *, {strip("a")} <> '' a_ok, {strip("z")} <> '' z_ok from u),
+pp as (select doc_id, source, lang, a, n, list_transform(list_slice(string_split(text, chr(10)), 1, 3), lambda p: left(p, 7)) pts from d join documents using (doc_id, source, lang) where doc_id % 3 = 0)
+select doc_id project, 'positioning' doc_id, 'positioning' doc_type, cast(null as bigint) ord, '{V.POSITIONING_TITLE}' title, concat_ws(chr(10), case when {strip('source')} <> '' then source end, case when a_ok then a end, coalesce(lang, '') || ' ' || source, case when z_ok then z end) as text, '' characters, '' themes, '' tones from j where doc_id % 5 = 0
+union all select doc_id, 'volume', 'volume', null, a, concat_ws(chr(10), case when a_ok then a end, case when z_ok then z end), '', '', '' from j where doc_id % 5 = 1
+union all select doc_id, 'outline-chapter-' || (doc_id % 90), 'chapter_outline', doc_id % 90, a, concat_ws(chr(10), case when a_ok then a end, case when z_ok then z end, case when a_ok then a end), '', '', '' from j where doc_id % 5 = 2
+union all select doc_id, 'protagonist', 'protagonist', null, a, concat_ws(chr(10), case when a_ok then a end, lang, case when z_ok then z end), '', '', '' from j where doc_id % 5 = 3
+union all select doc_id, 'golden-finger', 'golden_finger', null, a, concat_ws(chr(10), case when a_ok then a end, case when z_ok then z end, source), '', '', '' from j where doc_id % 5 = 4
+union all select doc_id, 'summary-chapter-' || (doc_id % 90), 'chapter_summary', doc_id % 90, a, concat_ws(chr(10), case when trim(a, ' ') <> '' then a end, lang, nullif(array_to_string(list_filter(list_transform(pts, lambda p: concat_ws(chr(10), case when {strip('p')} <> '' then p end, source || ' b', 'x ' || source, '紧张')), lambda x: x <> ''), chr(10)), ''), source || ' a'),
+  array_to_string(list_sort(list_distinct([source, 'a'])), ','), case when len(pts) > 0 then array_to_string(list_sort(list_distinct(['x', source])), ',') else '' end, case when len(pts) > 0 then '紧张' else '' end from pp"""
+)
+def f03_f04_indexed_documents(t):
+    state = F.when(F.col("doc_id") % 4 == 0, "draft").when(F.col("doc_id") % 4 == 1, "human-confirmed").when(F.col("doc_id") % 4 == 2, "auto-accepted")
+    d = t.documents.select("doc_id", F.col("doc_id").alias("project"), state.alias("state"), "source", "lang", F.left("text", F.lit(12)).alias("a"), F.right("text", F.lit(9)).alias("z"), "text")
+    kind = lambda i, **fields: d.filter(F.col("doc_id") % 5 == i).select("project", "state", *[F.col(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in fields.items()])
+    none, ord_ = F.lit(None).cast("string"), F.col("doc_id") % 90
+    parts = {
+        "positioning": kind(0, genre="source", audience="a", core_premise=none, selling_points=F.array(F.coalesce("lang", F.lit("")), F.col("source")), tone_target="z"),
+        "volume": kind(1, volume_title="a", volume_goal=none, main_conflict="z", ending_hook=F.lit(" ")),
+        "chapters": kind(2, ord=ord_, title="a", core_event="z", opening_hook=F.lit(""), ending_hook="a"),
+        "protagonist": kind(3, name="a", background="lang", personality=none, desire="z", flaw=F.lit("\n"), signature_ability=none),
+        "golden_finger": kind(4, name="a", form="z", ability=none, cost_limitation=none, growth_path="source"),
+    }
+    point = lambda p: F.struct(F.left(p, F.lit(7)).alias("summary"), F.array("source", F.lit("b")).alias("characters"), F.array(F.lit("x"), F.col("source")).alias("theme_tags"), F.lit("紧张").alias("tone"), p.alias("quote"))
+    summaries = d.filter("doc_id % 3 = 0").select("project", ord_.alias("ord"), F.col("a").alias("title"), F.col("lang").alias("gist"), F.array("source", F.lit("a")).alias("characters"), F.transform(F.slice(F.split("text", "\n"), 1, 3), point).alias("plot_points"))
+    told = D.summary_documents(summaries).withColumns({c: F.array_join(c, ",") for c in ("characters", "themes", "tones")})
+    return D.part_documents(parts).withColumns({c: F.lit("") for c in ("characters", "themes", "tones")}).unionByName(told)
+
+
+CALLED = "case doc_id % 7 when 0 then 'get_outline' when 1 then 'get_outline' when 2 then 'list_open_foreshadows' when 3 then 'forget' when 4 then 'list_open_foreshadows' when 5 then 'get_outline' else 'get_outline' end"
+
+
+@query(
+    f"""with {LEDGER}, c as (select doc_id call_id, book, ord, doc_id % 7 k, {CALLED} tool from ch), ol as (select book, ord, left(text, 5) title, left(text, 20) core_event, left(text, 8) opening_hook, right(text, 10) ending_hook from ch where ord % 2 = 0), n as (select book, count(*) n from ol group by 1),
+op as (select c.call_id, string_agg('- 第' || opened || '章埋：' || left(h.text, 8), chr(10) order by opened) output from c join led on led.book = c.book and opened < c.ord and (resolved is null or resolved >= c.ord) join ch h on h.book = led.book and h.ord = opened where k in (2, 4) group by 1)
+select call_id, k not in (3, 5, 6) ok, case when k in (0, 1) then coalesce(printf('第%d章《%s》｜核心事件：%s｜开篇钩：%s｜章尾钩：%s', c.ord, title, core_event, opening_hook, ending_hook), printf('没有第 %d 章细纲（当前细纲共 %d 章）。', c.ord, coalesce(n, 0))) when k in (2, 4) then coalesce(op.output, '当前没有待回收伏笔。')
+  when k = 3 then 'unknown tool forget' when k = 5 then 'order: absent' else 'order: not a whole number' end output, case when k = 3 then '{A.FIX_NAME}' when k in (5, 6) then '{q(A.FIX_ARGUMENTS)}' end hint, k in (5, 6) retryable
+from c left join ol on ol.book = c.book and ol.ord = c.ord left join n on n.book = c.book left join op using (call_id)"""
+)
+def e03_tool_calls(t):
+    ch = t.kept_chapters()
+    k, ord_ = F.col("doc_id") % 7, F.col("ord").cast("string")
+    tool = F.when(k.isin(2, 4), "list_open_foreshadows").when(k == 3, "forget").otherwise("get_outline")
+    args = F.when(k == 0, F.concat(F.lit('{"order": '), ord_, F.lit("}"))).when(k == 1, F.concat(F.lit('{"order": "'), ord_, F.lit('"}'))).when(k == 5, F.lit("{}")).when(k == 6, F.lit('{"order": "soon"}'))
+    calls = ch.select(F.col("doc_id").alias("call_id"), "book", "ord", tool.alias("tool"), args.alias("args"))
+    outlines = ch.filter("ord % 2 = 0").select("book", "ord", F.left("text", F.lit(5)).alias("title"), F.left("text", F.lit(20)).alias("core_event"), F.left("text", F.lit(8)).alias("opening_hook"), F.right("text", F.lit(10)).alias("ending_hook"))
+    hooks = ch.select("book", "ord", F.left("text", F.lit(8)).alias("hook"))
+    seen = t.kept("calls", A.checked(calls))
+    return A.answered(seen, {"get_outline": lambda c: A.outlines_read(c, outlines), "list_open_foreshadows": lambda c: A.hooks_listed(c, _ledger(t), hooks)})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
