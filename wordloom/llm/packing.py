@@ -29,7 +29,7 @@ from .common import slices, small_batches, split_words, tidy
 WINDOW = 4096
 SEPARATOR = 2
 #: Documents a shard: bounds what one task packs.
-SHARD_DOCUMENTS = 16_000
+SHARD_DOCUMENTS, SHARD_BYTES = 16_000, 64 << 20
 _TOKENIZERS: dict[str, "ChunkTokenizer"] = {}
 
 
@@ -200,7 +200,8 @@ def _pieces(path: str, window: int, separator: int, payload: bool):
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int = SEPARATOR, payload: bool = False) -> tuple[DataFrame, int]:
     """(pieces of all documents, at most `window` ids each: doc_id, start, length, ids_crc32, doc_tokens, shard[, ids]; number of shards)."""
     small_batches(docs.sparkSession)
-    shards = max(1, -(-docs.count() // SHARD_DOCUMENTS))
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("bytes")).first()
+    shards = max(1, -(-size.n // SHARD_DOCUMENTS), -(-size.bytes // SHARD_BYTES))
     run, schema = _pieces(tokenizer, window, separator, payload)
     cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
     return cut_up.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards))), shards

@@ -3,17 +3,21 @@
 `responses` makes response records of a table of pages, `read_warc` reads them from WARC files,
 `derive` gives each response's two derivatives, `serialised` their bytes. Both derivatives refer
 to the response (WARC-Refers-To) and the metadata record is concurrent to the conversion; source
-headers, date, target and payload digest are preserved. Record ids come from the response's id,
-so a repeated run gives the same records.
+headers, date, target and payload digest are preserved: a digest that the source record itself
+states (columns payload_digest and block_digest, as `read_warc` gives them) is kept as it stands,
+else the payload's own is made. Record ids come from the response's id, so a repeated run gives
+the same records.
 
 Edge cases: a null payload converts to the empty text (its digest is that of no bytes); a null
 target stays null; a response without an id gives derivatives that refer to null; repeated
-responses give repeated derivatives.
+responses give repeated derivatives; an empty table gives none; payloads may be of any length that
+one row can hold; a stated digest that is null or blank counts as not stated.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -70,13 +74,17 @@ def derive(source: DataFrame) -> DataFrame:
     type, record_id, refers_to, concurrent_to, target_uri, date, content_type, source_headers,
     source_payload_digest, block_digest, content_length, block.
     """
-    own = ("record_id", "target_uri", "date", "http_headers", "payload")
+    own = ("record_id", "target_uri", "date", "http_headers", "payload", "payload_digest", "block_digest")
     made = ("type", "refers_to", "concurrent_to", "content_type", "source_headers", "source_payload_digest", "block_digest", "content_length", "block")
     others = [c for c in source.columns if c.lower() not in own + made]
     html = F.coalesce(F.col("payload"), F.lit(""))
     title = F.btrim(F.regexp_replace(resolved(F.regexp_extract(html, TITLE, 1)), r"\s+", " "))
     links = F.regexp_extract_all(html, F.lit(LINK), 1)
+    stated = {c.lower() for c in source.columns}
     digest = F.concat(F.lit("sha256:"), F.sha2(html, 256))
+    if "payload_digest" in stated:
+        digest = F.coalesce(F.when(F.trim(F.col("payload_digest")) != "", F.col("payload_digest")), digest)
+    kept = F.when(F.trim(F.col("block_digest")) != "", F.col("block_digest")) if "block_digest" in stated else F.lit(None).cast("string")
     base = source.select(
         *others,
         *(F.col(c) for c in own[:4]),
@@ -85,6 +93,7 @@ def derive(source: DataFrame) -> DataFrame:
         F.regexp_extract(html, LANG, 1).alias("lang"),
         links.alias("links"),
         digest.alias("digest"),
+        kept.alias("record_digest"),
     )
     conversion_id, metadata_id = (_uuid(F.concat_ws("|", F.lit(k), "record_id")) for k in ("conversion", "metadata"))
     fields = F.concat(
@@ -93,6 +102,7 @@ def derive(source: DataFrame) -> DataFrame:
             F.concat(F.lit("title: "), "title"),
             F.concat(F.lit("language: "), "lang"),
             F.concat(F.lit("source-payload-digest: "), "digest"),
+            F.concat(F.lit("source-block-digest: "), "record_digest"),
             F.concat(F.lit("outlink-count: "), F.size("links").cast("string")),
             F.transform("links", lambda x: F.concat(F.lit("outlink: "), x)),
         ),
@@ -158,7 +168,10 @@ def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files: record_id, target_uri, date, http_headers, payload (UTF-8, invalid bytes replaced)."""
+    """The response records of WARC files: record_id, target_uri, date, http_headers, payload (UTF-8, invalid bytes replaced), payload_digest, block_digest.
+
+    Digests are the records' own; a payload without one gets that of its bytes as they are in the file.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +181,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for fields, block in _records(data.as_py()):
                     if fields.get("warc-type") == "response":
                         head, _, body = block.partition(b"\r\n\r\n")
-                        rows.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), head.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
+                        rows.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), head.decode("utf-8", "replace"), body.decode("utf-8", "replace"), fields.get("warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest(), fields.get("warc-block-digest")))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["record_id", "target_uri", "date", "http_headers", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["record_id", "target_uri", "date", "http_headers", "payload", "payload_digest", "block_digest"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, target_uri string, date string, http_headers string, payload string")
+    return files.mapInArrow(run, "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string, block_digest string")
