@@ -155,7 +155,8 @@ def mechanical_summary(chapters: DataFrame) -> DataFrame:
 
 def plot_points(chapters: DataFrame, most: int = V.PLOT_POINTS) -> DataFrame:
     """book, ord, index, start, quote, summary, tone, themes: rule summaries, evenly sampled to `most` sentences."""
-    raw = F.regexp_extract_all("body", F.lit(f"({V.SUMMARY_SENTENCE})"), 1)
+    # One line feed at the very end doesn't cut a sentence off; a run before any other one is no sentence.
+    raw = F.filter(F.regexp_extract_all(F.regexp_replace("body", r"\n\z", ""), F.lit(f"({V.SUMMARY_PIECE})"), 1), lambda s: ~s.endswith("\n"))
     body = chapters.withColumn("base", F.position(F.lit("\n"), F.col("text"))).withColumn("body", F.expr("substring(text, base + 1)"))
     found = body.select("book", "ord", F.filter(F.transform(raw, T.stripped), lambda s: s != "").alias("s"))
     n = F.size("s")
