@@ -92,8 +92,9 @@ def manuscripts_after(records: DataFrame, texts: DataFrame, manuscripts: DataFra
     manuscripts (book, ord, text, status) are those before; a chapter that is not committed keeps
     its old text whole, or stays without one.
     """
-    new = records.filter("status = 'committed'").select(*KEYS, F.col("chosen").alias("attempt"))
-    new = texts.join(new, [*KEYS, "attempt"]).groupBy(*KEYS).agg(F.min("text").alias("new"))
+    # The attempt is compared after a join by chapter, so that the grouping and the last join find the texts where they are.
+    new = records.filter("status = 'committed'").select(*KEYS, "chosen")
+    new = texts.join(new, KEYS).filter(F.col("attempt") - F.col("chosen") == 0).groupBy(*KEYS).agg(F.min("text").alias("new"))
     both = manuscripts.select(*KEYS, "text", "status").join(new, KEYS, "full")
     status = F.when(F.col("new").isNotNull(), "auto-accepted" if auto_accept else "draft").otherwise(F.col("status"))
     return both.select(*KEYS, F.coalesce("new", "text").alias("text"), status.alias("status"))
