@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions import hashed as H
 from ..functions import text as T
 from ..sources import shared
 
@@ -45,12 +46,12 @@ def _earliest(threshold: float):
             stops, wanted = asked.offsets.to_numpy() - asked.offsets[0].as_py(), asked.flatten().to_numpy(zero_copy_only=False)
             lo, hi = np.searchsorted(tokens, wanted, "left"), np.searchsorted(tokens, wanted, "right")
             present = np.concatenate([[0], np.cumsum(hi > lo)])
-            for opened, first, stop in zip(hooks["opened"].to_pylist(), stops[:-1].tolist(), stops[1:].tolist()):
+            sizes, which = np.unique(np.diff(stops), return_inverse=True)
+            needs = np.array([_needed(n, threshold) for n in sizes.tolist()], np.int64)[which]
+            # Where fewer tokens than needed stand in the whole block, none of its chapters can do.
+            able = np.flatnonzero(np.diff(present[stops]) >= needs)
+            for opened, need, first, stop in zip(hooks["opened"].to_numpy()[able].tolist(), needs[able].tolist(), stops[:-1][able].tolist(), stops[1:][able].tolist()):
                 n = stop - first
-                need = _needed(n, threshold)
-                # Fewer tokens than needed stand in the whole block: none of its chapters can do.
-                if present[stop] - present[first] < need:
-                    continue
                 shared = np.zeros(len(later), np.int32)
                 for a, b in zip(lo[first:stop].tolist(), hi[first:stop].tolist()):
                     shared[place[a:b]] += 1
@@ -70,34 +71,35 @@ def resolutions(hooks: DataFrame, candidates: DataFrame, threshold: float = V.RE
 
     hooks (book, ord, hook), candidates (book, ord, text). Chapters go into blocks of
     BLOCK_CHAPTERS numbers, each counted as a small inverted index; a hook meets its own block and
-    the next one first, and only if neither resolves it the blocks after them. A block sends one row
-    a hook at most, so no pairs are made as rows. Hooks without a token or a match stay open (null).
-    Tokens are compared by 64-bit hashes.
+    the next one first, and only if neither resolves it the blocks after them. A block is sent once
+    for each cell of hooks that meet it: hooks of CELL_HOOKS numbers at first, then CELL_HOOKS of
+    those that are left. A block sends one row a hook at most, so no pairs are made as rows. Hooks
+    without a token or a match stay open (null). Tokens are compared by their ids.
     """
     spark = hooks.sparkSession
-    hashes = lambda c: F.transform(F.array_distinct(T.tokens(c)), lambda t: F.xxhash64(t))
     block = lambda c: F.floor(F.col(c) / BLOCK_CHAPTERS).cast("int")
-    h = hooks.filter(T.stripped("hook") != "").select("book", F.col("ord").alias("opened"), hashes("hook").alias("h"))
-    c = candidates.select("book", F.col("ord").alias("later"), hashes("text").alias("h"), block("ord").alias("block"))
-    c = shared.saved(c, shared.fresh(spark, "hooked"))  # tokenised once for both rounds
+    # Written once each: neither the chapters nor the hooks' texts are read again by a later round.
+    h = shared.saved(hooks.filter(T.stripped("hook") != "").select("book", F.col("ord").alias("opened"), H.token_ids("hook", distinct=True).alias("h")), shared.fresh(spark, "hooks"))
+    c = shared.saved(candidates.select("book", F.col("ord").alias("later"), H.token_ids("text", distinct=True).alias("h"), block("ord").alias("block")), shared.fresh(spark, "hooked"))
     ends = c.groupBy("book").agg(F.max("block").alias("end"), F.min("block").alias("least"))
-    # A cell holds the hooks of CELL_HOOKS numbers; a block meets the cells of its own and smaller numbers.
-    cell = lambda c: F.floor(F.col(c) / CELL_HOOKS).cast("int")
-    first = h.groupBy("book").agg(F.min(cell("opened")).alias("from"))
     asked = h.filter(F.size("h") > 0).join(ends, "book").withColumn("start", F.greatest(block("opened"), "least"))
-    sent = c.join(first, "book").filter(cell("later") >= F.col("from")).withColumn("cell", F.explode(F.sequence(F.col("from"), cell("later")))).select("book", "block", "cell", "later", "h")
     schema = "book {}, opened {}, later {}, ratio double".format(*[d.schema[k].dataType.simpleString() for d, k in ((h, "book"), (h, "opened"), (c, "later"))])
     keys = ["book", "block", "cell"]
 
     def met(asked: DataFrame) -> DataFrame:
-        each = asked.filter("start <= end").withColumn("block", F.explode(F.sequence("start", "end"))).select("book", "block", cell("opened").alias("cell"), "opened", "h")
-        each = each.toDF(*each.columns)  # names of its own: both sides may come from one table
-        near = sent.join(each.select(*keys).distinct(), keys, "left_semi")
+        each = asked.filter("start <= end").withColumn("block", F.explode(F.sequence("start", "end"))).select(*keys, "opened", "h")
+        # A few rows for a block of a thousand chapters.
+        near = c.join(F.broadcast(each.select(*keys).distinct()), ["book", "block"]).select(*keys, "later", "h")
+        near = near.select(*[F.col(x).alias(f"_{x}") for x in near.columns]).toDF(*near.columns)  # names of its own: both sides come from the hooks
         return each.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_earliest(threshold), schema)
 
-    soon = shared.saved(met(asked.withColumn("end", F.least("end", F.col("start") + 1))), shared.fresh(spark, "resolved"))
-    rest = asked.join(soon.select("book", "opened").distinct(), ["book", "opened"], "left_anti").withColumn("start", F.col("start") + 2)
-    best = soon.unionByName(met(rest)).groupBy("book", "opened").agg(F.min(F.struct("later", "ratio")).alias("m"))
+    first = asked.withColumn("end", F.least("end", F.col("start") + 1)).withColumn("cell", F.floor(F.col("opened") / CELL_HOOKS).cast("int"))
+    soon = shared.saved(met(first), shared.fresh(spark, "resolved"))
+    rest = asked.join(soon.select("book", "opened").distinct(), ["book", "opened"], "left_anti").withColumn("start", F.col("start") + 2).filter("start <= end")
+    rest = shared.saved(rest, shared.fresh(spark, "unresolved"))
+    cells = rest.groupBy("book").agg(F.ceil(F.count("*") / CELL_HOOKS).cast("int").alias("cells"))
+    late = rest.join(cells, "book").withColumn("cell", F.pmod(F.xxhash64("opened"), "cells").cast("int"))
+    best = soon.unionByName(met(late)).groupBy("book", "opened").agg(F.min(F.struct("later", "ratio")).alias("m"))
     return h.select("book", "opened").join(best, ["book", "opened"], "left").select("book", "opened", F.col("m.later").alias("resolved"), F.col("m.ratio").alias("ratio"))
 
 
