@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,21 +21,51 @@ def _fold(char: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKC", char) if not x.isspace())
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, size, letters, loose): each code point's folded letters are `size` of the `letters` from `first` on; which letters are loose marks."""
+    # Planes from the third on fold to themselves.
+    known = [_fold.__wrapped__(chr(i)) for i in range(0x30000)]
+    size = np.ones(0x110000, np.int32)
+    size[: len(known)] = [len(x) for x in known]
+    rest = np.arange(0x30000, 0x110000, dtype=np.uint32)
+    letters = np.concatenate([np.array([ord(c) for x in known for c in x], np.uint32), rest])
+    loose = np.zeros(0x110000, bool)
+    loose[[ord(x) for x in V.LOOSE_MARKS]] = True
+    return (np.cumsum(size, dtype=np.int64) - size).astype(np.int32), size, letters, loose
+
+
 class _Chapter:
     """A chapter's folded form (NFKC of each character, without blanks) and the same without marks, with the place of each letter.
 
-    Both are made only when the exact text doesn't settle a quote.
+    Both are made, by table, only when the exact text doesn't settle a quote.
     """
 
     def __init__(self, text: str):
         self.text, self._forms = text, {}
 
-    def form(self, marks: bool) -> tuple[str, list[int]]:
+    def _letters(self, marks: bool) -> tuple[np.ndarray, np.ndarray]:
         if marks not in self._forms:
-            pairs = [(x, i) for i, c in enumerate(self.text) for x in _fold(c) if marks or x not in V.LOOSE_MARKS]
-            self._forms[marks] = "".join(x for x, _ in pairs), [i for _, i in pairs]
+            first, size, letters, loose = _folds()
+            if marks:
+                codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                sizes = size[codes]
+                stops = np.cumsum(sizes)
+                at = np.repeat(first[codes] - (stops - sizes), sizes) + np.arange(sizes.sum())
+                out = letters[at], np.repeat(np.arange(len(codes), dtype=np.int32), sizes)
+            else:
+                found, places = self._letters(True)
+                kept = ~loose[found]
+                out = found[kept], places[kept]
+            self._forms[marks] = out
         return self._forms[marks]
 
+    def form(self, marks: bool) -> tuple[str, np.ndarray]:
+        if (marks, "text") not in self._forms:
+            found, places = self._letters(marks)
+            self._forms[marks, "text"] = found.tobytes().decode("utf-32-le", "surrogatepass"), places
+        return self._forms[marks, "text"]
+
     def place(self, quote: str) -> dict | None:
         quote = quote.strip()
         if not quote:
@@ -49,7 +80,7 @@ class _Chapter:
             form, places = self.form(marks)
             if form.count(wanted) == 1:
                 at = form.index(wanted)
-                return {"start": places[at], "stop": places[at + len(wanted) - 1] + 1, "level": level}
+                return {"start": int(places[at]), "stop": int(places[at + len(wanted) - 1]) + 1, "level": level}
         return None
 
 
