@@ -70,10 +70,9 @@ def top(scored: DataFrame, k: int = V.TOP_K) -> DataFrame:
 
 def recall(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """query_id, relevant, hits, recall (six digits) for each query that has gold (query_id, doc_id)."""
-    hit = gold.join(ranked.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
-    need = gold.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    n = F.coalesce("hits", F.lit(0))
-    return need.join(hit, "query_id", "left").select("query_id", "relevant", n.alias("hits"), F.round(n / F.col("relevant"), 6).alias("recall"))
+    met = ranked.select("query_id", "doc_id").distinct().withColumn("met", F.lit(True))
+    each = gold.join(met, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("*").alias("relevant"), F.count("met").alias("hits"))
+    return each.select("query_id", "relevant", "hits", F.round(F.col("hits") / F.col("relevant"), 6).alias("recall"))
 
 
 def macro(recalls: DataFrame) -> DataFrame:
