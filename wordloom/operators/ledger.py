@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
@@ -69,7 +69,8 @@ def _earliest(threshold: float):
 def resolutions(hooks: DataFrame, candidates: DataFrame, threshold: float = V.RESOLVE_THRESHOLD) -> DataFrame:
     """book, opened, resolved, ratio: the earliest later chapter that shares enough of a hook's distinct tokens.
 
-    hooks (book, ord, hook), candidates (book, ord, text). Chapters go into blocks of
+    hooks (book, ord, hook), candidates (book, ord, text, or h where a stored table has the ids of
+    the texts' tokens already, each once and in order). Chapters go into blocks of
     BLOCK_CHAPTERS numbers, each counted as a small inverted index; a hook meets its own block and
     the next one first, and only if neither resolves it the blocks after them. A block is sent once
     for each cell of hooks that meet it: hooks of CELL_HOOKS numbers at first, then CELL_HOOKS of
@@ -80,7 +81,9 @@ def resolutions(hooks: DataFrame, candidates: DataFrame, threshold: float = V.RE
     block = lambda c: F.floor(F.col(c) / BLOCK_CHAPTERS).cast("int")
     # Written once each: neither the chapters nor the hooks' texts are read again by a later round.
     h = shared.saved(hooks.filter(T.stripped("hook") != "").select("book", F.col("ord").alias("opened"), H.token_ids("hook", distinct=True).alias("h")), shared.fresh(spark, "hooks"))
-    c = shared.saved(candidates.select("book", F.col("ord").alias("later"), H.token_ids("text", distinct=True).alias("h"), block("ord").alias("block")), shared.fresh(spark, "hooked"))
+    stored = "h" in candidates.columns
+    c = candidates.select("book", F.col("ord").alias("later"), F.col("h") if stored else H.token_ids("text", distinct=True).alias("h"), block("ord").alias("block"))
+    c = c if stored else shared.saved(c, shared.fresh(spark, "hooked"))
     ends = c.groupBy("book").agg(F.max("block").alias("end"), F.min("block").alias("least"))
     asked = h.filter(F.size("h") > 0).join(ends, "book").withColumn("start", F.greatest(block("opened"), "least"))
     schema = "book {}, opened {}, later {}, ratio double".format(*[d.schema[k].dataType.simpleString() for d, k in ((h, "book"), (h, "opened"), (c, "later"))])
@@ -115,12 +118,32 @@ def open_at(ledger: DataFrame, at: DataFrame, size: int = OPEN_BLOCK) -> DataFra
     Chapters go into blocks of `size` numbers and a hook to the blocks in which it is open, so a
     hook meets only chapters at the two ends of its interval in vain, and a long book is many keys.
     """
-    block = lambda c: F.floor(c / size).cast("int")
+    sent = _in_blocks(ledger, at, size).select("book", "block", "from", "to", "opened")
+    met = at.withColumn("block", _block("ord", size)).join(sent, ["book", "block"])
+    return met.filter(F.col("ord").between(F.col("from"), F.col("to"))).select("book", "ord", "opened")
+
+
+def _block(c: str, size: int) -> Column:
+    return F.floor(F.col(c) / size).cast("int")
+
+
+def _in_blocks(ledger: DataFrame, at: DataFrame, size: int) -> DataFrame:
+    """The ledger's hooks with from and to, the chapters in which they are open, a row for each block of `size` numbers between."""
     ends = at.groupBy("book").agg(F.max("ord").alias("end"), F.min("ord").alias("least"))
     spans = ledger.join(ends, "book").withColumn("from", F.greatest(F.col("opened") + 1, "least")).withColumn("to", F.least(F.coalesce("resolved", "end"), "end"))
-    sent = spans.filter("from <= to").withColumn("block", F.explode(F.sequence(block(F.col("from")), block(F.col("to")))))
-    met = at.withColumn("block", block(F.col("ord"))).join(sent.select("book", "block", "from", "to", "opened"), ["book", "block"])
-    return met.filter(F.col("ord").between(F.col("from"), F.col("to"))).select("book", "ord", "opened")
+    return spans.filter("from <= to").withColumn("block", F.explode(F.sequence(_block("from", size), _block("to", size))))
+
+
+def open_lists(ledger: DataFrame, at: DataFrame, what: str = "opened", size: int = OPEN_BLOCK) -> DataFrame:
+    """book, ord, hooks: as `open_at`, but a chapter's hooks (or `what` the ledger has of each) as one list in order of opening; chapters without are left out.
+
+    A block's hooks are gathered once for its chapters, and each chapter takes its own from them, so
+    a chapter and a hook are never a row.
+    """
+    each = _in_blocks(ledger, at, size).groupBy("book", "block").agg(F.array_sort(F.collect_list(F.struct("opened", F.col(what).alias("what"), "from", "to"))).alias("spans"))
+    met = at.withColumn("block", _block("ord", size)).join(each, ["book", "block"])
+    open_ = F.transform(F.filter("spans", lambda x: F.col("ord").between(x["from"], x["to"])), lambda x: x["what"])
+    return met.select("book", "ord", open_.alias("hooks")).filter(F.size("hooks") > 0)
 
 
 def previous_summaries(chapters: DataFrame, outlines: DataFrame, summaries: DataFrame) -> DataFrame:
