@@ -173,7 +173,7 @@ def missing_summaries(manuscripts: DataFrame, summaries: DataFrame) -> DataFrame
 def mechanical_summary(chapters: DataFrame, otherwise: Column | None = None, breaks: str = T.LINE_BREAKS, blanks: str = T.BLANKS) -> DataFrame:
     """book, ord, gist: the core event and the last line, or `otherwise` (the number and title, if it is not given)."""
     last = F.left(F.coalesce(F.element_at(F.concat(F.array(F.lit("")), T.lines("text", breaks, blanks)), -1), F.lit("")), F.lit(80))
-    parts = F.filter(F.array(T.stripped(F.coalesce("core_event", F.lit("")), blanks), last), lambda x: x != "")
+    parts = F.filter(F.array(T.bared(F.coalesce("core_event", F.lit("")), blanks), last), lambda x: x != "")
     none = F.format_string("第 %d 章 %s", "ord", "title") if otherwise is None else otherwise
     gist = F.when(F.size(parts) > 0, F.left(F.array_join(parts, "；"), F.lit(200))).otherwise(none)
     return chapters.select("book", "ord", gist.alias("gist"))
