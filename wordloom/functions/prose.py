@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -219,6 +220,83 @@ def _kernel(through: tuple[str, str] | None):
     return run
 
 
+def _paragraphs(text: str):
+    held = ""
+    for line in text.split("\n"):
+        x = line.strip(BLANKS)
+        if x and (len(x) < 4 or x.strip("=-_*#~" + BLANKS)):
+            held += x
+            if x[-1] in V.PARAGRAPH_MARKS or len(held) >= V.PARAGRAPH_CHARS:
+                yield held
+                held = ""
+    if held:
+        yield held
+
+
+_LETTERS, _CLAUSES = re.compile(V.CJK_STYLE), re.compile(f"[^{V.CLAUSE_MARKS}]+")
+_OTHER, _ENDS = re.compile(f"[^{V.CJK_STYLE[1:-1]}{V.SENTENCE_MARKS}]+"), re.compile(f"[{V.SENTENCE_MARKS}]")
+_SHOWN = {k: re.compile({**V.DENSITIES, **V.DIALOGUE_DENSITIES}[k]) for k in ("破折号密度", "身体外化密度", "对白第二人称密度")}
+
+
+def _piece(metric: str, text: str, paras: list[str], quotes: list[str]) -> str:
+    """As `operators.style.evidence` gives it."""
+    several = lambda n: (p for p in paras if sum(len(x) >= 2 for x in _ENDS.split(_OTHER.sub("", p))) >= n)
+    said = lambda pattern: next((f"「{q}」"[:60] for q in quotes if pattern.search(q)), "")
+    if metric in ("对白破折号占比", "对白第二人称密度"):
+        return said(_SHOWN["破折号密度" if metric == "对白破折号占比" else metric])
+    if metric == "对白条数每千字":
+        return f"（全章引号台词 {len(quotes)} 条）"
+    if metric in ("破折号密度", "身体外化密度"):
+        return next((p[:60] for p in paras if _SHOWN[metric].search(p)), "")
+    if metric == "段均句数":
+        return next(several(3), "")[:60]
+    if metric == "段p90字":
+        n, p = max(((len(_LETTERS.findall(p)), p) for p in several(2)), key=lambda x: x[0], default=(0, None))
+        return "（整章没有一个两句话以上的段落，长段被全部删掉）" if p is None else f"（最长多句段只有 {n} 字）{p[:50]}"
+    if metric == "单句段占比":
+        return "（整章多数段落是多句连排，没有用空行分句）"
+    if metric == "分句均字":
+        return next((x for x in (m[0] for m in _CLAUSES.finditer(text)) if 2 <= len(_LETTERS.findall(x)) <= 4), "").strip(BLANKS)[:40]
+    return ""
+
+
+def _evident(through: tuple[str, str] | None):
+    rules = {m: (way == "hi", limit) for m, (way, _, limit, _) in (V.STYLE_RULES | V.DIALOGUE_RULES).items()}
+
+    def of(texts: list[str]) -> list[list[dict]]:
+        _, checked, talks, style, talk = _of(texts, through)
+        values = {**{m: (checked, style[:, STYLE.index(m)]) for m in V.STYLE_RULES}, **{m: (talks, talk[:, i]) for i, m in enumerate(V.DIALOGUE_RULES)}}
+        beyond = {m: ok & (v > rules[m][1] if rules[m][0] else v < rules[m][1]) for m, (ok, v) in values.items()}
+        out = []
+        for i, x in enumerate(texts):
+            broken = [m for m in rules if beyond[m][i]]
+            if broken:
+                x = _tables(through)[0][np.frombuffer(x.encode("utf-32-le"), np.uint32)].tobytes().decode("utf-32-le")
+                # Beyond the last closing mark there is no quote: nothing is looked for to the end in vain.
+                quotes = [q.strip(BLANKS) for q in re.findall(V.QUOTED, x[: max(x.rfind("」"), x.rfind("”")) + 1])]
+                paras = list(_paragraphs(x))
+            out.append([{"metric": m, "evidence": _piece(m, x, paras, quotes)} for m in broken])
+        return out
+
+    def run(texts: pa.Array) -> pa.Array:
+        found, held, chars = [], [], 0
+        for x in texts:
+            held.append(x.as_py() or "")
+            chars += len(held[-1])
+            if chars >= _CHARS:
+                found += of(held)
+                held, chars = [], 0
+        found += of(held) if held else []
+        return pa.array(found, pa.list_(pa.struct([("metric", pa.string()), ("evidence", pa.string())])))
+
+    return run
+
+
+def evidence(text: Column | str, through: tuple[str, str] | None = None) -> Column:
+    """(metric, evidence) of every measure that lies beyond its rule's limit, as the kernel of `measures` gives them."""
+    return F.arrow_udf(_evident(through), "array<struct<metric:string,evidence:string>>")(text)
+
+
 def measures(text: Column | str, through: tuple[str, str] | None = None) -> Column:
     """cjk, checked, dialogue_checked, style (in the order of STYLE), dialogue (of DIALOGUE_RULES): values are null where a text is too short; null of a null text.
 
